@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from oddlot.columns import AMOUNT, CUSTOMER, HOUR, ID, MERCHANT, PAIR, PAIR_TEXT, TIME
 from oddlot.functions.scalars import (
-    SECONDS_PER_DAY, day_part, hours_between, min_max, text_key,
+    SECONDS_PER_DAY, day_part, hours_between, min_max, row_total, text_key,
 )
 from oddlot.operators.quantiles import group_quantiles
 from oddlot.operators.ranking import with_row_index
@@ -248,6 +248,15 @@ def attach_customer_score(
     return joined.withColumn(feature, F.coalesce(F.col(feature), F.lit(0.0)))
 
 
+def danger_totals(
+    df: DataFrame, scores: DataFrame, features: list[str], hot: HotKeys | None = None
+) -> DataFrame:
+    """Row-wise feature total next to the customer's score from ``scores``."""
+    renamed = scores.select(CUSTOMER, F.col("score").alias("gmm_min_max_p_value"))
+    joined = join_hot_aware(df, renamed, (CUSTOMER,), profile(df, hot))
+    return joined.withColumn("total_danger_value", row_total(features))
+
+
 def daily_sequence(df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """One row per pair and day from the pair's first hour up to, not including, its last hour.
 
@@ -329,6 +338,6 @@ def customer_encoder(df: DataFrame) -> DataFrame:
 
 __all__ = [
     "PEAK_SCORE", "amount_change", "attach_customer_score", "attach_daily_counts", "customer_encoder",
-    "daily_customer", "daily_sequence", "frequency_difference", "join_hot_aware",
+    "daily_customer", "daily_sequence", "danger_totals", "frequency_difference", "join_hot_aware",
     "last_month_totals", "merchant_ratio", "peak_drop", "second_extremes", "slope",
 ]
