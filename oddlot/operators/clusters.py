@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -23,6 +25,7 @@ from oddlot.operators.stats import with_iqr_outlier
 MAX_K = 9
 ERROR_WIDTH = 2.58
 ROWS_PER_PART = 500_000
+PARALLEL_FITS = 4
 
 MIXTURE_PARTS = 4
 MIXTURE_STEPS = 100
@@ -95,7 +98,15 @@ def sweep_k(points: DataFrame, columns: list[str], max_k: int = MAX_K, seed: int
     ``points`` should be persisted: every k fits once. k stops at the number of distinct rows.
     """
     limit = min(max_k, points.select(*columns).distinct().limit(max_k).count())
-    fits = {k: kmeans_centers(points, columns, k, seed) for k in range(1, limit + 1)}
+    ks = range(1, limit + 1)
+
+    @inheritable_thread_target(points.sparkSession)
+    def fit(k: int) -> list[list[float]]:
+        return kmeans_centers(points, columns, k, seed)
+
+    # Independent fits; each runs many short jobs.
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        fits = dict(zip(ks, pool.map(fit, ks)))
     row = points.agg(
         *[F.avg(center_distance(columns, c)).alias(str(k)) for k, c in fits.items()]
     ).first()

@@ -250,7 +250,7 @@ def feature_run(spark, folder):
 
 @query("feature_run_all")
 def feature_run_all(spark, folder):
-    out = run_features(lines(spark, folder), "all")
+    out = run_features(events(spark, folder), "all")
     return shown(
         out, ID, "is_last_day", "merchant_label",
         digits={"c_m_ratios": 6, FREQ_SCORE: 6, f.PEAK_SCORE: 6, "slope": 6, "gmm": 6},
