@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -167,24 +170,46 @@ def with_responsibilities(points: DataFrame, model: Mixture) -> DataFrame:
     )
 
 
-def _maximised(points: DataFrame, columns: tuple[str, ...], shares: list[Column], extra: Column) -> tuple:
-    """One aggregate over the data: new parameters and the mean of ``extra``."""
-    sums = [F.avg(extra).alias("extra"), F.count(F.lit(1)).alias("n")]
-    for i, r in enumerate(shares):
-        sums.append(F.sum(r).alias(f"r{i}"))
-        sums += [F.sum(r * F.col(c)).alias(f"x{i}_{j}") for j, c in enumerate(columns)]
-        sums.append(F.sum(r * reduce(add, [F.col(c) ** 2 for c in columns])).alias(f"q{i}"))
-    row = points.agg(*sums).first()
-    tiny = 10 * 2.220446049250313e-16
-    weights, means, variances = [], [], []
-    for i in range(len(shares)):
-        mass = row[f"r{i}"] + tiny
-        mean = tuple(row[f"x{i}_{j}"] / mass for j in range(len(columns)))
-        spread = (row[f"q{i}"] / mass - sum(m * m for m in mean)) / len(columns)
-        weights.append(mass / row["n"])
-        means.append(mean)
-        variances.append(max(spread, 0.0) + MIXTURE_FLOOR)
-    return Mixture(columns, tuple(weights), tuple(means), tuple(variances)), row["extra"]
+def _log_densities(model: Mixture, x: np.ndarray) -> np.ndarray:
+    d = x.shape[1]
+    square = ((x[:, None, :] - np.array(model.means)[None, :, :]) ** 2).sum(axis=2)
+    v = np.array(model.variances)
+    return np.log(model.weights) - 0.5 * d * np.log(2 * math.pi * v) - square / (2 * v)
+
+
+def _maximised(points: DataFrame, columns: tuple[str, ...], shares: Callable) -> tuple[Mixture, float]:
+    """New parameters from one pass: every partition sends one row of weighted sums.
+
+    ``shares(x)`` returns each row's weight per component and its log-likelihood.
+    """
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            x = batch.to_numpy(dtype=float)
+            r, likelihood = shares(x)
+            part = [[len(x), likelihood.sum()], r.sum(axis=0), (r.T @ x).ravel(), r.T @ (x * x).sum(axis=1)]
+            part = np.concatenate([np.asarray(p, dtype=float) for p in part])
+            total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"s": [total]})
+
+    rows = points.select(*columns).mapInPandas(sums, "s array<double>").collect()
+    total = np.sum([r["s"] for r in rows], axis=0)
+    d = len(columns)
+    k = (len(total) - 2) // (d + 2)
+    n, likelihood = total[0], total[1]
+    mass = total[2 : 2 + k] + 10 * np.finfo(float).eps
+    means = total[2 + k : 2 + k + k * d].reshape(k, d) / mass[:, None]
+    spread = (total[2 + k + k * d :] / mass - (means**2).sum(axis=1)) / d
+    variances = np.maximum(spread, 0.0) + MIXTURE_FLOOR
+    model = Mixture(
+        columns,
+        tuple((mass / n).tolist()),
+        tuple(tuple(m) for m in means.tolist()),
+        tuple(variances.tolist()),
+    )
+    return model, float(likelihood / n)
 
 
 def fit_mixture(
@@ -199,15 +224,24 @@ def fit_mixture(
         return None
     placed = steady(points, key, total).persist(StorageLevel.MEMORY_AND_DISK)
     parts = min(parts, placed.select(*columns).distinct().limit(parts).count())
-    centers = kmeans_centers(placed, columns, parts, seed)
-    start = nearest(columns, centers)
-    hard = [F.when(start == i, 1.0).otherwise(0.0) for i in range(len(centers))]
-    model, _ = _maximised(placed, tuple(columns), hard, F.lit(0.0))
+    centers = np.array(kmeans_centers(placed, columns, parts, seed))
+
+    def hard(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        nearest_center = ((x[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+        return np.eye(len(centers))[nearest_center], np.zeros(len(x))
+
+    model, _ = _maximised(placed, tuple(columns), hard)
     before = -math.inf
     for _ in range(MIXTURE_STEPS):
-        scored = with_responsibilities(placed, model)
-        shares = [F.col("responsibility")[i] for i in range(len(centers))]
-        model, likelihood = _maximised(scored, tuple(columns), shares, F.col("log_likelihood"))
+        current = model
+
+        def soft(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            logs = _log_densities(current, x)
+            top = logs.max(axis=1, keepdims=True)
+            likelihood = top[:, 0] + np.log(np.exp(logs - top).sum(axis=1))
+            return np.exp(logs - likelihood[:, None]), likelihood
+
+        model, likelihood = _maximised(placed, tuple(columns), soft)
         if abs(likelihood - before) < MIXTURE_TOLERANCE:
             break
         before = likelihood
