@@ -23,16 +23,14 @@ def day_start(ts: Column) -> Column:
 
 
 def epoch_seconds(ts: Column) -> Column:
-    return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts)
+    """Whole seconds since 1970 from the fields of a ``timestamp_ntz``; no session zone involved."""
+    day = F.unix_date(F.to_date(ts)).cast("long") * SECONDS_PER_DAY
+    return day + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
 def hours_between(later: Column, earlier: Column) -> Column:
     """Fractional hours as DOUBLE."""
-    return F.timestamp_diff("SECOND", earlier, later) / F.lit(3600.0)
-
-
-def plus_days(ts: Column, days: int) -> Column:
-    return ts + F.expr(f"INTERVAL '{days}' DAY")
+    return (epoch_seconds(later) - epoch_seconds(earlier)) / F.lit(3600.0)
 
 
 def min_max(value: Column, low: Column, high: Column) -> Column:

@@ -81,7 +81,8 @@ def _quadrature(t: Column, nu: Column) -> Column:
         * F.exp(-(n + 1.0) / 2.0 * F.log1p(upper * upper * p["x"] * p["x"] * inv)),
     )
     # density constant = gamma_ratio / sqrt(2 pi); half-width upper/2, both sides -> factor 2.
-    return F.least(F.lit(1.0), gamma_ratio / math.sqrt(2 * math.pi) * upper * area)
+    mass = F.least(F.lit(1.0), gamma_ratio / math.sqrt(2 * math.pi) * upper * area)
+    return F.when(t >= TAIL_CUT, F.lit(1.0)).otherwise(mass)
 
 
 def two_sided_mass(t: Column, nu: Column) -> Column:

@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 
 from oddlot.columns import AMOUNT, CUSTOMER, HOUR, ID, MERCHANT, PAIR, PAIR_TEXT, TIME
 from oddlot.functions.scalars import (
-    SECONDS_PER_DAY, day_part, hours_between, min_max, row_total, text_key,
+    SECONDS_PER_DAY, day_part, hours_between, row_total, text_key,
 )
 from oddlot.operators.quantiles import group_quantiles
 from oddlot.operators.ranking import with_row_index
-from oddlot.operators.rfm import reference_time
+from oddlot.operators.rfm import hours_until_reference
 from oddlot.operators.skew import (
     ALL_HOT, HotKeys, in_parts, join_same, profile, ranked_first, with_group_facts, with_previous_time,
     with_trailing_sum,
 )
-from oddlot.operators.stats import normalised, normalised_name
+from oddlot.operators.stats import normalised, normalised_name, with_table_min_max
+from oddlot.session import settle
 
 PEAK_SCORE = "c_m_peak_drop_min_max_p_value"
 
@@ -61,7 +62,7 @@ def frequency_difference(
     The first transaction of a customer has no gap and is dropped. Where the gap is not shorter
     than usual the score is ``customer_freq``, or 0 with ``positive='zero'``.
     """
-    now = reference_time(df)
+    frame = df
     usual, gap = F.col("customer_freq"), F.col("day_diff")
 
     def work(part: DataFrame, weight: HotKeys) -> DataFrame:
@@ -70,7 +71,7 @@ def frequency_difference(
         part = with_previous_time(part, [CUSTOMER], TIME, ID, "__prev", weight)
         part = (
             part.where(F.col("__prev").isNotNull())
-            .withColumn("customer_freq", hours_between(now, F.col("__since")) / F.col("__n"))
+            .withColumn("customer_freq", hours_until_reference(frame, F.col("__since")) / F.col("__n"))
             .withColumn("day_diff", hours_between(F.col(TIME), F.col("__prev")))
             .withColumn(
                 feature,
@@ -146,14 +147,6 @@ def second_extremes(df: DataFrame) -> DataFrame:
     return join_same(most, least, PAIR)
 
 
-def _scaled_nonzero(pairs: DataFrame, diff: str, out: str) -> DataFrame:
-    """Min-max over the pairs whose difference is known and not zero; null for the others."""
-    known = F.when(F.col(diff) != 0, F.col(diff))
-    one_row = pairs.agg(F.min(known).alias("low"), F.max(known).alias("high"))
-    low, high = one_row.select("low").scalar(), one_row.select("high").scalar()
-    return pairs.withColumn(out, min_max(known, low, high))
-
-
 def peak_drop(df: DataFrame, attach: str = "all", hot: HotKeys | None = None) -> DataFrame:
     """How far the largest amount of a pair stands above its second largest (peak) and the
     smallest below its second smallest (drop), scaled over all pairs.
@@ -162,13 +155,16 @@ def peak_drop(df: DataFrame, attach: str = "all", hot: HotKeys | None = None) ->
     smallest); the default scores every row of the pair.
     """
     hot = profile(df, hot)
-    pairs = (
+    peak = F.col("amount_max") - F.col("amount_max_2nd")
+    drop = F.col("amount_min_2nd") - F.col("amount_min")
+    # Read again for the range of the differences, so written once: one row per pair.
+    pairs = settle(
         second_extremes(df)
-        .withColumn("__peak", F.col("amount_max") - F.col("amount_max_2nd"))
-        .withColumn("__drop", F.col("amount_min_2nd") - F.col("amount_min"))
+        .withColumn("__peak", F.when(peak != 0, peak))
+        .withColumn("__drop", F.when(drop != 0, drop))
     )
-    pairs = _scaled_nonzero(pairs, "__peak", PEAK_SCORE)
-    pairs = _scaled_nonzero(pairs, "__drop", "drop_score").drop("__peak", "__drop")
+    pairs = with_table_min_max(pairs, "__peak", PEAK_SCORE)
+    pairs = with_table_min_max(pairs, "__drop", "drop_score").drop("__peak", "__drop")
     added = [c for c in pairs.columns if c not in PAIR]
     out = join_hot_aware(df.drop(*added), pairs, PAIR, hot)
     peak, drop = F.col(PEAK_SCORE), F.col("drop_score")
@@ -188,23 +184,24 @@ def slope(df: DataFrame, feature: str = "slope") -> DataFrame:
     The score goes to the transaction holding the extreme; all others get 0.
     """
     source = df.select(*PAIR, ID, AMOUNT)
-    scores = None
-    for order in (_top(AMOUNT), _bottom(AMOUNT)):
+
+    def steepness(side: str, order: list[Column]) -> DataFrame:
         kept = ranked_first(source, PAIR, order, 3, "__rank")
-        pairs = kept.groupBy(*PAIR).agg(
-            F.abs(F.regr_slope(AMOUNT, F.col("__rank").cast("double"))).alias("__s"),
+        return kept.groupBy(*PAIR).agg(
+            F.abs(F.regr_slope(AMOUNT, F.col("__rank").cast("double"))).alias(side),
             F.max(F.when(F.col("__rank") == 1, F.col(ID))).alias("__id"),
+        ).select("__id", side)
+
+    # Read again for the range of the slopes, so written once: two rows per pair.
+    sides = settle(
+        steepness("__most", _top(AMOUNT)).unionByName(
+            steepness("__least", _bottom(AMOUNT)), allowMissingColumns=True
         )
-        one_row = pairs.agg(F.min("__s").alias("low"), F.max("__s").alias("high"))
-        scaled = pairs.select(
-            "__id",
-            min_max(
-                F.col("__s"), one_row.select("low").scalar(), one_row.select("high").scalar()
-            ).alias("__score"),
-        )
-        scores = scaled if scores is None else scores.unionByName(scaled)
+    )
+    for side in ("__most", "__least"):
+        sides = with_table_min_max(sides, side, side)
     # One transaction can be both extremes of a tiny pair.
-    best = scores.groupBy("__id").agg(F.max("__score").alias("__score"))
+    best = sides.groupBy("__id").agg(F.greatest(F.max("__most"), F.max("__least")).alias("__score"))
     joined = df.drop(feature).join(best, F.col(ID) == F.col("__id"), "left")
     return joined.withColumn(feature, F.coalesce("__score", F.lit(0.0))).drop("__id", "__score")
 
@@ -273,7 +270,7 @@ def daily_sequence(df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
         F.min(TIME).alias("__start"), F.max(TIME).alias("__end"), F.count(TIME).alias("n_hour_groups")
     )
     whole = df.agg(
-        F.floor(F.timestamp_diff("SECOND", F.min(TIME), F.max(TIME)) / SECONDS_PER_DAY).alias("d")
+        F.floor(hours_between(F.max(TIME), F.min(TIME)) / 24).alias("d")
     ).scalar()
     calendar = (
         spans.where(F.col("__start") < F.col("__end"))

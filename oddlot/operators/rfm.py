@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddlot.columns import AMOUNT, CUSTOMER, ID, MERCHANT, TIME
-from oddlot.functions.scalars import hours_between, plus_days
+from oddlot.functions.scalars import SECONDS_PER_DAY, epoch_seconds, hours_between
 from oddlot.operators.quantiles import group_quantiles
 from oddlot.operators.skew import HotKeys, profile, with_previous_time
 
 RFM = ("recency", "frequency", "monetary")
 
 
-def reference_time(df: DataFrame):
-    """One day after the last transaction, as an expression."""
-    return df.agg(plus_days(F.max(TIME), 1).alias("t")).scalar()
+def hours_until_reference(df: DataFrame, since: Column) -> Column:
+    """Hours from a time to one day after the last transaction."""
+    now = df.agg((epoch_seconds(F.max(TIME)) + SECONDS_PER_DAY).alias("t")).scalar()
+    return (now - epoch_seconds(since)) / F.lit(3600.0)
 
 
 def customer_rfm(df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
@@ -30,7 +31,7 @@ def customer_rfm(df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     )
     facts = facts.where(F.col("__n") > 1).select(
         CUSTOMER,
-        hours_between(reference_time(df), F.col("__last")).alias("recency"),
+        hours_until_reference(df, F.col("__last")).alias("recency"),
         (hours_between(F.col("__last"), F.col("__first")) / (F.col("__n") - 1)).alias("frequency"),
     )
     money = group_quantiles(df, [CUSTOMER], {"monetary": (AMOUNT, 0.5)}, hot)
@@ -48,7 +49,7 @@ def merchant_rfm(df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
         gaps, [MERCHANT], {"frequency": ("__gap", 0.5), "monetary": (AMOUNT, 0.5)}, hot
     )
     return (
-        last.select(MERCHANT, hours_between(reference_time(df), F.col("__last")).alias("recency"))
+        last.select(MERCHANT, hours_until_reference(df, F.col("__last")).alias("recency"))
         .join(medians, MERCHANT)
         .where(F.col("frequency").isNotNull() & F.col("monetary").isNotNull())
     )

@@ -343,13 +343,12 @@ sc as (
 
 
 def scored(spark, folder) -> DataFrame:
-    df = f.slope(f.frequency_difference(events(spark, folder)))
+    df = settle(f.slope(f.frequency_difference(events(spark, folder))))
+    mean = df.agg(F.avg(AMOUNT).alias("m")).scalar()
     labels = df.select(MERCHANT).distinct().withColumn("merchant_label", F.length(MERCHANT) % 2)
-    df = f.merchant_ratio(settle(df), labels)
-    df = settle(df)
     df = stats.with_table_min_max(df, AMOUNT, "anomaly_ae_values")
-    mean = df.agg(F.avg(AMOUNT).alias("m")).scalar()
-    return settle(df.withColumn("label_iso", F.when(F.col(AMOUNT) > 3 * mean, -1).otherwise(1)))
+    df = df.withColumn("label_iso", F.when(F.col(AMOUNT) > 3 * mean, -1).otherwise(1))
+    return settle(f.merchant_ratio(df, labels))
 
 
 CM_SQL = f"""{SCORED_SQL}, cm as (
@@ -542,12 +541,17 @@ def grid_dnn(spark, folder):
     return _board(model_search.grid_dense(train, REGRESSORS, WIDTH_GRID, NET_EPOCHS)[0])
 
 
-def _bests(train: DataFrame) -> list:
+def _bests(train: DataFrame, families: tuple[str, ...] = ("gbt", "rf", "glm", "dnn")) -> list:
+    grids = {
+        "gbt": {"maxDepth": [3], "maxIter": [5]},
+        "rf": {"maxDepth": [4], "numTrees": [10]},
+        "glm": {"regParam": [0.0]},
+    }
     return [
-        model_search.grid_search("gbt", train, {"maxDepth": [3], "maxIter": [5]})[1],
-        model_search.grid_search("rf", train, {"maxDepth": [4], "numTrees": [10]})[1],
-        model_search.grid_search("glm", train, {"regParam": [0.0]})[1],
-        model_search.grid_dense(train, REGRESSORS, [(8,)], NET_EPOCHS)[1],
+        model_search.grid_dense(train, REGRESSORS, [(8,)], NET_EPOCHS)[1]
+        if name == "dnn"
+        else model_search.grid_search(name, train, grids[name])[1]
+        for name in families
     ]
 
 
@@ -560,7 +564,7 @@ def mse_leaderboard(spark, folder):
 @query("stacked")
 def stacked(spark, folder):
     train, test = _training(spark, folder)
-    bases = [b for b in _bests(train) if b.family != "glm"]
+    bases = _bests(train, ("gbt", "rf", "dnn"))
     stack = model_search.stacked_ensemble(bases, train, REGRESSORS)
     return shown(stack.transform(test), ID, digits={"prediction": 4})
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import product
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -23,6 +26,7 @@ FOLDS = 5
 SEED = 1234
 LINEAR_STEPS = 30
 VALIDATION_SHARE = 0.1
+PARALLEL_FITS = 4
 
 
 @dataclass
@@ -76,7 +80,7 @@ def grid_search(
         evaluator=RegressionEvaluator(labelCol="y", metricName="mse"),
         numFolds=folds,
         foldCol="fold",
-        parallelism=2,
+        parallelism=PARALLEL_FITS,
     ).fit(train)
     named = [{p.name: v for p, v in combo.items()} for combo in combos]
     rows = [(family, str(p), float(m)) for p, m in zip(named, search.avgMetrics)]
@@ -124,13 +128,19 @@ def grid_dense(
     train: DataFrame, features: list[str], grid: list[tuple[int, ...]], epochs: int = 10, folds: int = FOLDS
 ) -> tuple[DataFrame, Best]:
     """The same search for dense nets, whose grid lists hidden widths."""
-    rows = []
-    for widths in grid:
-        errors = []
-        for fold in range(folds):
-            model = fit_scaled_net(train.where(F.col("fold") != fold), features, widths, epochs)
-            errors.append(mse(model.transform(train.where(F.col("fold") == fold))))
-        rows.append(("dnn", str({"widths": widths}), float(sum(errors) / folds)))
+
+    @inheritable_thread_target(train.sparkSession)
+    def error(task: tuple[tuple[int, ...], int]) -> float:
+        widths, fold = task
+        model = fit_scaled_net(train.where(F.col("fold") != fold), features, widths, epochs)
+        return mse(model.transform(train.where(F.col("fold") == fold)))
+
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        errors = list(pool.map(error, product(grid, range(folds))))
+    rows = [
+        ("dnn", str({"widths": widths}), float(sum(errors[i * folds : (i + 1) * folds]) / folds))
+        for i, widths in enumerate(grid)
+    ]
     table = train.sparkSession.createDataFrame(rows, "family string, params string, mse double")
     at = min(range(len(rows)), key=lambda i: (rows[i][2], i))
     best = fit_scaled_net(train, features, grid[at], epochs)
@@ -178,11 +188,18 @@ def stacked_ensemble(
     bases: list[Best], train: DataFrame, features: list[str], folds: int = FOLDS
 ) -> Stack:
     """Linear model over out-of-fold predictions of the base models."""
+
+    @inheritable_thread_target(train.sparkSession)
+    def refit(task: tuple[int, Best]) -> Model | ScaledNet:
+        fold, best = task
+        return _refit(best, train.where(F.col("fold") != fold), features)
+
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        models = list(pool.map(refit, product(range(folds), bases)))
     parts = None
     for fold in range(folds):
         held = train.where(F.col("fold") == fold)
-        for best in bases:
-            model = _refit(best, train.where(F.col("fold") != fold), features)
+        for best, model in zip(bases, models[fold * len(bases) :]):
             held = model.transform(held).withColumnRenamed("prediction", f"p_{best.family}")
         held = held.select("y", *[f"p_{b.family}" for b in bases])
         parts = held if parts is None else parts.unionByName(held)

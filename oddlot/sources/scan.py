@@ -50,5 +50,5 @@ def prepare(raw: DataFrame, grain: str = "hour", day_column: str = "day") -> Dat
         when.alias(TIME),
         text_key(F.col(CUSTOMER), F.col(MERCHANT)).alias(PAIR_TEXT),
         F.hour(when).alias(HOUR),
-        F.date_format(when, "yyyy-MM-dd").alias(DAY_TEXT),
+        F.to_date(when).cast("string").alias(DAY_TEXT),
     )

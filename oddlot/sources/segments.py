@@ -10,6 +10,7 @@ from oddlot.columns import AMOUNT, CUSTOMER, ID, MERCHANT, RAW_TIME
 from oddlot.functions.scalars import md5_rank, md5_unit
 from oddlot.operators.ranking import with_row_index
 from oddlot.operators.skew import HotKeys, profile, with_previous_time
+from oddlot.session import settle
 
 # Share of the merchants each segment takes; the last takes what is left.
 SEGMENTS = (
@@ -27,7 +28,7 @@ def merchant_segments(
     transactions: DataFrame, segments: tuple[tuple[str, float], ...] = SEGMENTS, seed: int = 0
 ) -> DataFrame:
     """Assign every merchant to one segment; membership is drawn by hash."""
-    merchants = transactions.select(MERCHANT).distinct()
+    merchants = settle(transactions.select(MERCHANT).distinct())
     count = merchants.count()
     merchants = merchants.withColumn("__h", md5_rank(F.col(MERCHANT), seed))
     ranked = with_row_index(merchants, ["__h", MERCHANT], "__r")
@@ -51,14 +52,16 @@ def inject_anomalies(
     Each customer belongs to two segments. An anomalous row moves to a merchant outside both, one
     second after the previous transaction of its pair, with the amount times 1000 or set to 0.1.
     """
-    names = sorted(r[0] for r in segments.select("segment").distinct().collect())
-    if len(names) < 3:
-        raise ValueError("three segments are needed to leave one outside a customer's two")
     hot = profile(df, hot)
-    n = len(names)
     # Position of the merchant when the segments are laid end to end.
+    segments = settle(segments)
     places = with_row_index(segments, ["segment", MERCHANT], "__place")
-    sizes = {r["segment"]: r["n"] for r in segments.groupBy("segment").agg(F.count("*").alias("n")).collect()}
+    counted = segments.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).collect()
+    sizes = {r["segment"]: r["n"] for r in counted}
+    names = sorted(sizes)
+    n = len(names)
+    if n < 3:
+        raise ValueError("three segments are needed to leave one outside a customer's two")
     starts, at = [], 0
     for name in names:
         starts.append(at)
