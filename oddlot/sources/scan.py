@@ -21,10 +21,13 @@ RAW_SCHEMA = T.StructType(
     ]
 )
 
+# Times keep their microseconds in CSV; on reading the fraction is optional.
+CSV_TIMES = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]"}
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
     """CSV with a header and a declared schema (no inference pass over the data)."""
-    return spark.read.schema(schema).csv(path, header=True)
+    return spark.read.schema(schema).options(**CSV_TIMES).csv(path, header=True)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oddlot.sources.scan import CSV_TIMES
+
 
 def write_table(
     df: DataFrame,
@@ -21,7 +23,7 @@ def write_table(
     if fmt == "parquet":
         writer.parquet(path)
     elif fmt == "csv":
-        writer.csv(path, header=True)
+        writer.options(**CSV_TIMES).csv(path, header=True)
     else:
         raise ValueError(f"unknown format {fmt!r}")
 
