@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddlot.columns import CUSTOMER, ID, PAIR, TIME
-from oddlot.operators.skew import HotKeys, profile, with_group_facts
+from oddlot.operators.skew import HotKeys, join_hot_aware, profile, with_group_facts
 
 MIN_TRANSACTIONS = 5
 TRAIN_END = datetime(2019, 11, 1)
@@ -37,9 +37,7 @@ def remove_noisy(
         counted = counted.where((F.col("frequency") >= min_transactions) | ~any_qualifies)
     if min_days:
         days = df.select(CUSTOMER, F.to_date(TIME).alias("d")).distinct().groupBy(CUSTOMER).count()
-        counted = counted.join(
-            days.where(F.col("count") >= min_days).select(CUSTOMER), CUSTOMER, "left_semi"
-        )
+        counted = keep_members(counted, days.where(F.col("count") >= min_days), CUSTOMER, hot)
     return counted
 
 
@@ -64,13 +62,18 @@ def split_by_last_activity(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col("is_last_day") == 0), df.where(F.col("is_last_day") == 1)
 
 
-def keep_members(df: DataFrame, members: DataFrame, key: str) -> DataFrame:
+def _with_membership(df: DataFrame, members: DataFrame, key: str, hot: HotKeys | None) -> DataFrame:
+    known = members.select(key).distinct().withColumn("__member", F.lit(True))
+    return join_hot_aware(df, known, (key,), profile(df, hot))
+
+
+def keep_members(df: DataFrame, members: DataFrame, key: str, hot: HotKeys | None = None) -> DataFrame:
     """Rows whose key occurs in ``members``."""
-    return df.join(members.select(key), key, "left_semi")
+    return _with_membership(df, members, key, hot).where(F.col("__member").isNotNull()).drop("__member")
 
 
-def drop_members(df: DataFrame, members: DataFrame, key: str) -> DataFrame:
-    return df.join(members.select(key), key, "left_anti")
+def drop_members(df: DataFrame, members: DataFrame, key: str, hot: HotKeys | None = None) -> DataFrame:
+    return _with_membership(df, members, key, hot).where(F.col("__member").isNull()).drop("__member")
 
 
 def replaced_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddlot.columns import AMOUNT, CUSTOMER, ID, MERCHANT, PAIR, PAIR_TEXT, RAW_TIME, TIME
+from oddlot.operators.clean import keep_members
 from oddlot.operators.quantiles import table_quantiles
 from oddlot.operators.sampling import sample_exact
 
@@ -53,7 +54,7 @@ def biased_sample(
 
 def of_customers(df: DataFrame, sample: DataFrame) -> DataFrame:
     """Restrict a table to the customers of a sample."""
-    return df.join(sample.select(CUSTOMER).distinct(), CUSTOMER, "left_semi")
+    return keep_members(df, sample, CUSTOMER)
 
 
 def top_entities(df: DataFrame, key: str, score: str, n: int = 100) -> DataFrame:
@@ -78,11 +79,11 @@ def transaction_detail(df: DataFrame, ident) -> DataFrame:
 
 def customer_pairs_of(summary: DataFrame, df: DataFrame, ident) -> DataFrame:
     """Pair summary of the customer of one transaction."""
-    owner = transaction_detail(df, ident).select(CUSTOMER)
+    owner = F.broadcast(transaction_detail(df, ident).select(CUSTOMER).limit(1))
     return summary.join(owner, CUSTOMER, "left_semi")
 
 
 def pair_history_of(df: DataFrame, ident, columns: list[str]) -> DataFrame:
     """What the pair of one transaction did over time."""
-    owner = transaction_detail(df, ident).select(*PAIR)
+    owner = F.broadcast(transaction_detail(df, ident).select(*PAIR).limit(1))
     return df.join(owner, list(PAIR), "left_semi").select(ID, TIME, *columns)

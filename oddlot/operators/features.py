@@ -18,7 +18,7 @@ from oddlot.operators.quantiles import group_quantiles
 from oddlot.operators.ranking import with_row_index
 from oddlot.operators.rfm import hours_until_reference
 from oddlot.operators.skew import (
-    ALL_HOT, HotKeys, in_parts, join_same, profile, ranked_first, with_group_facts, with_previous_time,
+    HotKeys, in_parts, join_hot_aware, join_same, profile, ranked_first, with_group_facts, with_previous_time,
     with_trailing_sum,
 )
 from oddlot.operators.stats import normalised, normalised_name, with_table_min_max
@@ -37,7 +37,7 @@ def merchant_ratio(
     """
     hot = profile(df, hot)
     df = df.drop(*[c for c in labels.columns if c != MERCHANT])
-    df = df.join(labels, MERCHANT, "left")
+    df = join_hot_aware(df, labels, (MERCHANT,), hot)
     labelled = F.col("merchant_label").isNotNull()
     df = with_group_facts(df, [CUSTOMER, "merchant_label"], {"c_m_label_t_count": F.count(ID)}, hot)
     df = with_group_facts(df, PAIR, {"c_m_t_count": F.count(ID)}, hot)
@@ -108,22 +108,6 @@ def amount_change(
     return in_parts(df, PAIR, hot, work)
 
 
-def join_hot_aware(
-    df: DataFrame, groups: DataFrame, keys: tuple[str, ...], hot: HotKeys
-) -> DataFrame:
-    """Left join one row per group; rows of hot keys meet a broadcast of the hot groups only."""
-    table = hot.of(df, keys)
-    if table is None:
-        return join_same(df, groups, keys)
-    if table is ALL_HOT:
-        return join_same(df, F.broadcast(groups), keys)
-    table = F.broadcast(table)
-    hot_groups = F.broadcast(join_same(groups, table, keys, "left_semi"))
-    heavy = join_same(join_same(df, table, keys, "left_semi"), hot_groups, keys)
-    cold = join_same(join_same(df, table, keys, "left_anti"), groups, keys)
-    return cold.unionByName(heavy)
-
-
 def _top(value: str) -> list[Column]:
     return [F.desc(value), F.col(ID)]
 
@@ -335,6 +319,6 @@ def customer_encoder(df: DataFrame) -> DataFrame:
 
 __all__ = [
     "PEAK_SCORE", "amount_change", "attach_customer_score", "attach_daily_counts", "customer_encoder",
-    "daily_customer", "daily_sequence", "danger_totals", "frequency_difference", "join_hot_aware",
+    "daily_customer", "daily_sequence", "danger_totals", "frequency_difference",
     "last_month_totals", "merchant_ratio", "peak_drop", "second_extremes", "slope",
 ]
