@@ -118,7 +118,7 @@ def run_features(
     for name in chosen:
         spec = FEATURES[name]
         stale = [*spec.adds, name + MIN_MAX_SUFFIX, name + P_VALUE_SUFFIX]
-        df = replaced_columns(df, [c for c in stale if c != name or c in spec.adds])
+        df = replaced_columns(df, stale)
         if spec.min_transactions:
             df = remove_noisy(df, spec.min_transactions, hot=hot)
         df = settle(spec.compute(df, method, hot))

@@ -18,7 +18,7 @@ from oddlot.operators.rfm import RFM, customer_rfm, merchant_rfm
 from oddlot.operators.sampling import split_ratio
 from oddlot.plans import model_search, score_run
 from oddlot.plans.basic_queries import CUSTOMER_RFM, MERCHANT_RFM, STAMP
-from oddlot.plans.feature_queries import FREQ_SCORE, RUN, RUN_SQL, freq_sql, slope_sql
+from oddlot.plans.feature_queries import FREQ_SCORE, RUN, freq_sql, slope_sql
 from oddlot.plans.feature_run import run_features
 from oddlot.plans.registry import EVENTS, LINES, events, lines, query, shown
 from oddlot.session import settle
