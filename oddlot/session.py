@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,3 +32,19 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the checkpoint directory and continue from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per Spark context, wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_oddlot_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="oddlot-package-"), "oddlot"),
+        "zip",
+        os.path.dirname(package),
+        os.path.basename(package),
+    )
+    context.addPyFile(archive)
+    context._oddlot_shipped = True
