@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddlot.llm.parity_join import jaccard_components
+from oddlot.llm.recompression import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,3 +54,26 @@ LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefgh
 )
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"), k=4, percent=85)
+
+
+@query(
+    "op10_recompression_dedup",
+    f"""
+    with w as materialized (select doc_id, {WORDS.format("coalesce(text, '')")} as w from documents),
+    p as materialized (
+      select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h
+      from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from w)),
+    f as (select h, min(doc_id) as d from p group by h),
+    g as (select doc_id, list(i) as starts from p join f using (h) where p.doc_id > f.d group by doc_id),
+    c as (select doc_id, unnest(starts) as i from g),
+    r as (select distinct doc_id, i + o as at from c cross join (select unnest(range(50)) as o)),
+    k as (
+      select doc_id, count(*) as n, coalesce(list(at), []) as gone from r group by doc_id)
+    select w.doc_id, len(w.w) as n_words, coalesce(k.n, 0) as n_removed,
+           sha256(array_to_string(case when k.n is null then w.w
+             else list_transform(list_sort(list_filter(range(1, len(w.w) + 1), lambda x: not list_contains(k.gone, x))),
+                                 lambda x: w.w[x]) end, ' ')) as kept_sha256
+    from w left join k using (doc_id)""",
+)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents"))
