@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oddlot.llm.containment import contained_items
 from oddlot.llm.parity_join import jaccard_components
 from oddlot.llm.recompression import remove_repeats
 
@@ -66,9 +67,9 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     f as (select h, min(doc_id) as d from p group by h),
     g as (select doc_id, list(i) as starts from p join f using (h) where p.doc_id > f.d group by doc_id),
     c as (select doc_id, unnest(starts) as i from g),
-    r as (select distinct doc_id, i + o as at from c cross join (select unnest(range(50)) as o)),
+    r as (select distinct doc_id, i + o as pos from c cross join (select unnest(range(50)) as o)),
     k as (
-      select doc_id, count(*) as n, coalesce(list(at), []) as gone from r group by doc_id)
+      select doc_id, count(*) as n, list(pos) as gone from r group by doc_id)
     select w.doc_id, len(w.w) as n_words, coalesce(k.n, 0) as n_removed,
            sha256(array_to_string(case when k.n is null then w.w
              else list_transform(list_sort(list_filter(range(1, len(w.w) + 1), lambda x: not list_contains(k.gone, x))),
@@ -77,3 +78,21 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents"))
+
+
+@query(
+    "op8_benchmark_containment",
+    f"""
+    with d as (select doc_id, {WORDS.format(LOWERED)} as w from documents),
+    b as (select item_id, {WORDS.format(LOWERED)} as w from benchmark),
+    ds as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [w]
+           else list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) end) as s from d),
+    bs as (select distinct item_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [w]
+           else list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) end) as s from b),
+    n as (select item_id, count(*) as n from bs group by 1)
+    select doc_id, item_id, n as n_item, count(*) as n_shared
+    from ds join bs using (s) join n using (item_id)
+    group by doc_id, item_id, n having 100 * count(*) >= 80 * n""",
+)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -224,4 +224,4 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     found = jaccard_components(docs, k, percent)
     gone = found.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

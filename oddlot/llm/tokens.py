@@ -124,6 +124,22 @@ def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
+def all_shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of consecutive texts, in order, and the first shingle of each text."""
+    sizes = np.diff(first)
+    counts = np.where(sizes >= k, sizes - k + 1, (sizes > 0).astype(np.int64))
+    begin = np.concatenate(([0], np.cumsum(counts)))
+    at = np.arange(begin[-1]) + np.repeat(first[:-1] - begin[:-1], counts)
+    padded = np.append(hashes, np.zeros(k, dtype=np.uint64))
+    total = np.full(len(at), number_mix(k), dtype=np.uint64)
+    for j in range(k):
+        total += padded[at + j] * _FACTORS[j]
+    out = mix(total)
+    for d in np.flatnonzero((sizes > 0) & (sizes < k)):
+        out[begin[d]] = shingle_hashes(hashes[first[d] : first[d + 1]], k)[0]
+    return out, begin
+
+
 def int64s(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
