@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddlot.llm.containment import contained_items
+from oddlot.llm.packing import pack_sequences
 from oddlot.llm.parity_join import jaccard_components
+from oddlot.llm.quality import quality_scores
 from oddlot.llm.recompression import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,3 +98,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op3_quality_classifier")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op4_packing")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_sequences(table(spark, folder, "documents"))
