@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddlot.llm.containment import contained_items
+from oddlot.llm.interleave import interleaved_shards
+from oddlot.llm.merkle import archived, audit
 from oddlot.llm.packing import pack_sequences
 from oddlot.llm.parity_join import jaccard_components
 from oddlot.llm.quality import quality_scores
 from oddlot.llm.recompression import remove_repeats
+from oddlot.llm.url_list import decided
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,3 +111,102 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_packing")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return pack_sequences(table(spark, folder, "documents"))
+
+
+@query(
+    "op5_temporal_url_filter",
+    r"""
+    with h as (
+      select distinct regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1) as host from pages where url is not null),
+    m as (select host, md5(host) as m, md5('p:' || host) as p from h where host <> ''),
+    d as (
+      select host, m, p, ascii(substr(m, 2, 1)) % 16 * 15 as a, (ascii(substr(m, 3, 1)) % 16 + 1) * 7 as b from m),
+    e as (
+      select host as key, 'add' as act, timestamp '2024-01-01' + to_days(a) as t from d where substr(m, 1, 1) < '4'
+      union all
+      select host, 'remove', timestamp '2024-01-01' + to_days(a + b) from d where substr(m, 1, 1) < '4'
+      union all
+      select host, 'add', timestamp '2024-01-01' + to_days(a + b + 30) from d
+      where substr(m, 1, 1) < '4' and substr(m, 4, 1) < '8'
+      union all
+      select host || '/en', 'add', timestamp '2024-01-01' + to_days(a) from d where substr(p, 1, 1) < '8'),
+    i as (
+      select * from (select key, act, t as since, lead(t) over (partition by key order by t, act) as until from e)
+      where act = 'add' and (until is null or until > since)),
+    c as (
+      select page_id, url, timestamp '2024-01-01' + to_hours((page_id * 7919) % 8784) as f, count(*) as n_rows
+      from pages group by 1, 2, 3),
+    k as (
+      select page_id, url, f, string_split(regexp_replace(regexp_replace(
+               regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '.') as l,
+             regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]*)', 1) as s
+      from c where url is not null),
+    a as (
+      select page_id, url, f, unnest(list_distinct(list_concat(
+        list_transform(range(1, greatest(len(l) - 1, 1) + 1), lambda j: array_to_string(l[j:], '.')),
+        [array_to_string(l, '.') || s]))) as key from k),
+    g as (
+      select page_id, url, f, key, row_number() over (partition by page_id, url, f order by length(key) desc, key desc) as r
+      from a join i using (key) where since <= f and (until is null or f < until))
+    select c.page_id, c.url, strftime(c.f, '%Y-%m-%d %H:%M:%S') as fetched_at, c.n_rows,
+           g.key is not null as blocked, g.key as matched_key
+    from c left join g on g.r = 1 and c.page_id is not distinct from g.page_id and c.url = g.url and c.f = g.f""",
+)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages carry no time and the tables no list, so both are derived: a capture's hour from its id, and
+    a dated list from hashes of the hosts that occur."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    start = "timestamp_ntz'2024-01-01 00:00:00'"
+    captures = pages.withColumn(
+        "fetched_at", F.expr(f"{start} + make_dt_interval(0, cast(pmod(page_id * 7919, 8784) as int))")
+    )
+    host = F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
+    hosts = pages.select(host.alias("host")).filter("host <> ''").distinct()
+    dated = hosts.withColumns({"m": F.md5("host"), "p": F.md5(F.concat(F.lit("p:"), "host"))}).withColumns(
+        {
+            "a": F.expr("ascii(substr(m, 2, 1)) % 16 * 15"),
+            "b": F.expr("(ascii(substr(m, 3, 1)) % 16 + 1) * 7"),
+        }
+    )
+    day = lambda days: F.expr(f"{start} + make_dt_interval({days})")
+    listed = dated.filter("substr(m, 1, 1) < '4'")
+    entries = (
+        listed.select(F.col("host").alias("key"), F.lit("add").alias("action"), day("a").alias("at"))
+        .union(listed.select("host", F.lit("remove"), day("a + b")))
+        .union(listed.filter("substr(m, 4, 1) < '8'").select("host", F.lit("add"), day("a + b + 30")))
+        .union(dated.filter("substr(p, 1, 1) < '8'").select(F.concat("host", F.lit("/en")), F.lit("add"), day("a")))
+    )
+    return decided(captures, entries).withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("op6_stratified_interleaving")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return interleaved_shards(table(spark, folder, "documents"))
+
+
+@query(
+    "op7_merkle_fixity",
+    r"""
+    with r as (
+      select page_id, page_id // 500 as archive, url,
+             'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: '
+             || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10)
+             || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) as record
+      from pages),
+    o as (
+      select *, strlen(record) as length,
+             coalesce(sum(strlen(record)) over (partition by archive order by page_id, url, sha256(record)
+                                                rows between unbounded preceding and 1 preceding), 0) as start
+      from r)
+    select archive, cast(start as bigint) as "offset", length, page_id as record_id,
+           case when page_id % 211 = 5 then 'missing' else 'altered' end as kind
+    from o where page_id % 97 = 13 or page_id % 211 = 5""",
+)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages as archived against a replica of them with damage derived from their ids: some digests
+    are those of altered bytes, some records are lost."""
+    records = archived(table(spark, folder, "pages"))
+    left = records.select("archive", "offset", "length", F.col("page_id").alias("record_id"), "digest")
+    damaged = F.when(F.col("record_id") % 97 == 13, F.sha2(F.concat("digest", F.lit("!")), 256)).otherwise(F.col("digest"))
+    right = left.withColumn("digest", damaged).filter("record_id is null or record_id % 211 <> 5")
+    return audit(left, right)

@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oddlot.llm import bitset
 from oddlot.llm.store import written
 from oddlot.llm.tokens import all_shingles, find_words, flat, lists, mix, slices
 
 FUNCTIONS = 24
-FILTER_BITS = 1 << 24
 _XOR = mix(np.arange(1, FUNCTIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TIMES = mix(np.arange(1001, 1001 + FUNCTIONS, dtype=np.uint64)) | np.uint64(1)
 
@@ -76,9 +76,8 @@ def _items(k: int):
 def _documents(k: int, classes: list[int], key_bits, shingle_bits):
     """Sketch keys and shingles that may occur in an item, for documents with such a key."""
 
-    def listed(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
-        at = x & np.uint64(FILTER_BITS - 1)
-        return (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
+    def hits(bits, x: np.ndarray) -> np.ndarray:
+        return bitset.listed(bits.value, x & np.uint64(bitset.BITS - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +100,7 @@ def _documents(k: int, classes: list[int], key_bits, shingle_bits):
                         least = np.minimum.reduceat((values ^ _XOR[f]) * _TIMES[f], starts)
                         least[:-1] = np.where(same, np.minimum(least[:-1], least[1:]), least[:-1])
                         keys = _key(least, f, c)
-                        hit = np.flatnonzero(listed(key_bits.value, keys))
+                        hit = np.flatnonzero(hits(key_bits, keys))
                         found.append(keys[hit])
                         owners.append(owner[hit])
                 found, owners = np.concatenate(found), np.concatenate(owners)
@@ -112,7 +111,7 @@ def _documents(k: int, classes: list[int], key_bits, shingle_bits):
                 sets = []
                 for d in docs:
                     own = values[begin[d] : begin[d + 1]]
-                    sets.append(np.unique(own[listed(shingle_bits.value, own)]))
+                    sets.append(np.unique(own[hits(shingle_bits, own)]))
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(docs + i)), lists(keys), lists(sets)], names=["doc_id", "keys", "shingles"]
                 )
@@ -120,18 +119,12 @@ def _documents(k: int, classes: list[int], key_bits, shingle_bits):
     return run
 
 
-def _bits(df: DataFrame, column: str) -> np.ndarray:
-    """A bit set of fixed size over all values of an array column."""
-    low = F.col("x").bitwiseAND(F.lit(FILTER_BITS - 1))
-    places = df.select(F.explode(column).alias("x")).select(low.cast("int").alias("at")).distinct().toArrow()
-    out = np.zeros(FILTER_BITS, dtype=np.uint8)
-    out[flat(places.column("at")).to_numpy()] = 1
-    return np.packbits(out)
+def _bits(df: DataFrame, column: str):
+    return bitset.build(df.select(F.explode(column).alias("x")), F.col("x").bitwiseAND(F.lit(bitset.BITS - 1)))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, item_id, n_item, n_shared`` for every item found in a document."""
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     wanted = written(
         items.select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -140,7 +133,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
         .filter("size(shingles) > 0")
     )
     classes = sorted(r[0] for r in wanted.select("size_class").distinct().collect())
-    shared = [spark.sparkContext.broadcast(_bits(wanted, c)) for c in ("keys", "shingles")]
+    shared = [_bits(wanted, c) for c in ("keys", "shingles")]
     seen = written(
         texts.mapInArrow(_documents(k, classes, *shared), "doc_id long, keys array<long>, shingles array<long>")
     )
