@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from oddlot.llm.containment import contained_items
 from oddlot.llm.interleave import interleaved_shards
+from oddlot.llm.lattice import near_vectors
 from oddlot.llm.merkle import archived, audit
 from oddlot.llm.packing import pack_sequences
 from oddlot.llm.parity_join import jaccard_components
@@ -210,3 +211,21 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     damaged = F.when(F.col("record_id") % 97 == 13, F.sha2(F.concat("digest", F.lit("!")), 256)).otherwise(F.col("digest"))
     right = left.withColumn("digest", damaged).filter("record_id is null or record_id % 211 <> 5")
     return audit(left, right)
+
+
+@query(
+    "op9_lattice_neighbours",
+    """
+    with recursive v as materialized (
+      select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+    p as materialized (
+      select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id
+      where list_cosine_similarity(a.e, b.e) >= 0.95),
+    r as (select vec_id as d, vec_id as c from v union select r.d, p.b from r join p on r.c = p.a),
+    n as (select a, count(*) as n from p group by a),
+    m as (select d, min(c) as c from r group by d)
+    select vec_id, coalesce(n.n, 0) as n_links, m.c as component_id, vec_id = m.c as kept
+    from v join m on m.d = v.vec_id left join n on n.a = v.vec_id""",
+)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings"))
