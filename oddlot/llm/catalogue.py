@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from oddlot.llm.containment import contained_items
 from oddlot.llm.interleave import interleaved_shards
 from oddlot.llm.lattice import near_vectors
+from oddlot.llm.licences import licensed_paragraphs
 from oddlot.llm.merkle import archived, audit
 from oddlot.llm.packing import pack_sequences
 from oddlot.llm.parity_join import jaccard_components
@@ -229,3 +230,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op2_licence_scan")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return licensed_paragraphs(table(spark, folder, "documents"))

@@ -79,12 +79,12 @@ def _vector(kinds: list[tuple[np.ndarray, np.ndarray]], d: int) -> tuple[np.ndar
     return at, np.bincount(where, weights=np.concatenate(values), minlength=len(at))
 
 
-def follow_leader(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
+def follow_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], bias: int = FEATURES) -> np.ndarray:
     """FTRL-proximal weights; the last one is the bias, which carries no penalty."""
-    z, n = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
+    z, n = np.zeros(bias + 1), np.zeros(bias + 1)
 
     def weights(at: np.ndarray) -> np.ndarray:
-        free = at == FEATURES
+        free = at == bias
         short = np.where(free, 0.0, L1)
         out = -(z[at] - np.sign(z[at]) * short) / ((BETA + np.sqrt(n[at])) / ALPHA + np.where(free, 0.0, L2))
         return np.where(np.abs(z[at]) <= short, 0.0, out)
@@ -96,7 +96,7 @@ def follow_leader(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
             sigma = (np.sqrt(n[at] + slope * slope) - np.sqrt(n[at])) / ALPHA
             z[at] += slope - sigma * w
             n[at] += slope * slope
-    return weights(np.arange(FEATURES + 1))
+    return weights(np.arange(bias + 1))
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
