@@ -6,7 +6,10 @@ listed value; a full one merely lets everything through, and what follows joins
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,3 +42,21 @@ def listed(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Which of the places are set."""
     place = place.astype(np.int64)
     return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs(doc_id, ...)`` whose id may occur in ``ids(doc_id)``; null ids do not.
+
+    A scan drops most other rows this way before anything of them is shuffled.
+    """
+    bits = build(ids, slot(F.col("doc_id")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where = batch.schema.get_field_index("__slot")
+            places = batch.column(where).to_numpy(zero_copy_only=False)
+            kept = batch.filter(pa.array(listed(bits.value, places)))
+            yield kept.drop_columns(["__slot"])
+
+    rows = docs.filter("doc_id is not null").withColumn("__slot", slot(F.col("doc_id")))
+    return rows.mapInArrow(run, docs.schema)

@@ -8,8 +8,9 @@ runs the rounds agree on every name without exchanging a dictionary.
 Each symbol carries the word range its naming depends on. Where a long substring repeats, symbols whose
 range lies inside it come out the same at every occurrence. Among the symbols whose range lies within a
 window of ``width`` words, the window is represented by one of the highest level, of these by the one
-with the least name; so equal windows have equal representatives. A representative is keyed by its name
-and the words of its range.
+with the least name; so equal windows have equal representatives. The key of a window is the name of its
+representative, how far before it the window begins in steps of ``NEAR``, and the words that all windows of that
+step share; so equal windows have equal keys, and a key stands for a stretch of ``width - NEAR + 1`` words.
 
 * Keys are counted over all documents. Windows whose key occurs in one word sequence only cannot repeat.
 * The other windows are hashed (96 bits of content hash), and the least document of each hash tells
@@ -33,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oddlot.llm import bitset
 from oddlot.llm.store import written
 from oddlot.llm.tokens import Words, find_words, flat, int64s, lists, mix, number_mix, slices
 
 ROUNDS = 3
+NEAR = 16
 FACTS = "doc_id long, n long, s1 long, s2 long, sha string, keys array<long>, spans array<long>"
 _P = 0x9FB21C651E98DF25
 _Q = 0xC2B2AE3D27D4EB4F
@@ -105,6 +108,7 @@ def levels(hashes: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> list[
 
 def representatives(hashes: np.ndarray, first: np.ndarray, width: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Windows (their first words, ascending) and the key of each window's representative."""
+    near = max(1, min(NEAR, width // 3))
     n = len(hashes)
     valid = np.zeros(n + 1, dtype=np.int64)
     long_enough = np.diff(first) >= width
@@ -136,7 +140,10 @@ def representatives(hashes: np.ndarray, first: np.ndarray, width: int, rounds: i
                 at = np.flatnonzero(depth == d)
                 x, y = best[d][a[at]], best[d][b[at] - (1 << d) + 1]
                 chosen[at] = np.where(name[x] <= name[y], x, y)
-            keys[open_[has]] = mix(name[chosen] + ranges.of(start[chosen], end[chosen]) + number_mix(level))
+            # Windows of one symbol go by how far they begin before it: ``near`` of them share a stretch.
+            begin = start[chosen] - (start[chosen] - p[has]) // near * near
+            place = number_mix(level) * (start[chosen] - begin + 1).astype(np.uint64)
+            keys[open_[has]] = mix(name[chosen] + place + ranges.of(begin, begin + width - near + 1))
             open_ = open_[~has]
         if not len(open_):
             break
@@ -290,17 +297,17 @@ def _repeats(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFr
         "doc_id", "s1", F.col("x.keys").alias("key"), F.col("x.spans").alias("span")
     )
     shared = rows.groupBy("key").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).filter("a != b").select("key")
-    spans = (
+    spans = written(
         rows.join(shared, "key")
         .join(copies.select("doc_id", "s1"), ["doc_id", "s1"], "left_anti")
         .groupBy("doc_id")
         .agg(F.collect_list("span").alias("spans"))
     )
     windows = written(
-        texts.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(_windows(width), "h long, c int, doc_id long")
+        bitset.only(texts, spans).join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(_windows(width), "h long, c int, doc_id long")
     )
     least = windows.groupBy("h", "c").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
-    gone = (
+    gone = written(
         windows.join(least.select("h", "c", "a"), ["h", "c"])
         .filter("doc_id > a")
         .groupBy("doc_id")
@@ -318,7 +325,8 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     facts, copies, gone = _repeats(texts, width)
     cut = (
-        texts.join(gone, "doc_id")
+        bitset.only(texts, gone)
+        .join(gone, "doc_id")
         .select("doc_id", "text", "gone")
         .mapInArrow(_digests(width), "doc_id long, s1 long, n_removed long, kept string")
         .dropDuplicates(["doc_id", "s1"])
@@ -351,7 +359,7 @@ def cut_texts(docs: DataFrame, width: int = 50) -> DataFrame:
         docs.join(listed.join(copied, "__id", "full"), docs.doc_id == F.col("__id"), "left")
         .withColumn("__text", F.when(F.col("__id").isNull(), F.col("text")).otherwise(cut("text", "__gone", "__copies")))
         .filter("__id is null or __text is not null or text is null")
-        .withColumn("n_chars", F.when(F.col("__text") == F.col("text"), F.col("n_chars")).otherwise(F.length("__text").cast("long")))
+        .withColumn("n_chars", F.when(F.col("__text").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("__text").cast("long")))
         .withColumn("text", F.col("__text"))
         .select(*docs.columns)
     )
