@@ -85,7 +85,7 @@ def _documents(k: int, classes: list[int], key_bits, shingle_bits):
             for i, j, data, offsets in slices(batch.column("text")):
                 words = find_words(data, offsets)
                 values, begin = all_shingles(words.hashes(lower=True), words.first, k)
-                if not len(values):
+                if not len(values) or not classes:
                     continue
                 found, owners = [], []
                 sizes = np.diff(begin)
