@@ -9,6 +9,7 @@ from oddlot.columns import AMOUNT, CUSTOMER, ID, MERCHANT, PAIR, PAIR_TEXT, RAW_
 from oddlot.operators.clean import keep_members
 from oddlot.operators.quantiles import table_quantiles
 from oddlot.operators.sampling import sample_exact
+from oddlot.operators.skew import join_same
 
 # Sample ratios offered.
 SAMPLE_RATIOS = (0.2, 0.3, 0.4, 0.5, 0.75)
@@ -80,10 +81,10 @@ def transaction_detail(df: DataFrame, ident) -> DataFrame:
 def customer_pairs_of(summary: DataFrame, df: DataFrame, ident) -> DataFrame:
     """Pair summary of the customer of one transaction."""
     owner = F.broadcast(transaction_detail(df, ident).select(CUSTOMER).limit(1))
-    return summary.join(owner, CUSTOMER, "left_semi")
+    return join_same(summary, owner, [CUSTOMER], "left_semi")
 
 
 def pair_history_of(df: DataFrame, ident, columns: list[str]) -> DataFrame:
     """What the pair of one transaction did over time."""
     owner = F.broadcast(transaction_detail(df, ident).select(*PAIR).limit(1))
-    return df.join(owner, list(PAIR), "left_semi").select(ID, TIME, *columns)
+    return join_same(df, owner, PAIR, "left_semi").select(ID, TIME, *columns)

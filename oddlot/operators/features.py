@@ -245,11 +245,8 @@ def daily_sequence(df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """
     key = [*PAIR, TIME]
     hot = profile(df, hot)
-    hourly = (
-        df.groupBy(*key)
-        .agg(F.count(ID).alias("hour_count"))
-        .join(group_quantiles(df, key, {AMOUNT: (AMOUNT, 0.5)}, hot), key)
-    )
+    counts = df.groupBy(*key).agg(F.count(ID).alias("hour_count"))
+    hourly = join_same(counts, group_quantiles(df, key, {AMOUNT: (AMOUNT, 0.5)}, hot), key, "inner")
     spans = hourly.groupBy(*PAIR).agg(
         F.min(TIME).alias("__start"), F.max(TIME).alias("__end"), F.count(TIME).alias("n_hour_groups")
     )
@@ -271,7 +268,7 @@ def daily_sequence(df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
         .drop("__start", "__end")
     )
     return (
-        calendar.join(hourly, key, "left")
+        join_same(calendar, hourly, key)
         .withColumn("total_days", whole)
         .withColumn(AMOUNT, F.coalesce(F.col(AMOUNT), F.lit(0.0)))
         .withColumn(PAIR_TEXT, text_key(*[F.col(k) for k in PAIR]))

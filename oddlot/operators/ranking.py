@@ -8,23 +8,16 @@ from pyspark.sql import functions as F
 
 from oddlot.session import settle
 
-ROWS_PER_RANGE = 1_000_000
 
-
-def with_row_index(
-    df: DataFrame, order: list[str | Column], out: str, rows_per_range: int = ROWS_PER_RANGE
-) -> DataFrame:
+def with_row_index(df: DataFrame, order: list[str | Column], out: str) -> DataFrame:
     """Add 0-based positions in the given order, which must be total.
 
     Rows are range partitioned and sorted; the position is the offset of the partition plus the
     position within it. The sorted rows are written once, because the offsets and the rows must
-    come from the same ranges. Offsets are one row per range.
+    come from the same ranges. There are as many ranges as the session has shuffle partitions, and
+    offsets are one row per range.
     """
-    total = df.count()
-    if total <= rows_per_range:
-        return df.withColumn(out, F.row_number().over(W.orderBy(*order)).cast("long") - 1)
-    ranges = -(-total // rows_per_range)
-    placed = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = settle(placed.withColumn("__at", F.monotonically_increasing_id()))
     # monotonically_increasing_id: partition number above the 33 bits of the position.
     placed = placed.withColumn("__range", F.shiftright("__at", 33)).withColumn(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from oddlot.columns import AMOUNT, CUSTOMER, ID, MERCHANT, TIME
 from oddlot.functions.scalars import SECONDS_PER_DAY, epoch_seconds, hours_between
 from oddlot.operators.quantiles import group_quantiles
-from oddlot.operators.skew import HotKeys, profile, with_previous_time
+from oddlot.operators.skew import HotKeys, join_same, profile, with_previous_time
 
 RFM = ("recency", "frequency", "monetary")
 
@@ -35,7 +35,7 @@ def customer_rfm(df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
         (hours_between(F.col("__last"), F.col("__first")) / (F.col("__n") - 1)).alias("frequency"),
     )
     money = group_quantiles(df, [CUSTOMER], {"monetary": (AMOUNT, 0.5)}, hot)
-    return facts.join(money, CUSTOMER).where(F.col("monetary").isNotNull())
+    return join_same(facts, money, [CUSTOMER], "inner").where(F.col("monetary").isNotNull())
 
 
 def merchant_rfm(df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
@@ -48,8 +48,7 @@ def merchant_rfm(df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     medians = group_quantiles(
         gaps, [MERCHANT], {"frequency": ("__gap", 0.5), "monetary": (AMOUNT, 0.5)}, hot
     )
-    return (
-        last.select(MERCHANT, hours_until_reference(df, F.col("__last")).alias("recency"))
-        .join(medians, MERCHANT)
-        .where(F.col("frequency").isNotNull() & F.col("monetary").isNotNull())
+    recency = last.select(MERCHANT, hours_until_reference(df, F.col("__last")).alias("recency"))
+    return join_same(recency, medians, [MERCHANT], "inner").where(
+        F.col("frequency").isNotNull() & F.col("monetary").isNotNull()
     )

@@ -9,18 +9,14 @@ from oddlot.columns import ID
 from oddlot.functions.scalars import md5_rank, md5_unit
 from oddlot.operators.quantiles import kth_smallest
 
-# Up to this many rows an ordered limit is sorted in one task.
-ORDERED_LIMIT_ROWS = 1_000_000
-
 
 def sample_exact(
-    df: DataFrame, n: int, seed: int = 0, ident: str = ID, total: int | None = None,
-    ordered_limit_rows: int = ORDERED_LIMIT_ROWS,
+    df: DataFrame, n: int, seed: int = 0, ident: str = ID, total: int | None = None
 ) -> DataFrame:
-    """``n`` rows without replacement: those with the smallest (hash, id).
+    """``n`` rows without replacement: those with the smallest (hash, id); null ids come last.
 
-    On a large table the rank-``n`` hash is found first and rows are kept by a plain filter, so
-    the sample itself is never gathered in one task.
+    The rank-``n`` hash is found first and rows are kept by a plain filter, so the sample itself is
+    never gathered in one task.
     """
     total = df.count() if total is None else total
     if n >= total:
@@ -28,9 +24,7 @@ def sample_exact(
     if n <= 0:
         return df.limit(0)
     order = [md5_rank(F.col(ident), seed), F.col(ident)]
-    if total <= ordered_limit_rows:
-        return df.orderBy(*order).limit(n)
-    unit = md5_unit(F.col(ident), seed)
+    unit = F.coalesce(md5_unit(F.col(ident), seed), F.lit(1.0))
     cut = kth_smallest(df.select(unit.alias("u")), "u", n - 1, total)
     below = df.where(unit < cut)
     missing = n - below.count()

@@ -13,7 +13,7 @@ from oddlot.columns import AMOUNT, CUSTOMER, ID
 from oddlot.functions.scalars import around_mean, min_max
 from oddlot.functions.student import t_statistic, two_sided_mass
 from oddlot.operators.quantiles import group_quantiles, table_quantiles
-from oddlot.operators.skew import HotKeys, profile, with_group_facts
+from oddlot.operators.skew import HotKeys, join_same, profile, with_group_facts
 
 MIN_MAX_SUFFIX = "_min_max_p_value"
 P_VALUE_SUFFIX = "_p_value"
@@ -36,7 +36,7 @@ def group_aggregates(
         F.min_by(ident, F.struct(F.col(value), F.col(ident))).alias("first_id"),
     )
     median = group_quantiles(df, keys, {"median": (value, 0.5)}, hot)
-    return basic.join(median, keys)
+    return join_same(basic, median, keys, "inner")
 
 
 def grouped_stats(df: DataFrame, value: str, keys: Iterable[str]) -> DataFrame:
@@ -154,6 +154,6 @@ def iqr_split(df: DataFrame, columns: list[str], entity: str = CUSTOMER) -> tupl
     """Inliers and outliers; an entity outlying in one of its rows goes to the outliers."""
     marked = with_iqr_outlier(df, columns, "__out")
     outlying = marked.where("__out").select(entity).distinct()
-    return df.join(outlying, entity, "left_anti"), df.join(outlying, entity, "left_semi")
+    return join_same(df, outlying, [entity], "left_anti"), join_same(df, outlying, [entity], "left_semi")
 
 

@@ -84,7 +84,9 @@ def inject_anomalies(
     # Skip the customer's own segments, lower one first.
     want = want + F.when(want >= at_index(start_of, F.col("__low")), at_index(size_of, F.col("__low"))).otherwise(0)
     want = want + F.when(want >= at_index(start_of, F.col("__high")), at_index(size_of, F.col("__high"))).otherwise(0)
-    df = df.withColumn("__place", F.when(F.col("__hit"), want))
+    # Rows that stay where they are have no place; each gets a number below zero of its own.
+    nowhere = -1 - F.pmod(F.xxhash64(F.col(ID)), F.lit(2**40))
+    df = df.withColumn("__place", F.when(F.col("__hit"), want).otherwise(nowhere))
     places = places.select("__place", F.col(MERCHANT).alias("__new"))
     # Merchants are spread evenly over places, so this join has no hot key of its own.
     moved = df.join(places, "__place", "left")

@@ -149,7 +149,7 @@ def test_forest_size_and_contamination(injected):
 
 def test_samples_are_exact_in_every_regime(spark):
     df = spark.range(5000).select(F.col("id").alias(ID), F.rand(1).alias("x"))
-    for trees, rows in ((3, 20), (40, 200), (200, 256)):
+    for trees, rows in ((3, 20), (40, 200), (200, 256), (200, 1), (200, 2), (200, 10)):
         drawn = isolation.tree_samples(df, ["x"], ID, 5000, trees, rows, 1)
         sizes = [r["count"] for r in drawn.groupBy("tree").count().collect()]
         assert len(sizes) == trees and set(sizes) == {rows}
@@ -205,6 +205,30 @@ def test_autoencoder_learns_and_round_trips(spark, cloud, monkeypatch):
     assert outer > inner
 
 
+def test_nets_pass_over_rows_that_lack_a_number(spark):
+    df = spark.range(500).select(
+        F.col("id").alias(ID), F.when(F.col("id") != 7, F.rand(1)).alias("a"), F.lit(0.5).alias("b")
+    )
+    net, _ = nets.fit_net(df, nets.symmetric_net(2, (4,)), ["a", "b"], epochs=2)
+    assert np.isfinite(net.weights).all()
+    scored = nets.with_reconstruction_error(df, net, ["a", "b"], "e")
+    assert [r[ID] for r in scored.where("e is null").collect()] == [7]
+
+
+def test_nets_do_not_depend_on_arrow_batches(spark, cloud):
+    _, df = cloud
+    sizes = []
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows in ("10000", "37"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            net, _ = nets.fit_net(df, nets.symmetric_net(3, (4,)), ["a", "b", "c"], epochs=2, batch=16)
+            sizes.append(net.weights)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert np.array_equal(*sizes)
+
+
 def test_model_search(spark):
     df = spark.range(400).select(
         F.col("id").alias(ID), (F.col("id") % 20).cast("double").alias("u"), F.sin("id").alias("v")
