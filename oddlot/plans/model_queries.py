@@ -18,18 +18,18 @@ from oddlot.operators.rfm import RFM, customer_rfm, merchant_rfm
 from oddlot.operators.sampling import split_ratio
 from oddlot.plans import model_search, score_run
 from oddlot.plans.basic_queries import CUSTOMER_RFM, MERCHANT_RFM, STAMP
-from oddlot.plans.feature_queries import FREQ_SCORE, RUN, freq_sql, slope_sql
-from oddlot.plans.feature_run import run_features
+from oddlot.plans.feature_queries import FREQ_SCORE, freq_sql, slope_sql
+from oddlot.plans.feature_run import run_features, score_columns
 from oddlot.plans.registry import EVENTS, LINES, events, lines, query, shown
 from oddlot.session import settle
 
-RUN_SCORES = [FREQ_SCORE, f.PEAK_SCORE, "slope"]
+RUN_SCORES = score_columns("all")
 SPLIT_DATE = "2024-01-24 00:00:00"
 
 
 def featured(spark, folder) -> DataFrame:
-    """Events with the three features that need no learner."""
-    return settle(run_features(events(spark, folder), RUN))
+    """Events with all registered features."""
+    return settle(run_features(events(spark, folder), "all"))
 
 
 def split(df: DataFrame):
@@ -196,26 +196,30 @@ def dbscan_sweep_eps(spark, folder):
     return shown(out, "outliers", digits={"eps": 6})
 
 
+def _divisor_sql(d: int) -> str:
+    near = "sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) <= 0.1"
+    return f"""po{d} as materialized (select * from pl, ce where x >= cx / {d} and y >= cy / {d}),
+nb{d} as (select p.id, p.x, p.y, count(*) as n from po{d} p join po{d} q on {near} group by p.id, p.x, p.y),
+best{d} as (select p.id, p.x, p.y, max(q.n) as best from po{d} p join nb{d} q on {near} group by p.id, p.x, p.y),
+lb{d} as (select x, y, best < (select count(*) from po{d}) - (select ms from star) as noise from best{d}),
+cal{d} as (select {d} as div, round(abs(
+    coalesce(max(x) filter (not noise), 0) + coalesce(max(y) filter (not noise), 0)
+    - coalesce(min(x) filter (noise), 0) - coalesce(min(y) filter (noise), 0)), 6) as cal from lb{d})"""
+
+
 @query(
     "dbscan_div_score",
     f"""with {PLANE_SQL},
 ce as (select avg(x) as cx, avg(y) as cy from pl),
-po as (select * from pl, ce where x >= cx / 2 and y >= cy / 2),
-nn as (select count(*) - cast(floor(count(*) * 0.9) as bigint) as ms from po),
-nb as (select p.id, p.x, p.y, count(*) as n from po p join po q
-       on sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) <= 0.1 group by p.id, p.x, p.y),
-best as (select p.id, p.x, p.y, max(q.n) as best from po p join nb q
-       on sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) <= 0.1 group by p.id, p.x, p.y),
-lb as (select x, y, best < (select ms from nn) as noise from best)
-select 2 as div, round(abs(
-    coalesce(max(x) filter (not noise), 0) + coalesce(max(y) filter (not noise), 0)
-    - coalesce(min(x) filter (noise), 0) - coalesce(min(y) filter (noise), 0)), 6) as cal from lb""",
+star as (select cast(floor(count(*) * 0.9) as bigint) as ms from pl, ce where x >= cx / 2 and y >= cy / 2),
+{', '.join(_divisor_sql(d) for d in noise.DIVISORS)}
+{' union all '.join(f'select * from cal{d}' for d in noise.DIVISORS)}""",
 )
 def dbscan_div_score(spark, folder):
     df = plane(spark, folder)
     centroid = noise.feature_means(df, PLANE)
     n = noise.candidates(df, PLANE, centroid, 2).count()
-    out = noise.sweep_divisors(df, PLANE, centroid, 0.1, int(n * 0.9), [2])
+    out = noise.sweep_divisors(df, PLANE, centroid, 0.1, int(n * 0.9))
     return shown(out, "div", digits={"cal": 6})
 
 
@@ -274,13 +278,13 @@ def ext_iforest(spark, folder):
 def autoencoder_fit(spark, folder):
     train, _ = split(featured(spark, folder))
     net = nets.symmetric_net(len(RUN_SCORES))
-    return nets.fit_net(train, net, RUN_SCORES, epochs=3)[1]
+    return nets.fit_net(train, net, RUN_SCORES)[1]
 
 
 @query("autoencoder_score")
 def autoencoder_score(spark, folder):
     train, test = split(featured(spark, folder))
-    net, _ = nets.fit_net(train, nets.symmetric_net(len(RUN_SCORES), (64, 32, 10)), RUN_SCORES)
+    net, _ = nets.fit_net(train, nets.symmetric_net(len(RUN_SCORES)), RUN_SCORES)
     return shown(
         nets.with_reconstruction_error(test, net, RUN_SCORES), ID, digits={"anomaly_ae_values": 4}
     )
@@ -321,9 +325,8 @@ def prediction_assemble(spark, folder):
 def all_scores(spark, folder):
     df = featured(spark, folder)
     train, test = split(df)
-    options = {"ae": {"widths": (32, 16), "epochs": 5}, "e_iso_f": {"trees": 200}}
-    models = score_run.fit_detectors(df, train, RUN_SCORES, "all", options)
-    out = score_run.score_detectors(models, df, train, test, RUN_SCORES, options)
+    models = score_run.fit_detectors(df, train, RUN_SCORES, "all")
+    out = score_run.score_detectors(models, df, train, test, RUN_SCORES)
     return shown(
         out, ID, "label_iso", "label_dbscan", digits={"label_e_iso": 6, "anomaly_ae_values": 4}
     )
@@ -414,12 +417,22 @@ def biased_sample(spark, folder):
     f"""with {SAMPLE_SQL},
 cm as (select c as customer_id, m as merchant_id, max(n_label) as c_m_label_t_count,
          max(n_pair) as c_m_t_count, cast(sum(iso) as bigint) as label_iso from sc group by 1, 2)
-select cm.* from cm where customer_id in (select c from sampled where a > 150)""",
+select cm.* from cm where customer_id in (select c from sampled)""",
 )
 def sample_drill(spark, folder):
     df = scored(spark, folder)
-    sample = explore.biased_sample(df, 0.2).where(F.col(AMOUNT) > 150)
-    return explore.of_customers(explore.pair_summary(df), sample)
+    return explore.of_customers(explore.pair_summary(df), explore.biased_sample(df, 0.2))
+
+
+@query(
+    "sample_history",
+    f"""with {SAMPLE_SQL} select id as "PaymentTransactionId", c as customer_id, round(a, 6) as "Amount"
+from sc where c in (select c from sampled)""",
+)
+def sample_history(spark, folder):
+    df = scored(spark, folder)
+    out = explore.of_customers(df, explore.biased_sample(df, 0.2))
+    return shown(out, ID, CUSTOMER, digits={AMOUNT: 6})
 
 
 @query(
@@ -506,11 +519,11 @@ def _training(spark, folder):
 
 
 # The grids of the registered searches.
-TREE_GRID = {"maxDepth": [2, 4], "maxIter": [5]}
+TREE_GRID = {"maxDepth": [2, 4], "maxIter": [20]}
 FOREST_GRID = {"maxDepth": [3, 5], "numTrees": [10]}
 LINEAR_GRID = {"regParam": [0.0, 0.1]}
 WIDTH_GRID = [(8,), (16, 8)]
-NET_EPOCHS = 3
+NET_EPOCHS = 10
 
 
 def _board(table: DataFrame) -> DataFrame:
@@ -542,13 +555,9 @@ def grid_dnn(spark, folder):
 
 
 def _bests(train: DataFrame, families: tuple[str, ...] = ("gbt", "rf", "glm", "dnn")) -> list:
-    grids = {
-        "gbt": {"maxDepth": [3], "maxIter": [5]},
-        "rf": {"maxDepth": [4], "numTrees": [10]},
-        "glm": {"regParam": [0.0]},
-    }
+    grids = {"gbt": TREE_GRID, "rf": FOREST_GRID, "glm": LINEAR_GRID}
     return [
-        model_search.grid_dense(train, REGRESSORS, [(8,)], NET_EPOCHS)[1]
+        model_search.grid_dense(train, REGRESSORS, WIDTH_GRID, NET_EPOCHS)[1]
         if name == "dnn"
         else model_search.grid_search(name, train, grids[name])[1]
         for name in families
