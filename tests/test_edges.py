@@ -3,8 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from oddlot.columns import AMOUNT, CUSTOMER, ID
-from oddlot.operators import clean, clusters, explore, features, noise, quantiles, sampling, skew, stats
+from oddlot.columns import AMOUNT, CUSTOMER, ID, MERCHANT
+from oddlot.operators import clean, clusters, explore, features, noise, quantiles, rfm, sampling, skew, stats
+from oddlot.plans.registry import lines
+from oddlot.sources import segments
+from tests.conftest import SMALL
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +52,28 @@ def test_top_entities_are_ordered(small_events):
     rows = explore.top_entities(small_events, CUSTOMER, AMOUNT, 3).collect()
     values = [r[AMOUNT] for r in rows]
     assert len(rows) == 3 and values == sorted(values, reverse=True)
+
+
+def test_groups_with_a_null_key_are_not_lost(small_events):
+    df = small_events.withColumn(CUSTOMER, F.when(F.col(ID) % 2 == 0, F.col(CUSTOMER)))
+    keys = df.select(CUSTOMER).distinct().count()
+    assert stats.group_aggregates(df, [CUSTOMER]).count() == keys
+    assert rfm.customer_rfm(df).where(F.col(CUSTOMER).isNull()).count() == 1
+    blank = small_events.withColumn(MERCHANT, F.when(F.col(MERCHANT) != "view", F.col(MERCHANT)))
+    assert rfm.merchant_rfm(blank).where(F.col(MERCHANT).isNull()).count() == 1
+    assert features.daily_sequence(df).where(F.col(CUSTOMER).isNull()).count() > 0
+
+
+def test_rows_without_a_new_merchant_are_spread(spark):
+    df = lines(spark, SMALL)
+    parts = segments.merchant_segments(df)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = segments.inject_anomalies(df, parts)
+        sizes = [r[0] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*")).select("count(1)").collect()]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sum(sizes) == df.count() and max(sizes) < 2.5 * sum(sizes) / 4
