@@ -186,6 +186,10 @@ def _counts(cosine: float):
     return run
 
 
+def _dot(x: str, y: str) -> F.Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda total, v: total + v)
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, seed: int = 9) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` per row of ``vectors(vec_id, embedding, ...)``."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -199,10 +203,20 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, seed: int = 9) -> Dat
 
     keyed = reps.select("rep", "embedding").mapInArrow(_cells(seed), "rep long, keys array<long>")
     cell_rows = written(keyed.select("rep", F.explode(F.array_distinct("keys")).alias("key")))
-    shared = cell_rows.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("key")
-    met = written(cell_rows.join(shared, "key"))
+    shared = written(
+        cell_rows.groupBy("key").agg(F.min("rep").alias("u"), F.max("rep").alias("v"), F.count("*").alias("n")).filter("n > 1")
+    )
+    met = written(cell_rows.join(shared.filter("n > 2").select("key"), "key"))
     tiled = _tiles(met, "key").join(reps.select("rep", "embedding"), "rep")
     links = tiled.groupBy("key", "low", "high").applyInArrow(_joins(cosine), "u long, v long").distinct()
+    # Most cells hold just two vectors, and two near ones meet in many cells; such a pair is tried once.
+    pairs = (
+        shared.filter("n = 2").select("u", "v").distinct()
+        .join(reps.select(F.col("rep").alias("u"), F.col("embedding").alias("x")), "u")
+        .join(reps.select(F.col("rep").alias("v"), F.col("embedding").alias("y")), "v")
+        .filter((F.size("x") == F.size("y")) & (_dot("x", "y") >= cosine * F.sqrt(_dot("x", "x")) * F.sqrt(_dot("y", "y"))))
+    )
+    links = links.unionByName(pairs.select("u", "v"))
     # Rows of one id hold different vectors; the id is one node.
     same = members.filter("vec_id != rep").select(F.col("vec_id").alias("u"), F.col("rep").alias("v"))
     components = connected(links.unionByName(same))

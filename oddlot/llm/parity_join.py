@@ -14,8 +14,10 @@ shingles with similarity ``t`` or more differ in at most ``d = (a + b)(1 - t)/(1
   symmetric difference. What is left is verified on the exact sets.
 
 Links are needed for components, not one by one. Sets that share a block are first linked along a
-chain in hashed order. Then only pairs that share a block and lie in different components are tried,
-all of them, so the components are exact while a group of near copies costs a few rows per member.
+chain in hashed order. Where a block still holds several components, its members are compared in tiles,
+each member outside a tile's commonest component with all others, and a tile returns only links that
+join what was apart. So components are exact, no pairs are emitted, and a group of near copies costs
+comparisons only for those of its members that are not linked to the rest.
 Equal sets are linked through their smallest document and never paired with one another; a task sends
 the blocks of equal sets once. Block rows are three numbers wide; a block that very many sets share is
 sorted as a stream that spills, nothing of it is held in memory.
@@ -34,10 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from oddlot.llm import bitset
 from oddlot.llm.graph import connected
 from oddlot.llm.store import written
-from oddlot.llm.tokens import find_words, flat, int64s, lists, mix, number_mix, shingle_hashes, slices
+from oddlot.llm.tokens import all_shingles, find_words, flat, int64s, lists, mix, number_mix, slices
 
+#: Shingles in a slice of a cluster whose members are compared with one another.
+TILE = 250_000
 SKETCH_WORDS = ["s0", "s1", "s2", "s3"]
 FACTS = "doc_id long, n long, hi long, lo long, s0 long, s1 long, s2 long, s3 long, keys array<long>"
 
@@ -91,11 +96,11 @@ def _facts(k: int, percent: int):
             ids = flat(batch.column("doc_id"))
             for i, j, data, offsets in slices(batch.column("text")):
                 words = find_words(data, offsets)
-                hashes = words.hashes(lower=True)
+                values, begin = all_shingles(words.hashes(lower=True), words.first, k)
                 numbers = np.zeros((7, j - i), dtype=np.uint64)
                 keys = []
                 for d in range(j - i):
-                    found = np.unique(shingle_hashes(hashes[words.first[d] : words.first[d + 1]], k))
+                    found = np.unique(values[begin[d] : begin[d + 1]])
                     numbers[0, d] = len(found)
                     if not len(found):
                         keys.append(none)
@@ -115,40 +120,50 @@ def _facts(k: int, percent: int):
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, bits):
+    """The sets of the documents whose bit is set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = flat(batch.column("doc_id"))
-            for i, j, data, offsets in slices(batch.column("text")):
+            wanted = pa.array(bitset.listed(bits.value, flat(batch.column("slot")).to_numpy()))
+            ids, texts = flat(batch.column("doc_id")).filter(wanted), flat(batch.column("text")).filter(wanted)
+            for i, j, data, offsets in slices(texts):
                 words = find_words(data, offsets)
-                hashes = words.hashes(lower=True)
-                parts = [
-                    np.unique(shingle_hashes(hashes[words.first[d] : words.first[d + 1]], k)) for d in range(j - i)
-                ]
+                values, begin = all_shingles(words.hashes(lower=True), words.first, k)
+                parts = [np.unique(values[begin[d] : begin[d + 1]]) for d in range(j - i)]
                 yield pa.RecordBatch.from_arrays([ids[i:j], lists(parts)], names=["doc_id", "items"])
 
     return run
 
 
+def _sets_of(ids: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """``(doc_id, items)`` for at least the documents in ``ids(doc_id)``, without a shuffle of texts."""
+    bits = bitset.build(ids, bitset.slot(F.col("doc_id")))
+    found = texts.filter("doc_id is not null").withColumn("slot", bitset.slot(F.col("doc_id")))
+    sets = written(found.mapInArrow(_sets(k, bits), "doc_id long, items array<long>"))
+    bits.unpersist()
+    return sets
+
+
 def _linked(pairs: DataFrame, facts: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose exact sets reach the similarity."""
-    side = facts.select("doc_id", "n", *SKETCH_WORDS)
+    side = facts.select("doc_id", "n", "hi", "lo", *SKETCH_WORDS)
     left = side.select(*(F.col(c).alias(f"a_{c}") for c in side.columns))
     right = side.select(*(F.col(c).alias(f"b_{c}") for c in side.columns))
     small = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
     apart = sum(F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SKETCH_WORDS)
     near = apart * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)
+    # Equal sets are linked already.
+    differ = ~(F.struct("a_n", "a_hi", "a_lo") == F.struct("b_n", "b_hi", "b_lo"))
     screened = written(
         pairs.join(left, F.col("a") == F.col("a_doc_id"))
         .join(right, F.col("b") == F.col("b_doc_id"))
-        .filter(small & near)
+        .filter(small & near & differ)
         .select("a", "b")
         .distinct()
     )
     ends = screened.select(F.col("a").alias("doc_id")).union(screened.select("b")).distinct()
-    sets = written(
-        texts.join(ends, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, items array<long>")
-    )
+    sets = _sets_of(ends, texts, k)
     both = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - both
     return written(
@@ -159,6 +174,120 @@ def _linked(pairs: DataFrame, facts: DataFrame, texts: DataFrame, k: int, percen
     )
 
 
+def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after adding links ``(u, v)`` to those of ``known(node, component)``."""
+    label = known.withColumnRenamed("component", "label")
+    ends = links.join(label.select(F.col("node").alias("u"), F.col("label").alias("x")), "u", "left").join(
+        label.select(F.col("node").alias("v"), F.col("label").alias("y")), "v", "left"
+    )
+    ends = written(ends.select("u", "v", F.coalesce("x", "u").alias("x"), F.coalesce("y", "v").alias("y")))
+    joined = connected(ends.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    new = ends.select(F.col("u").alias("node")).union(ends.select("v")).distinct().join(known, "node", "left_anti")
+    every = known.unionByName(new.withColumn("component", F.col("node")))
+    joined = joined.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    return written(every.join(joined, "component", "left").select("node", F.coalesce("least", "component").alias("component")))
+
+
+def _clusters(shared: DataFrame, known: DataFrame, copies: DataFrame) -> DataFrame:
+    """``(doc_id, component, cluster)`` of documents in blocks with several components.
+
+    Equal sets are stood for by their smallest document: ``copies(u, v)`` names it. A cluster joins what such
+    blocks connect, so any pair still to be tried lies within one.
+    """
+    marked = shared.join(known, shared.doc_id == known.node, "left").select(
+        "key", "doc_id", F.coalesce("component", "doc_id").alias("component")
+    )
+    mixed = marked.groupBy("key").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.min("doc_id").alias("head")
+    ).filter("x < y")
+    rows = written(marked.join(mixed.select("key", "head"), "key").select("doc_id", "component", "head").distinct())
+    clusters = connected(rows.select(F.col("doc_id").alias("u"), F.col("head").alias("v")))
+    clusters = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    return (
+        rows.select("doc_id", "component")
+        .join(clusters, "doc_id")
+        .join(copies.select(F.col("u").alias("doc_id"), F.col("v").alias("first")), "doc_id", "left")
+        .select(F.coalesce("first", "doc_id").alias("doc_id"), "component", "cluster")
+        .distinct()
+    )
+
+
+def _forest(links: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    """The links that join what was apart before."""
+    parent = list(range(size))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for a, b in links:
+        x, y = root(a), root(b)
+        if x != y:
+            parent[x] = y
+            out.append((a, b))
+    return out
+
+
+def _compare(percent: int):
+    """A forest of the links between different components within a tile: one slice of a cluster, or two."""
+
+    def run(tile: pa.Table) -> pa.Table:
+        items = flat(tile.column("items"))
+        tile = tile.take(pa.array(np.argsort(np.diff(items.offsets.to_numpy()), kind="stable")))
+        doc, part, own = (tile.column(c).to_numpy() for c in ("doc_id", "component", "own"))
+        items = flat(tile.column("items"))
+        begin = items.offsets.to_numpy()
+        names, places = np.unique(items.values.to_numpy()[begin[0] : begin[-1]], return_inverse=True)
+        begin = begin - begin[0]
+        sizes = np.diff(begin)
+        twice = tile.column("low")[0].as_py() != tile.column("high")[0].as_py()
+        values, counts = np.unique(part, return_counts=True)
+        mine = np.zeros(len(names), dtype=np.int32)
+        # Sets that can be linked with one another have similar sizes and so stand close together.
+        least = np.searchsorted(sizes, -(-sizes * percent // 100), "left")
+        most = np.searchsorted(sizes, sizes * 100 // percent, "right")
+        found: list[tuple[int, int]] = []
+        # Links of the commonest component are found from their other ends.
+        for a in np.flatnonzero(part != values[counts.argmax()]):
+            lo, hi = least[a], most[a]
+            other = part[lo:hi] != part[a]
+            if twice:
+                other &= own[lo:hi] != own[a]
+            if not other.any():
+                continue
+            mine[places[begin[a] : begin[a + 1]]] = 1
+            both = np.add.reduceat(mine[places[begin[lo] : begin[hi]]], begin[lo:hi] - begin[lo])
+            mine[places[begin[a] : begin[a + 1]]] = 0
+            linked = other & (both * 100 >= (sizes[lo:hi] + sizes[a] - both) * percent)
+            found += [(a, lo + b) for b in np.flatnonzero(linked)]
+        ends = np.array([(doc[a], doc[b]) for a, b in _forest(found, len(doc))], dtype=np.int64).reshape(-1, 2)
+        return pa.table({"u": pa.array(ends[:, 0].copy()), "v": pa.array(ends[:, 1].copy())})
+
+    return run
+
+
+def _tiled_links(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links that connect the components within each cluster, found in tiles of bounded size.
+
+    A cluster's members are dealt into slices of about ``TILE`` shingles, and each pair of slices is one
+    group. A tile emits a forest, fewer rows than it has members.
+    """
+    members = written(members)
+    sets = _sets_of(members.select("doc_id"), texts, k).filter("size(items) > 0")
+    sized = written(members.join(sets, "doc_id"))
+    parts = sized.groupBy("cluster").agg(F.ceil(F.sum(F.size("items")) / TILE).alias("parts"))
+    dealt = (
+        sized.join(parts, "cluster")
+        .withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.col("parts")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        .select("cluster", "doc_id", "component", "items", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    )
+    return written(dealt.groupBy("cluster", "low", "high").applyInArrow(_compare(percent), "u long, v long").distinct())
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row of ``docs(doc_id, text, ...)``.
 
@@ -167,13 +296,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     facts = written(texts.mapInArrow(_facts(k, percent), FACTS))
-    known = facts.filter("doc_id is not null and n > 0")
-    heads = known.groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("head"))
-    copies = known.join(heads, ["n", "hi", "lo"]).filter("doc_id != head").select(
+    sets = facts.filter("doc_id is not null and n > 0")
+    heads = sets.groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("head"))
+    copies = sets.join(heads, ["n", "hi", "lo"]).filter("doc_id != head").select(
         F.col("doc_id").alias("u"), F.col("head").alias("v")
     )
 
-    rows = known.select("doc_id", F.explode("keys").alias("key"))
+    rows = sets.select("doc_id", F.explode("keys").alias("key"))
     order = Window.partitionBy("key").orderBy(F.xxhash64("doc_id"), "doc_id")
     shared = written(
         rows.select("key", "doc_id", F.lead("doc_id").over(order).alias("after"), F.lag("doc_id").over(order).alias("before"))
@@ -185,35 +314,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         .select(F.least("doc_id", "after").alias("a"), F.greatest("doc_id", "after").alias("b"))
         .distinct()
     )
-    edges = _linked(chain, facts, texts, k, percent).unionByName(copies)
-    first = connected(edges)
-
-    marked = shared.join(first, shared.doc_id == first.node, "left").select(
-        "key", "doc_id", F.coalesce("component", "doc_id").alias("component")
-    )
-    mixed = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-    left = written(marked.join(mixed.select("key"), "key", "left_semi").distinct())
-    right = left.select("key", F.col("doc_id").alias("other"), F.col("component").alias("apart"))
-    rest = (
-        left.join(right, "key")
-        .filter("component < apart")
-        .select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"))
-        .distinct()
-        .join(chain, ["a", "b"], "left_anti")
-    )
-    more = _linked(rest, facts, texts, k, percent)
-    joined = connected(
-        more.join(first.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left")
-        .join(first.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
-        .select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-    )
-    merged = joined.select(F.col("node").alias("base"), F.col("component").alias("merged"))
+    known = connected(_linked(chain, facts, texts, k, percent).unionByName(copies))
+    # A document that has several rows keeps its own place, as its sets may differ.
+    once = sets.groupBy(F.col("doc_id").alias("u")).count().filter("count = 1")
+    stood_for = copies.join(once, "u", "left_semi")
+    known = _merged(known, _tiled_links(_clusters(shared, known, stood_for), texts, k, percent))
     return (
         facts.select("doc_id", F.col("n").alias("n_shingles"))
-        .join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-        .withColumn("base", F.coalesce("component", "doc_id"))
-        .join(merged, "base", "left")
-        .select("doc_id", "n_shingles", F.coalesce("merged", "base").alias("component_id"))
+        .join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     )
 
 
