@@ -18,9 +18,9 @@ chain in hashed order. Where a block still holds several components, its members
 each member outside a tile's commonest component with all others, and a tile returns only links that
 join what was apart. So components are exact, no pairs are emitted, and a group of near copies costs
 comparisons only for those of its members that are not linked to the rest.
-Equal sets are linked through their smallest document and never paired with one another; a task sends
-the blocks of equal sets once. Block rows are three numbers wide; a block that very many sets share is
-sorted as a stream that spills, nothing of it is held in memory.
+Equal sets are linked through their smallest document, and only one of them sends its blocks. Block rows
+are two numbers wide; a block that very many sets share is sorted as a stream that spills, nothing of it
+is held in memory.
 
 Rows of one ``doc_id`` count as one node. A null id stands alone with a null component. Null and empty
 texts have no shingles and no links.
@@ -44,7 +44,7 @@ from oddlot.llm.tokens import all_shingles, find_words, flat, int64s, lists, mix
 #: Shingles in a slice of a cluster whose members are compared with one another.
 TILE = 250_000
 SKETCH_WORDS = ["s0", "s1", "s2", "s3"]
-FACTS = "doc_id long, n long, hi long, lo long, s0 long, s1 long, s2 long, s3 long, keys array<long>"
+FACTS = "doc_id long, n long, hi long, lo long, s0 long, s1 long, s2 long, s3 long, sends boolean, keys array<long>"
 
 
 @lru_cache(maxsize=None)
@@ -113,13 +113,48 @@ def _facts(k: int, percent: int):
                     keys.append(none if same in sent else block_keys(found, percent))
                     sent.add(same)
                 yield pa.RecordBatch.from_arrays(
-                    [ids[i:j], *(int64s(row) for row in numbers), lists(keys)],
-                    names=["doc_id", "n", "hi", "lo", *SKETCH_WORDS, "keys"],
+                    [ids[i:j], *(int64s(row) for row in numbers), pa.array([len(x) > 0 for x in keys]), lists(keys)],
+                    names=["doc_id", "n", "hi", "lo", *SKETCH_WORDS, "sends", "keys"],
                 )
 
     return run
 
 
+def _spread(bits):
+    """A row for each key, and whether its sender may be listed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = flat(batch.column("keys"))
+            counts = np.diff(keys.offsets.to_numpy())
+            maybe = bitset.listed(bits.value, flat(batch.column("slot")).to_numpy())
+            owner = pa.array(np.repeat(np.arange(len(keys)), counts))
+            yield pa.RecordBatch.from_arrays(
+                [keys.flatten(), *(batch.column(c).take(owner) for c in ("doc_id", "hi")), pa.array(maybe).take(owner)],
+                names=["key", "doc_id", "hi", "maybe"],
+            )
+
+    return run
+
+
+def _block_rows(sets: DataFrame) -> DataFrame:
+    """``(key, doc_id)`` of one sender per set.
+
+    Each task has sent the blocks of a set once; what further tasks sent for an equal set is dropped. A
+    bit set spares the shuffle of all but these senders' rows.
+    """
+    senders = sets.filter("sends").select("doc_id", "n", "hi", "lo")
+    first = senders.groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("first"))
+    extra = written(senders.join(first, ["n", "hi", "lo"]).filter("doc_id != first").select("doc_id", "hi").distinct())
+    place = F.xxhash64("doc_id", "hi").bitwiseAND(F.lit(bitset.BITS - 1))
+    bits = bitset.build(extra, place)
+    rows = sets.filter("sends").select("doc_id", "hi", "keys", place.alias("slot")).mapInArrow(
+        _spread(bits), "key long, doc_id long, hi long, maybe boolean"
+    )
+    sure = rows.filter("not maybe").select("key", "doc_id")
+    return sure.unionByName(rows.filter("maybe").join(extra, ["doc_id", "hi"], "left_anti").select("key", "doc_id"))
+
+
 def _sets(k: int, bits):
     """The sets of the documents whose bit is set."""
 
@@ -188,11 +223,10 @@ def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
     return written(every.join(joined, "component", "left").select("node", F.coalesce("least", "component").alias("component")))
 
 
-def _clusters(shared: DataFrame, known: DataFrame, copies: DataFrame) -> DataFrame:
+def _clusters(shared: DataFrame, known: DataFrame) -> DataFrame:
     """``(doc_id, component, cluster)`` of documents in blocks with several components.
 
-    Equal sets are stood for by their smallest document: ``copies(u, v)`` names it. A cluster joins what such
-    blocks connect, so any pair still to be tried lies within one.
+    A cluster joins what such blocks connect, so any pair still to be tried lies within one.
     """
     marked = shared.join(known, shared.doc_id == known.node, "left").select(
         "key", "doc_id", F.coalesce("component", "doc_id").alias("component")
@@ -203,13 +237,7 @@ def _clusters(shared: DataFrame, known: DataFrame, copies: DataFrame) -> DataFra
     rows = written(marked.join(mixed.select("key", "head"), "key").select("doc_id", "component", "head").distinct())
     clusters = connected(rows.select(F.col("doc_id").alias("u"), F.col("head").alias("v")))
     clusters = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    return (
-        rows.select("doc_id", "component")
-        .join(clusters, "doc_id")
-        .join(copies.select(F.col("u").alias("doc_id"), F.col("v").alias("first")), "doc_id", "left")
-        .select(F.coalesce("first", "doc_id").alias("doc_id"), "component", "cluster")
-        .distinct()
-    )
+    return rows.select("doc_id", "component").distinct().join(clusters, "doc_id")
 
 
 def _forest(links: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
@@ -302,7 +330,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         F.col("doc_id").alias("u"), F.col("head").alias("v")
     )
 
-    rows = sets.select("doc_id", F.explode("keys").alias("key"))
+    rows = _block_rows(sets)
     order = Window.partitionBy("key").orderBy(F.xxhash64("doc_id"), "doc_id")
     shared = written(
         rows.select("key", "doc_id", F.lead("doc_id").over(order).alias("after"), F.lag("doc_id").over(order).alias("before"))
@@ -315,10 +343,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         .distinct()
     )
     known = connected(_linked(chain, facts, texts, k, percent).unionByName(copies))
-    # A document that has several rows keeps its own place, as its sets may differ.
-    once = sets.groupBy(F.col("doc_id").alias("u")).count().filter("count = 1")
-    stood_for = copies.join(once, "u", "left_semi")
-    known = _merged(known, _tiled_links(_clusters(shared, known, stood_for), texts, k, percent))
+    known = _merged(known, _tiled_links(_clusters(shared, known), texts, k, percent))
     return (
         facts.select("doc_id", F.col("n").alias("n_shingles"))
         .join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
