@@ -33,7 +33,9 @@ from oddlot.llm.tokens import _SPACE, Words, flat, slices
 LENGTH = 1024
 GRAIN = 128
 GROUP = 4096
-CACHE = 400_000
+CACHE = 1_000_000
+#: Units encoded as one text.
+TOGETHER = 4096
 END = 0
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -71,24 +73,36 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # A byte-level token's name has one character for each of its bytes.
+        self.bytes = np.zeros(1 + max(self.tokenizer.get_vocab().values()), dtype=np.int64)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.bytes[number] = len(token)
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[int, int] = {}
-        self.pool, self.begin, self.size = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-        self.used = 0
-
-    def _learn(self, codes: list[int], texts: list[str]) -> None:
-        for code, found in zip(codes, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids, row = found.ids, len(self.known)
-            if self.used + len(ids) > len(self.pool):
-                self.pool = np.append(self.pool, np.zeros(len(self.pool) + len(ids), np.uint32))
-            if row == len(self.begin):
-                self.begin, self.size = (np.append(x, np.zeros(len(x), np.int64)) for x in (self.begin, self.size))
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.begin[row], self.size[row] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[code] = row
+        self.pool, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, codes: list[int], raw: list[bytes], plain: np.ndarray) -> None:
+        """Encode units. Plain ones are put one after another and encoded together: the pattern splits
+        before each, and the lengths of the tokens in bytes tell where one ends."""
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+        n = int(plain.sum())
+        joined = [raw[x] for x in order[:n]]
+        texts = [b"".join(joined[x : x + TOGETHER]).decode() for x in range(0, n, TOGETHER)]
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        together = [np.array(e.ids, dtype=np.uint32) for e in encoded]
+        alone = [
+            np.array(e.ids, dtype=np.uint32)
+            for e in self.tokenizer.encode_batch_fast([raw[x].decode() for x in order[n:]], add_special_tokens=False)
+        ]
+        flat_ids = np.concatenate([*together, np.zeros(0, np.uint32)])
+        ends = np.searchsorted(np.cumsum(self.bytes[flat_ids]), np.cumsum([len(x) for x in joined]), "left") + 1
+        sizes = np.concatenate((np.diff(ends, prepend=0), [len(x) for x in alone])).astype(np.int64)
+        self.known.update(zip([codes[x] for x in order], range(len(self.known), len(self.known) + len(order))))
+        self.begin = np.append(self.begin, len(self.pool) + np.cumsum(sizes) - sizes)
+        self.size = np.append(self.size, sizes)
+        self.pool = np.concatenate([self.pool, flat_ids, *alone])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         spans = units(data, offsets)
@@ -97,19 +111,28 @@ class Encoder:
         if len(self.known) > CACHE:
             self._clear()
         asked = values.tolist()
+        odd, whole = _odd(data), data.tobytes()
+        marked = any(mark in whole for mark in self.special)
         new = [x for x, code in enumerate(asked) if code not in self.known]
         if new:
-            starts, ends = spans.starts[one], spans.ends[one]
-            self._learn([asked[x] for x in new], [data[starts[x] : ends[x]].tobytes().decode() for x in new])
+            units_of = one[new]
+            raw = [data[a:b].tobytes() for a, b in zip(spans.starts[units_of].tolist(), spans.ends[units_of].tolist())]
+            plain = _SPACE[data[spans.starts[units_of]]] & ~_SPACE[data[spans.ends[units_of] - 1]]
+            plain &= ~np.isin(units_of, np.searchsorted(spans.starts, odd, "right") - 1)
+            if marked:
+                plain &= np.array([not any(mark in x for mark in self.special) for x in raw])
+            self._learn([asked[x] for x in new], raw, plain)
         rows = np.fromiter((self.known[code] for code in asked), np.int64, len(asked))[inverse]
         sizes = self.size[rows]
         before = np.concatenate(([0], np.cumsum(sizes)))
         ids = self.pool[np.arange(before[-1]) + np.repeat(self.begin[rows] - before[:-1], sizes)]
         cut = before[spans.first]
         out = [ids[cut[d] : cut[d + 1]] for d in range(len(offsets) - 1)]
-        odd = set((np.searchsorted(offsets, _odd(data), "right") - 1).tolist())
+        odd = set((np.searchsorted(offsets, odd, "right") - 1).tolist())
         for d in range(len(out)):
-            text = data[offsets[d] : offsets[d + 1]].tobytes()
+            if not marked and d not in odd:
+                continue
+            text = whole[offsets[d] : offsets[d + 1]]
             if d in odd or any(mark in text for mark in self.special):
                 out[d] = np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype=np.uint32)
         return out
