@@ -5,7 +5,7 @@ Keys with few rows use ordinary windows: one exchange, no join. A key with more
 partially aggregated facts:
 
 * group facts come from a ``groupBy`` (combined before the shuffle) and are broadcast back; there
-  are at most ``MAX_HOT_KEYS`` such keys, which bounds the broadcast;
+  are at most (rows / threshold) such keys, which bounds the broadcast;
 * ordered facts are computed on the distinct times of the key, never on its rows.
 
 Hotness only chooses the plan. The result is the same for any threshold.
@@ -26,7 +26,6 @@ from oddlot.functions.scalars import epoch_seconds
 from oddlot.session import settle
 
 HOT_ROWS = 2_000_000
-MAX_HOT_KEYS = 100_000
 SALTS = 32
 ALL_HOT = "all hot"
 
@@ -66,19 +65,10 @@ class HotKeys:
 
 
 def _find(df: DataFrame, keys: tuple[str, ...], hot_rows: int) -> DataFrame | None:
-    # The largest MAX_HOT_KEYS groups: whatever lies beyond holds under total/MAX_HOT_KEYS rows.
-    counted = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > hot_rows)
-        .orderBy(F.desc("__n"))
-        .limit(MAX_HOT_KEYS)
-        .drop("__n")
-    )
-    rows = counted.collect()
-    if not rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, counted.schema)
+    # Every key above the threshold: at most total / hot_rows of them, so the table may be broadcast.
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).drop("__n")
+    table = settle(counted)
+    return None if table.isEmpty() else table
 
 
 def find_hot_keys(df: DataFrame, hot_rows: int | None = None) -> HotKeys:
@@ -135,7 +125,7 @@ def with_group_facts(
             window = W.partitionBy(*keys)
             return part.withColumns({name: agg.over(window) for name, agg in facts.items()})
         summary = part.groupBy(*keys).agg(*[agg.alias(name) for name, agg in facts.items()])
-        # One row per hot key, so never more than MAX_HOT_KEYS rows.
+        # One row per hot key, so at most rows / threshold.
         return settle(join_same(part, F.broadcast(summary), keys))
 
     return in_parts(df, keys, hot, work)
