@@ -42,7 +42,7 @@ from oddlot.llm.store import written
 from oddlot.llm.tokens import all_shingles, find_words, flat, int64s, lists, mix, number_mix, slices
 
 #: Shingles in a slice of a cluster whose members are compared with one another.
-TILE = 250_000
+TILE = 1_000_000
 SKETCH_WORDS = ["s0", "s1", "s2", "s3"]
 FACTS = "doc_id long, n long, hi long, lo long, s0 long, s1 long, s2 long, s3 long, sends boolean, keys array<long>"
 
