@@ -7,13 +7,20 @@ without a licence's words costs a table look-up per n-gram.
 
 Training rows are variants of the families' notices (words dropped, ordinary words of the corpus around
 them) against ordinary paragraphs of at most ``SAMPLE`` documents, the first in a hashed order. A third of
-the variants is held back to calibrate: one temperature for all families minimises the held-back log
-loss, and where no family then reaches one half the paragraph is of the unknown class.
+the variants is held back.
+
+One more regression tells licence wording of any family, those of ``OTHERS`` included, from ordinary prose.
+For calibration each of ``FOLDS`` rounds also leaves whole families and some ordinary sentences (``PROSE``)
+out of training and scores the families as unknowns. On the held-back scores of all rounds one temperature minimises the log loss and two thresholds
+are set: the best family counts where it stands apart from unknown families; below that a paragraph with
+licence wording is reported as ``unknown``. Families of ``OTHERS`` train the thresholds and are ``unknown`` too.
+
 What is predicted is compared with the family's notices: ``overlap`` is the largest share of a notice's
 two-word shingles found in the paragraph, and ``confirmed`` means ``CONFIRMED`` or more.
 
 Null and empty texts have no paragraphs. Rows with a null id, repeated rows and repeated paragraphs are
-reported like any others, each with its line number. Extra columns are ignored.
+reported like any others, each with its line number. An ``unknown`` row has the largest overlap with
+any family's notice and is never confirmed. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddlot.llm.quality import follow_leader
+from oddlot.llm.quality import ALPHA, BETA, EPOCHS, L1, L2
 from oddlot.llm.tokens import Words, find_words, flat, mix, number_mix, slices
 
 FEATURES = 1 << 16
@@ -34,6 +41,10 @@ SAMPLE = 500
 ORDINARY = 3000
 VARIANTS = 60
 CONFIRMED = 0.6
+FOLDS = 5
+#: A false row weighs as much as so many missed ones: there are far more ordinary lines than notices.
+FALSE_WEIGHT = 30
+UNKNOWN = "unknown"
 
 #: Notices of each family, as they are found in works.
 NOTICES = {
@@ -68,8 +79,47 @@ NOTICES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "Proprietary": ["Copyright. All rights reserved. No part may be reproduced without permission."],
+    "Proprietary": ["All rights reserved.", "Copyright. All rights reserved. No part may be reproduced without permission."],
 }
+#: Notices of families that are reported as unknown.
+OTHERS = {
+    "AGPL": ["This program is free software under the GNU Affero General Public License, version 3."],
+    "Artistic": ["You may redistribute it under the terms of the Artistic License 2.0."],
+    "BSL": ["Distributed under the Boost Software License, Version 1.0."],
+    "BUSL": ["Use of this software is governed by the Business Source License included in the LICENSE file."],
+    "CC-BY-NC-ND": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-ND": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CDDL": ["The contents of this file are subject to the terms of the Common Development and Distribution License."],
+    "EPL": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", "Licensed under the Eclipse Public License."],
+    "EUPL": ["Licensed under the EUPL, Version 1.2 or later."],
+    "ISC": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
+    "OFL": ["This Font Software is licensed under the SIL Open Font License, Version 1.1."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "Zlib": ["This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages."],
+    "evaluation": ["You may use this software for evaluation purposes only; redistribution is not permitted."],
+    "consent": ["You may not copy, modify or distribute this material without the prior written consent of the publisher."],
+    "agreement": ["Use of this material is subject to the terms of the enclosed licence agreement."],
+    "personal": ["Free for personal and educational use; commercial use requires a licence."],
+}
+#: Ordinary sentences with the words of notices, whatever the corpus holds.
+PROSE = [
+    "The driver showed a license and was free to go.",
+    "The work of the day is under way, and the file is on the table.",
+    "She asked for permission to leave, and it was granted at once.",
+    "All of the tickets for the concert were reserved in advance.",
+    "The general public is welcome to the gardens without charge.",
+    "You may find that the program is on at eight, or later, in your area.",
+    "In this part of the country the source of the river is free of any form of life.",
+    "The conditions in the house were met with surprise by the person from the office.",
+    "He released the rope and the boat was subject to the wind.",
+    "Version 2.0 of the plan was under discussion for the rest of the week.",
+    "The students use the software for their work at the university.",
+    "They may not be able to modify the terms, but it is possible to copy the list.",
+    "No part of the old town was spared, and some words were said before and after.",
+    "International commons and creative people make the first line of the report.",
+    "The authors of the book held that any use of the word is in the public interest.",
+]
 FAMILIES = list(NOTICES)
 _OUTER = np.zeros(256, dtype=bool)
 _OUTER[[ord(c) for c in ".,;:!?()[]{}<>\"'*_/"]] = True
@@ -117,13 +167,17 @@ def find_lines(data: np.ndarray, offsets: np.ndarray) -> Words:
 
 
 def _examples(ordinary: list[str]) -> list[tuple[str, int, bool]]:
-    """Text, family (-1: none) and whether it is held back."""
+    """Text, family and whether it is held back.
+
+    Families from ``len(FAMILIES)`` on are those of ``OTHERS``; -1 is an ordinary line, below are those of ``PROSE``.
+    """
     dice = np.random.default_rng(5)
     filler = " ".join(ordinary[:200]).split() or ["and"]
     out = [(t, -1, x % 3 == 0) for x, t in enumerate(ordinary)]
-    for f, family in enumerate(FAMILIES):
-        for notice in NOTICES[family]:
-            for x in range(VARIANTS):
+    groups = [*enumerate((NOTICES | OTHERS).values()), *((-2 - x, [line]) for x, line in enumerate(PROSE))]
+    for f, notices in groups:
+        for notice in notices:
+            for x in range(VARIANTS if f >= 0 else VARIANTS // 3):
                 words = [w for w in notice.split() if x == 0 or dice.random() > 0.08]
                 around = [[filler[k] for k in dice.integers(0, len(filler), dice.integers(0, 12))] for _ in range(2)] if x % 2 else [[], []]
                 out.append((" ".join([*around[0], *words, *around[1]]), f, x % 3 == 1))
@@ -131,23 +185,75 @@ def _examples(ordinary: list[str]) -> list[tuple[str, int, bool]]:
     return [out[x] for x in order]
 
 
+def _follow_leaders(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """FTRL-proximal weights, as ``quality.follow_leader``, of one regression per label of ``(places, labels)``."""
+    z, n = (np.zeros((FEATURES + 1, len(FAMILIES) + 1)) for _ in range(2))
+
+    def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The last row is the bias, which carries no penalty."""
+        free = np.arange(len(z))[:, None] == len(z) - 1
+        short = np.where(free, 0.0, L1)
+        out = -(z - np.sign(z) * short) / ((BETA + np.sqrt(n)) / ALPHA + np.where(free, 0.0, L2))
+        return np.where(np.abs(z) <= short, 0.0, out)
+
+    for _ in range(EPOCHS):
+        for at, labels in rows:
+            own, seen = z[at], n[at]
+            w = weights(own, seen)
+            slope = 1 / (1 + np.exp(-np.clip(w.sum(axis=0), -35, 35))) - labels
+            more = seen + slope * slope
+            z[at] = own + slope - (np.sqrt(more) - np.sqrt(seen)) / ALPHA * w
+            n[at] = more
+    return weights(z, n)
+
+
+def _threshold(wanted: np.ndarray, unwanted: np.ndarray) -> float:
+    """The score from which a row counts: least misses and false rows, in the middle of the widest gap."""
+    values = np.unique(np.concatenate((wanted, unwanted)))
+    if len(values) < 2:
+        return 0.0
+    between = (values[1:] + values[:-1]) / 2
+    missed = np.searchsorted(np.sort(wanted), between) / max(1, len(wanted))
+    false = 1 - np.searchsorted(np.sort(unwanted), between) / max(1, len(unwanted))
+    loss = missed + FALSE_WEIGHT * false
+    least = np.flatnonzero(loss <= loss.min() + 1e-12)
+    return float(between[least[np.diff(values)[least].argmax()]])
+
+
 def fitted(ordinary: list[str]) -> np.ndarray:
-    """Weights of all families, bias last, divided by the calibrating temperature."""
+    """Weights of all families and of licence wording, the bias, and last the score from which each counts.
+
+    All are divided by the calibrating temperature.
+    """
     rows = _examples(ordinary)
-    places = _of([t for t, _, _ in rows])
-    weights = np.zeros((FEATURES + 1, len(FAMILIES)))
-    for f in range(len(FAMILIES)):
-        train = [(np.append(at, FEATURES), np.ones(len(at) + 1), int(y == f)) for at, (_, y, held) in zip(places, rows) if not held]
-        weights[:, f] = follow_leader(train, FEATURES)
-    held = [(weights[at].sum(axis=0) + weights[FEATURES], y) for at, (_, y, back) in zip(places, rows) if back]
-    scores, labels = np.array([s for s, _ in held]), np.array([y for _, y in held])
-    wanted = labels[:, None] == np.arange(len(FAMILIES))
+    places = [np.append(at, FEATURES) for at in _of([t for t, _, _ in rows])]
+    family, held = np.array([f for _, f, _ in rows]), np.array([h for _, _, h in rows])
+    labels = np.column_stack((family[:, None] == np.arange(len(FAMILIES)), family >= 0))
+
+    def trained(chosen: np.ndarray) -> np.ndarray:
+        return _follow_leaders([(places[x], labels[x]) for x in np.flatnonzero(chosen)])
+
+    scores, truth, unknown = [], [], []
+    for fold in range(FOLDS):
+        out = (family != -1) & (family % FOLDS == fold)
+        weights = trained(~held & ~out)
+        scored = np.flatnonzero(held | out)
+        scores.append(np.array([weights[places[x]].sum(axis=0) for x in scored]))
+        truth.append(np.where(out[scored] & (family[scored] >= 0), len(FAMILIES), family[scored]))
+        unknown.append(truth[-1] >= len(FAMILIES))
+    scores, truth, unknown = np.concatenate(scores), np.concatenate(truth), np.concatenate(unknown)
+    wanted = np.column_stack((truth[:, None] == np.arange(len(FAMILIES)), truth >= 0))
+    known = (truth >= 0) & ~unknown
+    best = scores[:, :-1].max(axis=1)
+    right = scores[known, truth[known]]
+    cuts = np.full(len(FAMILIES) + 1, max(_threshold(right, best[unknown]), _threshold(right, best[truth < 0])))
+    cuts[-1] = _threshold(scores[truth >= 0, -1], scores[truth < 0, -1])
 
     def loss(temperature: float) -> float:
         z = np.where(wanted, scores, -scores) / temperature
         return np.logaddexp(0, -z).mean()
 
-    return weights / min(np.geomspace(0.25, 4, 33), key=loss)
+    return np.vstack((trained(~held), cuts)) / min(np.geomspace(0.25, 4, 33), key=loss)
 
 
 def _is_notice(text: str) -> bool:
@@ -186,7 +292,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     found = chosen.orderBy("dice", "text").limit(sample).select("text").repartition(1).mapInArrow(
         _train, "place long, family long, weight double"
     ).toArrow()
-    weights = np.zeros((FEATURES + 1, len(FAMILIES)))
+    weights = np.zeros((FEATURES + 2, len(FAMILIES) + 1))
     place, family, weight = (flat(found.column(c)).to_numpy() for c in ("place", "family", "weight"))
     weights[place, family] = weight
     return weights
@@ -195,7 +301,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
-        lively = (weights[:-1] != 0).any(axis=1)
+        lively = (weights[:FEATURES] != 0).any(axis=1)
+        bias, cuts = weights[FEATURES:]
         for batch in batches:
             ids = flat(batch.column("doc_id"))
             for i, _, data, offsets in slices(batch.column("text")):
@@ -207,16 +314,18 @@ def _scan(shared):
                 pairs = np.unique(line[hit] * np.int64(FEATURES) + places[hit])
                 line, places = pairs // FEATURES, pairs % FEATURES
                 begin = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
-                scores = np.add.reduceat(weights[places], begin, axis=0) + weights[-1]
-                best = scores.argmax(axis=1)
+                scores = np.add.reduceat(weights[places], begin, axis=0) + bias
+                best = scores[:, :-1].argmax(axis=1)
+                best[scores[np.arange(len(best)), best] < cuts[0]] = len(FAMILIES)
                 chance = 1 / (1 + np.exp(-np.clip(scores[np.arange(len(best)), best], -35, 35)))
                 rows = []
-                for x in np.flatnonzero(chance >= 0.5):
+                for x in np.flatnonzero(scores[np.arange(len(best)), best] >= cuts[best]):
                     at, f = line[begin[x]], int(best[x])
                     lo, hi = words.first[at], words.first[at + 1]
                     text = data[words.starts[lo] : words.ends[hi - 1]].tobytes().decode()
-                    overlap = _overlaps(text, f)[0]
-                    rows.append((i + doc[at], number[at], FAMILIES[f], round(float(chance[x]), 6), round(overlap, 6), overlap >= CONFIRMED))
+                    named = f < len(FAMILIES)
+                    overlap = _overlaps(text, f if named else None)[0]
+                    rows.append((i + doc[at], number[at], FAMILIES[f] if named else UNKNOWN, round(float(chance[x]), 6), round(overlap, 6), named and overlap >= CONFIRMED))
                 if rows:
                     columns = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays(
@@ -228,7 +337,7 @@ def _scan(shared):
 
 
 def licensed_paragraphs(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``doc_id, paragraph, family, probability, overlap, confirmed`` for each paragraph with a licence."""
+    """``doc_id, paragraph, family, probability, overlap, confirmed`` for each paragraph with a licence, known or not."""
     weights = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(

@@ -8,7 +8,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from oddlot.llm.interleave import interleaved_shards
-from oddlot.llm.licences import licensed_paragraphs
+from oddlot.llm.licences import NOTICES, OTHERS, licensed_paragraphs
 from oddlot.llm.packing import first_fit_decreasing, pack_sequences
 from oddlot.llm.quality import good_documents, quality_scores
 from tests.conftest import SMALL
@@ -45,6 +45,18 @@ def test_licence_families(spark, docs):
     assert licensed_paragraphs(both.limit(0)).count() == 0
 
 
+def test_licences_of_other_families_are_unknown(spark, docs):
+    texts = {
+        300: "Licensed under the Academic Free License version 3.0.", 301: "some words before\nReleased under the Python Software Foundation License.",
+        302: "Licensed under CC BY-ND 4.0.",
+    }
+    prose = {310: "The cat sat on the mat and looked out of the window at the rain.", 311: "He lost his license after the accident on the public road."}
+    both = docs.select("doc_id", "text").union(spark.createDataFrame([*texts.items(), *prose.items()], "doc_id long, text string"))
+    got = [r for r in licensed_paragraphs(both).collect() if (r.doc_id or 0) >= 300]
+    assert {(r.doc_id, r.family, r.paragraph, r.confirmed) for r in got} == {(d, "unknown", int(d == 301), False) for d in texts}
+    assert not {"Academic", "Python"} & {w for notices in {**NOTICES, **OTHERS}.values() for n in notices for w in n.split()}
+
+
 def test_packing_is_a_round_trip(docs, awkward, no_docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = pack_sequences(docs).collect()
