@@ -6,7 +6,10 @@ licence family is fitted by FTRL with an L1 penalty, so nearly all weights are z
 without a licence's words costs a table look-up per n-gram.
 
 Training rows are variants of the families' notices (words dropped, ordinary words of the corpus around
-them) against ordinary paragraphs of at most ``SAMPLE`` documents, the first in a hashed order. A third of
+them) against ordinary paragraphs: of at most ``sample`` documents, the first in a hashed order, the
+``ordinary`` lines that come first by a hash of their text, each text once. Nothing is labelled, so a line with
+licence wording (``WORDING``) or half a notice is no ordinary line; what such words mean elsewhere is learned
+from ``PROSE``. A third of
 the variants is held back.
 
 One more regression tells licence wording of any family, those of ``OTHERS`` included, from ordinary prose.
@@ -25,8 +28,11 @@ any family's notice and is never confirmed. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import zlib
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +50,8 @@ CONFIRMED = 0.6
 FOLDS = 5
 #: A false row weighs as much as so many missed ones: there are far more ordinary lines than notices.
 FALSE_WEIGHT = 30
+#: Parts of words that make a line unfit as an example of ordinary prose.
+WORDING = re.compile(r"licen[cs]|copyright|copyleft|©|reserved|redistribut|permi(t|ssion)|public domain|warrant|proprietary|creative commons|\bCC[ -]?(0|BY)\b|hereby", re.I)
 UNKNOWN = "unknown"
 
 #: Notices of each family, as they are found in works.
@@ -277,20 +285,28 @@ def _overlaps(text: str, family: int | None = None) -> tuple[float, int]:
     return max((len(own & t) / len(t), f) for f, t in _templates() if family in (None, f))
 
 
-def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lines = [line for batch in batches for text in batch.column("text").to_pylist() for line in (text or "").split("\n") if line.strip()]
-    ordinary = [line for line in lines[: 2 * ORDINARY] if not _is_notice(line)][:ORDINARY]
-    weights = fitted(ordinary)
-    place, family = np.nonzero(weights)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(place), pa.array(family), pa.array(weights[place, family])], names=["place", "family", "weight"]
-    )
+def ordinary_lines(texts: Iterable[str | None], ordinary: int) -> list[str]:
+    """The first lines by hash, of all texts, that may teach what no licence is."""
+    lines = {line for text in texts for line in (text or "").split("\n") if line.strip() and not WORDING.search(line)}
+    drawn = sorted((zlib.crc32(line.encode()), line) for line in lines)
+    return list(islice((line for _, line in drawn if not _is_notice(line)), ordinary))
+
+
+def _train(ordinary: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = fitted(ordinary_lines((text for batch in batches for text in batch.column("text").to_pylist()), ordinary))
+        place, family = np.nonzero(weights)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(place), pa.array(family), pa.array(weights[place, family])], names=["place", "family", "weight"]
+        )
+
+    return run
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+def fit(docs: DataFrame, sample: int = SAMPLE, ordinary: int = ORDINARY) -> np.ndarray:
     chosen = docs.filter("text is not null").select("text", F.xxhash64("doc_id", F.lit(2)).alias("dice"))
     found = chosen.orderBy("dice", "text").limit(sample).select("text").repartition(1).mapInArrow(
-        _train, "place long, family long, weight double"
+        _train(ordinary), "place long, family long, weight double"
     ).toArrow()
     weights = np.zeros((FEATURES + 2, len(FAMILIES) + 1))
     place, family, weight = (flat(found.column(c)).to_numpy() for c in ("place", "family", "weight"))
@@ -336,9 +352,9 @@ def _scan(shared):
     return run
 
 
-def licensed_paragraphs(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def licensed_paragraphs(docs: DataFrame, sample: int = SAMPLE, ordinary: int = ORDINARY) -> DataFrame:
     """``doc_id, paragraph, family, probability, overlap, confirmed`` for each paragraph with a licence, known or not."""
-    weights = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
+    weights = docs.sparkSession.sparkContext.broadcast(fit(docs, sample, ordinary))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(
         _scan(weights), "doc_id long, paragraph long, family string, probability double, overlap double, confirmed boolean"

@@ -8,7 +8,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from oddlot.llm.interleave import interleaved_shards
-from oddlot.llm.licences import NOTICES, OTHERS, licensed_paragraphs
+from oddlot.llm.licences import NOTICES, OTHERS, licensed_paragraphs, ordinary_lines
 from oddlot.llm.packing import first_fit_decreasing, pack_sequences
 from oddlot.llm.quality import good_documents, quality_scores
 from tests.conftest import SMALL
@@ -57,6 +57,17 @@ def test_licences_of_other_families_are_unknown(spark, docs):
     assert not {"Academic", "Python"} & {w for notices in {**NOTICES, **OTHERS}.values() for n in notices for w in n.split()}
 
 
+def test_ordinary_lines_come_from_all_documents(spark, docs):
+    worded = "Permission to use, copy and distribute this software and its documentation is hereby granted."
+    texts = ["\n".join(f"line {d} {i}" for i in range(500)) for d in range(40)]
+    drawn = ordinary_lines([*texts, worded, "Released under the MIT License.", None], 300)
+    assert len(drawn) == 300 and len({line.split()[1] for line in drawn}) > 30
+    assert drawn == ordinary_lines([*texts[::-1], worded], 300)
+    assert not [line for line in ordinary_lines([*texts, worded], 10**6) if "granted" in line]
+    rows = spark.createDataFrame([(303, worded)], "doc_id long, text string").union(docs.select("doc_id", "text"))
+    assert [(r.doc_id, r.family) for r in licensed_paragraphs(rows).collect()] == [(303, "unknown")]
+
+
 def test_packing_is_a_round_trip(docs, awkward, no_docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = pack_sequences(docs).collect()
