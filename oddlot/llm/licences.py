@@ -1,6 +1,9 @@
 """Licence scan: a trained paragraph classifier with template comparison.
 
-Paragraphs are the lines of a text. Their features are the one-, two- and three-word n-grams (A-Z folded,
+Paragraphs are the lines of a text, and runs of lines up to a blank line that a hard-wrapped notice goes on
+over: a run goes on where the words on both sides of a line end are a word pair of a notice (comment marks
+between them aside), or where both lines have a licence by themselves. A run is reported, by its first line,
+if it holds more of a notice than each of its lines of that family; its unconfirmed lines then are not. Their features are the one-, two- and three-word n-grams (A-Z folded,
 outer punctuation dropped), hashed to ``FEATURES`` places, present or not. One logistic regression per
 licence family is fitted by FTRL with an L1 penalty, so nearly all weights are zero and a paragraph
 without a licence's words costs a table look-up per n-gram.
@@ -131,6 +134,8 @@ PROSE = [
 FAMILIES = list(NOTICES)
 _OUTER = np.zeros(256, dtype=bool)
 _OUTER[[ord(c) for c in ".,;:!?()[]{}<>\"'*_/"]] = True
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[ord(c) for c in "#*/;-%>|"]] = True
 
 
 def paragraph_words(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -145,9 +150,8 @@ def paragraph_words(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.nd
     return words, doc, np.arange(len(doc)) - np.searchsorted(doc, doc)
 
 
-def grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of one to three words, and the line of each."""
-    one = words.hashes(lower=True)
+def grams(words: Words, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of one to three words with the hashes ``one``, and the line of each."""
     line = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
     codes, owner = [one], [line]
     for n in (2, 3):
@@ -164,7 +168,8 @@ def _of(texts: list[str]) -> list[np.ndarray]:
     raw = [t.replace("\n", " ").encode() for t in texts]
     offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
     data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    places, line = grams(find_lines(data, offsets))
+    words = find_lines(data, offsets)
+    places, line = grams(words, words.hashes(lower=True))
     order = np.argsort(line, kind="stable")
     cut = np.searchsorted(line[order], np.arange(len(texts) + 1))
     return [np.unique(places[order[cut[x] : cut[x + 1]]]) for x in range(len(texts))]
@@ -268,10 +273,14 @@ def _is_notice(text: str) -> bool:
     return bool(_overlaps(text)[0] >= 0.5)
 
 
+def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * number_mix(80) + right * number_mix(81))
+
+
 def _pairs(text: str) -> set[int]:
     raw = np.frombuffer(text.replace("\n", " ").encode(), dtype=np.uint8)
     one = find_lines(raw, np.array([0, len(raw)])).hashes(lower=True)
-    return set(mix(one[:-1] * number_mix(80) + one[1:] * number_mix(81)).tolist()) if len(one) > 1 else set(one.tolist())
+    return set(_pair(one[:-1], one[1:]).tolist()) if len(one) > 1 else set(one.tolist())
 
 
 @lru_cache(maxsize=1)
@@ -279,6 +288,12 @@ def _templates() -> list[tuple[int, set[int]]]:
     return [(f, _pairs(n)) for f, family in enumerate(FAMILIES) for n in NOTICES[family]]
 
 
+@lru_cache(maxsize=1)
+def _all_pairs() -> np.ndarray:
+    notices = [n for own in (NOTICES | OTHERS).values() for n in own if len(n.split()) > 1]
+    return np.array(sorted(set().union(*map(_pairs, notices))), dtype=np.uint64)
+
+
 def _overlaps(text: str, family: int | None = None) -> tuple[float, int]:
     """The largest share of a notice found in a text, and that notice's family."""
     own = _pairs(text)
@@ -314,34 +329,72 @@ def fit(docs: DataFrame, sample: int = SAMPLE, ordinary: int = ORDINARY) -> np.n
     return weights
 
 
+def _decided(words: Words, one: np.ndarray, weights: np.ndarray) -> list[tuple[int, int, float]]:
+    """Line, family (the last for unknown) and probability of each line with a licence."""
+    places, line = grams(words, one)
+    hit = np.flatnonzero((weights[:FEATURES] != 0).any(axis=1)[places])
+    if not len(hit):
+        return []
+    bias, cuts = weights[FEATURES:]
+    pairs = np.unique(line[hit] * np.int64(FEATURES) + places[hit])
+    line, places = pairs // FEATURES, pairs % FEATURES
+    begin = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+    scores = np.add.reduceat(weights[places], begin, axis=0) + bias
+    best = scores[:, :-1].argmax(axis=1)
+    best[scores[np.arange(len(best)), best] < cuts[0]] = len(FAMILIES)
+    score = scores[np.arange(len(best)), best]
+    chance = 1 / (1 + np.exp(-np.clip(score, -35, 35)))
+    return [(int(line[begin[x]]), int(best[x]), float(chance[x])) for x in np.flatnonzero(score >= cuts[best])]
+
+
+def _runs(words: Words, one: np.ndarray, doc: np.ndarray, licensed: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """First and last lines of the runs that a notice may go on over."""
+    if len(doc) < 2 or not len(one):
+        return (np.zeros(0, dtype=np.int64),) * 2
+    first = words.first
+    filled = np.diff(first) > 0
+    lead = np.minimum(first[:-1], len(one) - 1)
+    mark = (np.diff(first) > 1) & (words.ends[lead] - words.starts[lead] == 1) & _MARK[words.data[words.starts[lead]]]
+    pair = _pair(one[first[1:-1] - 1], one[(lead + mark)[1:]])
+    has = np.zeros(len(doc), dtype=bool)
+    has[licensed] = True
+    on = filled[:-1] & filled[1:] & (doc[:-1] == doc[1:]) & (np.isin(pair, _all_pairs()) | (has[:-1] & has[1:]))
+    edge = np.diff(np.concatenate(([0], on.astype(np.int8), [0])))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
-        lively = (weights[:FEATURES] != 0).any(axis=1)
-        bias, cuts = weights[FEATURES:]
         for batch in batches:
             ids = flat(batch.column("doc_id"))
             for i, _, data, offsets in slices(batch.column("text")):
                 words, doc, number = paragraph_words(data, offsets)
-                places, line = grams(words)
-                hit = np.flatnonzero(lively[places])
-                if not len(hit):
-                    continue
-                pairs = np.unique(line[hit] * np.int64(FEATURES) + places[hit])
-                line, places = pairs // FEATURES, pairs % FEATURES
-                begin = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
-                scores = np.add.reduceat(weights[places], begin, axis=0) + bias
-                best = scores[:, :-1].argmax(axis=1)
-                best[scores[np.arange(len(best)), best] < cuts[0]] = len(FAMILIES)
-                chance = 1 / (1 + np.exp(-np.clip(scores[np.arange(len(best)), best], -35, 35)))
-                rows = []
-                for x in np.flatnonzero(scores[np.arange(len(best)), best] >= cuts[best]):
-                    at, f = line[begin[x]], int(best[x])
-                    lo, hi = words.first[at], words.first[at + 1]
-                    text = data[words.starts[lo] : words.ends[hi - 1]].tobytes().decode()
-                    named = f < len(FAMILIES)
-                    overlap = _overlaps(text, f if named else None)[0]
-                    rows.append((i + doc[at], number[at], FAMILIES[f] if named else UNKNOWN, round(float(chance[x]), 6), round(overlap, 6), named and overlap >= CONFIRMED))
+                one = words.hashes(lower=True)
+
+                def compared(begin: int, end: int, f: int, chance: float) -> tuple[int, int, float, float]:
+                    text = data[words.starts[words.first[begin]] : words.ends[words.first[end + 1] - 1]].tobytes().decode()
+                    return begin, f, chance, _overlaps(text, f if f < len(FAMILIES) else None)[0]
+
+                found = {at: compared(at, at, f, chance) for at, f, chance in _decided(words, one, weights)}
+                begins, ends = _runs(words, one, doc, list(found))
+                sizes = words.first[ends + 1] - words.first[begins]
+                starts = np.concatenate(([0], np.cumsum(sizes)))
+                own = np.arange(starts[-1]) + np.repeat(words.first[begins] - starts[:-1], sizes)
+                wrapped = []
+                for x, f, chance in _decided(Words(data, words.starts[own], words.ends[own], starts), one[own], weights):
+                    whole = compared(begins[x], ends[x], f, chance)
+                    lines = [found[at] for at in range(begins[x], ends[x] + 1) if at in found]
+                    if any(r[3] >= whole[3] for r in lines if f in (r[1], len(FAMILIES))):
+                        continue
+                    wrapped.append(whole)
+                    for r in lines:
+                        if r[1] == len(FAMILIES) or r[3] < CONFIRMED:
+                            del found[r[0]]
+                rows = [
+                    (i + doc[at], number[at], [*FAMILIES, UNKNOWN][f], round(chance, 6), round(overlap, 6), f < len(FAMILIES) and overlap >= CONFIRMED)
+                    for at, f, chance, overlap in [*found.values(), *wrapped]
+                ]
                 if rows:
                     columns = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays(

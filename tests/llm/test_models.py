@@ -68,6 +68,19 @@ def test_ordinary_lines_come_from_all_documents(spark, docs):
     assert [(r.doc_id, r.family) for r in licensed_paragraphs(rows).collect()] == [(303, "unknown")]
 
 
+def test_wrapped_notices_are_one_paragraph(spark, docs):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License."
+    texts = {
+        400: (bsd, "BSD", 0), 401: (f"some words before\n{bsd.replace(' and ', chr(10) + 'and ', 1)}\nafter", "BSD", 1), 402: (gpl, "GPL", 0),
+        403: ("before\n\n" + bsd, "BSD", 2),
+    }
+    rows = [(d, t) for d, (t, _, _) in texts.items()]
+    got = licensed_paragraphs(docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert sorted((r.doc_id, r.family, r.paragraph) for r in got) == sorted((d, f, p) for d, (_, f, p) in texts.items())
+    assert all(r.confirmed and r.overlap > 0.9 for r in got)
+
+
 def test_packing_is_a_round_trip(docs, awkward, no_docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = pack_sequences(docs).collect()
