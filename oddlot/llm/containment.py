@@ -1,18 +1,10 @@
-"""Benchmark decontamination: MinHash containment search, partitioned by size.
+"""Benchmark decontamination: exact containment search.
 
 An item is contained in a document when at least ``percent``/100 of its distinct ``k``-word shingles
-occur there. A short item in a long document has a tiny Jaccard similarity, so both sides are cut to
-comparable sizes first: items fall into classes by the power of two of their shingle count, and for each
-class that occurs documents are covered by overlapping windows of two blocks, a block being as long as
-the class's largest item. A passage of up to one block lies within one window, where the similarity is
-at least 0.19 for containment 0.8. Windows and items are sketched by ``FUNCTIONS`` minima, and one equal
-minimum makes a candidate: at the least similarity 1 - 0.81**24, over 0.99, of the items are found,
-and practically all whole ones. Passages scattered over many blocks are not searched for.
-
-Candidates are verified by exact containment in the whole document. To spare a second pass over the
-texts, a document with a candidate also sends its shingles that occur in some item. Two bit sets of
-fixed size, whatever the benchmark's size, let tasks drop almost all other keys and shingles early; both
-joins are exact, so a full bit set costs time only.
+occur there. Every row sends its shingles that may occur in some item, and an exact join of shingles counts
+what each document shares with each item: nothing depends on chance, on where in a document the
+shingles stand, or on how they are spread over rows of one id. A bit set of fixed size, whatever the
+benchmark's size, lets tasks drop almost all other shingles early; a full one costs time only.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z folded. A text of fewer than ``k`` words is one shingle, so
 such an item is found only as a whole text. Null or empty texts and null ids contain nothing and are
@@ -30,118 +22,44 @@ from pyspark.sql import functions as F
 
 from oddlot.llm import bitset
 from oddlot.llm.store import written
-from oddlot.llm.tokens import all_shingles, find_words, flat, lists, mix, slices
-
-FUNCTIONS = 24
-_XOR = mix(np.arange(1, FUNCTIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_TIMES = mix(np.arange(1001, 1001 + FUNCTIONS, dtype=np.uint64)) | np.uint64(1)
-
-
-def _key(least: np.ndarray, function: int, size_class: int) -> np.ndarray:
-    return mix(least + np.uint64((size_class * FUNCTIONS + function + 1) * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF))
-
+from oddlot.llm.tokens import all_shingles, find_words, flat, lists, slices
 
-def _size_class(n: int) -> int:
-    return int(n).bit_length() - 1
 
-
-def _items(k: int):
-    """Distinct shingles and sketch keys of each item."""
+def _shingles(name: str, k: int, bits=None):
+    """Distinct shingles of each row that has any, only those listed in ``bits`` if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = flat(batch.column("item_id"))
+            ids = flat(batch.column(name))
             for i, j, data, offsets in slices(batch.column("text")):
                 words = find_words(data, offsets)
                 values, begin = all_shingles(words.hashes(lower=True), words.first, k)
-                sets, keys, classes = [], [], []
+                rows, sets = [], []
                 for d in range(j - i):
-                    own = np.unique(values[begin[d] : begin[d + 1]])
-                    c = _size_class(max(1, len(own)))
-                    sets.append(own)
-                    classes.append(c)
-                    keys.append(
-                        np.concatenate([_key(((own ^ _XOR[f]) * _TIMES[f]).min(keepdims=True), f, c) for f in range(FUNCTIONS)])
-                        if len(own)
-                        else own
-                    )
-                yield pa.RecordBatch.from_arrays(
-                    [ids[i:j], pa.array(classes, pa.int32()), lists(sets), lists(keys)],
-                    names=["item_id", "size_class", "shingles", "keys"],
-                )
-
-    return run
-
-
-def _documents(k: int, classes: list[int], key_bits, shingle_bits):
-    """Sketch keys and shingles that may occur in an item, for documents with such a key."""
-
-    def hits(bits, x: np.ndarray) -> np.ndarray:
-        return bitset.listed(bits.value, x & np.uint64(bitset.BITS - 1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = flat(batch.column("doc_id"))
-            for i, j, data, offsets in slices(batch.column("text")):
-                words = find_words(data, offsets)
-                values, begin = all_shingles(words.hashes(lower=True), words.first, k)
-                if not len(values) or not classes:
-                    continue
-                found, owners = [], []
-                sizes = np.diff(begin)
-                for c in classes:
-                    block = 2 << c
-                    blocks = -(-sizes // block)
-                    at = np.concatenate(([0], np.cumsum(blocks)))
-                    owner = np.repeat(np.arange(j - i), blocks)
-                    starts = begin[owner] + (np.arange(at[-1]) - at[owner]) * block
-                    same = owner[1:] == owner[:-1]
-                    for f in range(FUNCTIONS):
-                        least = np.minimum.reduceat((values ^ _XOR[f]) * _TIMES[f], starts)
-                        least[:-1] = np.where(same, np.minimum(least[:-1], least[1:]), least[:-1])
-                        keys = _key(least, f, c)
-                        hit = np.flatnonzero(hits(key_bits, keys))
-                        found.append(keys[hit])
-                        owners.append(owner[hit])
-                found, owners = np.concatenate(found), np.concatenate(owners)
-                docs = np.unique(owners)
-                order = np.argsort(owners, kind="stable")
-                cut = np.append(np.searchsorted(owners[order], docs), len(order))
-                keys = [np.unique(found[order[cut[x] : cut[x + 1]]]) for x in range(len(docs))]
-                sets = []
-                for d in docs:
                     own = values[begin[d] : begin[d + 1]]
-                    sets.append(np.unique(own[hits(shingle_bits, own)]))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(docs + i)), lists(keys), lists(sets)], names=["doc_id", "keys", "shingles"]
-                )
+                    if bits is not None:
+                        own = own[bitset.listed(bits.value, own & np.uint64(bitset.BITS - 1))]
+                    if len(own):
+                        rows.append(i + d)
+                        sets.append(np.unique(own))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), lists(sets)], names=[name, "shingles"])
 
     return run
 
 
-def _bits(df: DataFrame, column: str):
-    return bitset.build(df.select(F.explode(column).alias("x")), F.col("x").bitwiseAND(F.lit(bitset.BITS - 1)))
-
-
 def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, item_id, n_item, n_shared`` for every item found in a document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     wanted = written(
         items.select(F.col("item_id").cast("long").alias("item_id"), "text")
         .filter("item_id is not null")
-        .mapInArrow(_items(k), "item_id long, size_class int, shingles array<long>, keys array<long>")
-        .filter("size(shingles) > 0")
-    )
-    classes = sorted(r[0] for r in wanted.select("size_class").distinct().collect())
-    shared = [_bits(wanted, c) for c in ("keys", "shingles")]
-    seen = written(
-        texts.mapInArrow(_documents(k, classes, *shared), "doc_id long, keys array<long>, shingles array<long>")
+        .mapInArrow(_shingles("item_id", k), "item_id long, shingles array<long>")
     )
-    for bits in shared:
-        bits.unpersist()
-    item_keys = wanted.select("item_id", F.explode("keys").alias("key"))
-    candidates = seen.select("doc_id", F.explode("keys").alias("key")).join(item_keys, "key").select("doc_id", "item_id").distinct()
     item_shingles = wanted.select("item_id", F.explode("shingles").alias("shingle")).distinct()
+    bits = bitset.build(item_shingles, F.col("shingle").bitwiseAND(F.lit(bitset.BITS - 1)))
+    seen = written(texts.mapInArrow(_shingles("doc_id", k, bits), "doc_id long, shingles array<long>"))
+    bits.unpersist()
     sizes = item_shingles.groupBy("item_id").agg(F.count("*").alias("n_item"))
     overlap = (
         seen.select("doc_id", F.explode("shingles").alias("shingle"))
@@ -151,8 +69,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
         .agg(F.count("*").alias("n_shared"))
     )
     return (
-        overlap.join(candidates, ["doc_id", "item_id"])
-        .join(sizes, "item_id")
+        overlap.join(sizes, "item_id")
         .filter(F.col("n_shared") * 100 >= F.col("n_item") * percent)
         .select("doc_id", "item_id", "n_item", "n_shared")
     )

@@ -145,3 +145,11 @@ def test_contained_items(spark, docs, awkward):
     kept = without_items(df, items)
     assert kept.columns == df.columns and kept.count() == len(rows) - 4
     assert contained_items(df, items.limit(0)).count() == 0 and contained_items(df.limit(0), items).count() == 0
+
+
+def test_items_scattered_over_long_documents(spark):
+    items = [(i, [f"i{i}w{x}" for x in range(104)]) for i in range(8)]
+    scattered = [(i, " ".join(" ".join([*words[x : x + 5], *(f"f{i}x{x}n{y}" for y in range(900))]) for x in range(0, 80))) for i, words in items]
+    bench = spark.createDataFrame([(i, " ".join(words)) for i, words in items], "item_id long, text string")
+    got = contained_items(spark.createDataFrame(scattered, "doc_id long, text string").repartition(5), bench).collect()
+    assert {tuple(r) for r in got} == {(i, i, 100, 80) for i in range(8)}
