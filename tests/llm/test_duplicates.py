@@ -153,3 +153,11 @@ def test_items_scattered_over_long_documents(spark):
     bench = spark.createDataFrame([(i, " ".join(words)) for i, words in items], "item_id long, text string")
     got = contained_items(spark.createDataFrame(scattered, "doc_id long, text string").repartition(5), bench).collect()
     assert {tuple(r) for r in got} == {(i, i, 100, 80) for i in range(8)}
+
+
+def test_items_spread_over_rows_of_one_id(spark):
+    items = [(i, [f"i{i}w{x}" for x in range(104)]) for i in range(8)]
+    rows = [(i, " ".join(part)) for i, words in items for part in (words[:83], words[-5:])]
+    docs = spark.createDataFrame([*rows, (200, rows[0][1])], "doc_id long, text string").repartition(5)
+    bench = spark.createDataFrame([(i, " ".join(words)) for i, words in items], "item_id long, text string")
+    assert {tuple(r) for r in contained_items(docs, bench).collect()} == {(i, i, 100, 80) for i in range(8)}
