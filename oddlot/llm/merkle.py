@@ -7,7 +7,8 @@ children looked at, down to the records of differing leaves. Each group of the t
 its bytes, a node by its fan. A replica's records carry the offsets of the archive's manifest, so one
 lost record does not shift the others.
 
-Records: ``archive, offset, length, record_id, digest``. Null archives are no archive and are left out.
+Records: ``archive, offset, length, record_id, digest``. Archives are compared null-safely: records
+of a null archive are one archive more.
 Repeated records of one offset are part of the leaf's hash in the order of their digests; they are
 reported when the numbers or digests at the offset differ.
 """
@@ -30,8 +31,7 @@ def _joined_hash(*columns: str) -> F.Column:
 
 def tree(records: DataFrame, levels: int) -> list[DataFrame]:
     """Nodes ``(archive, node, hash)`` of each level, leaves first, one root per archive last."""
-    kept = records.filter("archive is not null")
-    nodes = kept.withColumn("node", F.expr(f"offset div {LEAF}")).groupBy("archive", "node").agg(
+    nodes = records.withColumn("node", F.expr(f"offset div {LEAF}")).groupBy("archive", "node").agg(
         _joined_hash("offset", "length", "digest").alias("hash")
     )
     out = [written(nodes)]
@@ -43,12 +43,18 @@ def tree(records: DataFrame, levels: int) -> list[DataFrame]:
 
 def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
     other = b.select(F.col("archive").alias("x"), F.col("node").alias("y"), F.col("hash").alias("z"))
-    both = a.join(other, (F.col("archive") == F.col("x")) & (F.col("node") == F.col("y")), "full")
+    both = a.join(other, F.col("archive").eqNullSafe(F.col("x")) & (F.col("node") == F.col("y")), "full")
     return both.filter(~F.col("hash").eqNullSafe(F.col("z"))).select(
         F.coalesce("archive", "x").alias("archive"), F.coalesce("node", "y").alias("node")
     )
 
 
+def _within(records: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
+    """The records whose archive and ``node`` are listed."""
+    listed = nodes.select(F.col("archive").alias("x"), F.col("node").alias("y"))
+    return records.join(listed, F.col("archive").eqNullSafe(F.col("x")) & (F.col(node) == F.col("y")), "left_semi")
+
+
 def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     """Records that differ: ``archive, offset, length, record_id, kind``.
 
@@ -61,18 +67,13 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     trees = list(zip(tree(left, levels), tree(right, levels), strict=True))
     open_ = _differing(*trees[-1])
     for a, b in reversed(trees[:-1]):
-        parents = open_.select("archive", F.col("node").alias("up"))
-        inside = [
-            t.withColumn("up", F.expr(f"node div {FAN}")).join(parents, ["archive", "up"], "left_semi").drop("up") for t in (a, b)
-        ]
+        inside = [_within(t.withColumn("up", F.expr(f"node div {FAN}")), open_, "up").drop("up") for t in (a, b)]
         open_ = _differing(*inside)
     open_ = written(open_)
 
     def of(records: DataFrame) -> DataFrame:
         return (
-            records.filter("archive is not null")
-            .withColumn("node", F.expr(f"offset div {LEAF}"))
-            .join(open_, ["archive", "node"], "left_semi")
+            _within(records.withColumn("node", F.expr(f"offset div {LEAF}")), open_, "node")
             .groupBy("archive", "offset")
             .agg(
                 F.max("length").alias("length"),
@@ -82,7 +83,7 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
         )
 
     a, b = of(left), of(right).select(*(F.col(c).alias(f"r_{c}") for c in ("archive", "offset", "length", "record_id", "content")))
-    both = a.join(b, (F.col("archive") == F.col("r_archive")) & (F.col("offset") == F.col("r_offset")), "full")
+    both = a.join(b, F.col("archive").eqNullSafe(F.col("r_archive")) & (F.col("offset") == F.col("r_offset")), "full")
     return both.filter(~F.col("content").eqNullSafe(F.col("r_content"))).select(
         *(F.coalesce(c, f"r_{c}").alias(c) for c in ("archive", "offset", "length", "record_id")),
         F.when(F.col("r_content").isNull(), "missing").when(F.col("content").isNull(), "extra").otherwise("altered").alias("kind"),
@@ -92,8 +93,9 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
 def archived(pages: DataFrame, per_archive: int = 500) -> DataFrame:
     """Records of ``pages(page_id, url, html)`` as response records, one archive per range of ids.
 
-    Adds ``archive, offset, length`` to ``page_id, url, html``; a null id has a null archive. Null urls
-    and bodies are empty.
+    Adds ``archive, offset, length`` to ``page_id, url, html``; pages
+    without an id are in archives by a hash of url and record, numbered below all others. Null urls and bodies
+    are empty.
     """
     record = F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "),
@@ -106,7 +108,10 @@ def archived(pages: DataFrame, per_archive: int = 500) -> DataFrame:
     )
     before = Window.partitionBy("archive").orderBy("page_id", "url", "digest").rowsBetween(Window.unboundedPreceding, -1)
     rows = pages.select(
-        F.floor(F.col("page_id") / per_archive).cast("long").alias("archive"),
+        F.coalesce(
+            F.floor(F.col("page_id") / per_archive).cast("long"),
+            F.lit(-(1 << 62)) - F.pmod(F.xxhash64("url", record), F.lit(1 << 20)),
+        ).alias("archive"),
         F.col("page_id").cast("long").alias("page_id"),
         "url",
         F.octet_length(record).cast("long").alias("length"),

@@ -54,6 +54,16 @@ def test_audit_finds_exactly_what_differs(spark):
     assert audit(left, left.limit(0)).count() == left.filter("archive is not null").select("archive", "offset").distinct().count()
 
 
+def test_damage_to_records_without_an_id_is_found(spark):
+    pages = spark.createDataFrame([(None, "u", "h"), (None, None, "i"), (1, "v", "j"), (None, "w", "k")], "page_id long, url string, html string")
+    left = archived(pages).withColumnRenamed("page_id", "record_id")
+    assert left.filter("archive is null").count() == 0 and left.filter("record_id is null").select("archive").distinct().count() == 3
+    right = left.withColumn("digest", F.when(F.col("url") == "u", "?").otherwise(F.col("digest"))).filter("coalesce(url, '') <> 'w'")
+    assert sorted((r.record_id, r.kind) for r in audit(left, right).collect()) == [(None, "altered"), (None, "missing")]
+    none, gone = left.withColumn("archive", F.lit(None).cast("long")), right.withColumn("archive", F.lit(None).cast("long"))
+    assert {r.kind for r in audit(none, gone).collect()} and audit(none, none).count() == 0
+
+
 def test_lattice_points_are_the_nearest():
     y = np.random.default_rng(4).standard_normal((300, 8)) * 2
     points = nearest(y)
