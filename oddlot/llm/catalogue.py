@@ -14,6 +14,7 @@ from oddlot.llm.licences import licensed_paragraphs
 from oddlot.llm.merkle import archived, audit
 from oddlot.llm.packing import pack_sequences
 from oddlot.llm.parity_join import jaccard_components
+from oddlot.llm.prefix_hash import edited_fingerprints
 from oddlot.llm.quality import quality_scores
 from oddlot.llm.recompression import remove_repeats
 from oddlot.llm.url_list import decided
@@ -235,3 +236,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_licence_scan")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return licensed_paragraphs(table(spark, folder, "documents"))
+
+
+@query("op11_prefix_fingerprints")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return edited_fingerprints(table(spark, folder, "documents"))
