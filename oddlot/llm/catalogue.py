@@ -17,6 +17,7 @@ from oddlot.llm.parity_join import jaccard_components
 from oddlot.llm.prefix_hash import edited_fingerprints
 from oddlot.llm.quality import quality_scores
 from oddlot.llm.recompression import remove_repeats
+from oddlot.llm.spelling import spelling_forms
 from oddlot.llm.url_list import decided
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -241,3 +242,47 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_prefix_fingerprints")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return edited_fingerprints(table(spark, folder, "documents"))
+
+
+@query(
+    "op12_spelling_trie",
+    r"""
+    with recursive t as materialized (
+      select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crc),
+    r as materialized (
+      select d, w, count(*) as n from (
+        select doc_id as d, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w from documents)
+      where length(w) >= 5 group by d, w),
+    b as (
+      select d, w, n, flatten(list_transform(string_split(coalesce(d::varchar, '') || ':' || w, ''),
+             lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [195::bigint, unicode(x)::bigint - 64] end)) as bytes from r),
+    h as (
+      select w, n, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, bytes),
+             lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]))) as h from b, t),
+    o as (
+      select case when h % 97 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end as word, n from h),
+    v as materialized (
+      select word, sum(n)::bigint as n from o where length(word) >= 5 group by word having sum(n) >= 3),
+    c as materialized (
+      select word, n, substr(word, 1, i - 1) as x, substr(word, i + 1) as y
+      from (select word, n, unnest(range(1, length(word) + 1)) as i from v)),
+    p as (
+      select distinct a.word as a, a.n as a_n, b.word as b, b.n as b_n
+      from c a join c b on a.x = b.x and a.y = b.y and a.word <> b.word
+      union
+      select c.word, c.n, v.word, v.n from c join v on c.x || c.y = v.word),
+    q as (select a, a_n, b, b_n from p union select b, b_n, a, a_n from p),
+    f as (
+      select a, count(*) as n_near, first(b order by b_n desc, b) as best, max(b_n) as best_n from q group by a),
+    g as materialized (
+      select word, n, coalesce(n_near, 0) as n_near, case when best_n >= 2 * n then best end as form,
+             case when best_n >= 2 * n then best_n end as form_n
+      from v left join f on f.a = v.word),
+    s as (select word, word as root, form as next from g
+          union all select s.word, g.word, g.form from s join g on s.next = g.word)
+    select g.word, g.form, s.root, g.n, g.n_near, g.form_n from g join s on s.word = g.word and s.next is null""",
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_forms(table(spark, folder, "documents"))
