@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddlot.llm.containment import contained_items
+from oddlot.llm.hard_negatives import hard_negatives
 from oddlot.llm.interleave import interleaved_shards
 from oddlot.llm.lattice import near_vectors
 from oddlot.llm.licences import licensed_paragraphs
@@ -286,3 +287,33 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_forms(table(spark, folder, "documents"))
+
+
+@query(
+    "op13_tree_bounded_negatives",
+    """
+    with v as materialized (
+      select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+             list_transform(embedding, lambda x: floor(256 * x::double)) as q
+      from embeddings
+      where label is not null and embedding is not null and len(embedding) > 0
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as materialized (
+      select a.vec_id as a, a.label as al, b.vec_id as b, b.label as bl, list_dot_product(a.q, b.q)::bigint as score
+      from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+    p as (
+      select * from (select a, b, score, row_number() over (partition by a order by score desc, b) as r from s where al = bl)
+      where r <= 5),
+    n as (
+      select p.a, p.b as p, p.score as p_score, s.b as n, s.score as n_score,
+             row_number() over (partition by p.a, p.b order by s.score desc, s.b) as rank
+      from p join s on p.a = s.a and s.al <> s.bl and 80 * p.score <= 100 * s.score and 100 * s.score <= 100 * p.score)
+    select a as anchor_id, p as positive_id, rank::integer as rank, n as negative_id, p_score as positive_score,
+           n_score as negative_score
+    from n where rank <= 5""",
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """A seventh of the labels is moved on by one, so that near vectors of another label exist."""
+    rows = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
