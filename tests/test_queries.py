@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as contract
+from oddlot.plans.catalogue import SQL
 from tests.conftest import SMALL
 
 TABLES = ["events", "lineitem", "orders", "customer", "supplier"]
@@ -25,10 +26,10 @@ def rows(pdf):
     return sorted(out, key=lambda r: [(v is not None, str(type(v)), v if v is not None else 0) for v in r])
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
     got = contract.queries()[name](spark, SMALL).toPandas()
-    want = duck.execute(contract.oracle_sql()[name]).df()
+    want = duck.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
