@@ -196,9 +196,9 @@ def dbscan_sweep_eps(spark, folder):
     return shown(out, "outliers", digits={"eps": 6})
 
 
-def _divisor_sql(d: int) -> str:
-    near = "sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) <= 0.1"
-    return f"""po{d} as materialized (select * from pl, ce where x >= cx / {d} and y >= cy / {d}),
+def _divisor_sql(d: int, eps: str = "0.1") -> str:
+    near = "sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) <= p.eps"
+    return f"""po{d} as materialized (select *, {eps} as eps from pl, ce where x >= cx / {d} and y >= cy / {d}),
 nb{d} as (select p.id, p.x, p.y, count(*) as n from po{d} p join po{d} q on {near} group by p.id, p.x, p.y),
 best{d} as (select p.id, p.x, p.y, max(q.n) as best from po{d} p join nb{d} q on {near} group by p.id, p.x, p.y),
 lb{d} as (select x, y, best < (select count(*) from po{d}) - (select ms from star) as noise from best{d}),
@@ -223,6 +223,41 @@ def dbscan_div_score(spark, folder):
     return shown(out, "div", digits={"cal": 6})
 
 
+@query(
+    "dbscan_tune",
+    f"""with {SWEEP_MS_SQL},
+st as (select m_s, lag(outliers) over (order by m_s) - outliers as d from sweep),
+se as (select 2.58 * stddev_pop(d) / sqrt(count(d)) as e from st),
+star as (select coalesce((select max(m_s) from st, se where d < e), (select max(m_s) from sweep)) as ms),
+dd as materialized (
+  select p.id as p, q.id as q,
+         sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) as d from po p cross join po q),
+kd as materialized (
+  select p, list_sort(list(d))[greatest(1, (select ms from star))] as k from dd group by p),
+thr as materialized (
+  select dd.p, coalesce(min(greatest(dd.d, kd.k)), 9) as e from dd join kd on kd.p = dd.q group by dd.p),
+grid_e as (select unnest([{', '.join(f'{e!r}::double' for e in noise.EPS_GRID)}]) as eps),
+sweep_e as materialized (select eps, count(thr.e) as outliers from grid_e left join thr on thr.e > eps group by eps),
+st_e as (select eps, lag(outliers) over (order by eps) - outliers as d from sweep_e),
+se_e as (select 2.58 * stddev_pop(d) / sqrt(count(d)) as e from st_e),
+best_e as materialized (
+  select coalesce((select min(eps) from st_e, se_e where d < e), (select min(eps) from sweep_e)) as eps),
+ce as (select avg(x) as cx, avg(y) as cy from pl),
+{', '.join(_divisor_sql(d, '(select eps from best_e)') for d in noise.DIVISORS)},
+cals as ({' union all '.join(f'select * from cal{d}' for d in noise.DIVISORS)})
+select round((select eps from best_e), 6) as eps, (select ms from star) as min_samples, round(cx, 6) as center_x,
+       round(cy, 6) as center_y, (select div from cals order by cal desc, div limit 1) as optimum_divison
+from ce""",
+)
+def dbscan_tune(spark, folder):
+    found = noise.tune(plane(spark, folder), PLANE)
+    x, y = (round(found["centroids"][c], 6) for c in PLANE)
+    row = [(round(found["eps"], 6), found["min_samples"], x, y, found["optimum_divison"])]
+    return spark.createDataFrame(
+        row, "eps double, min_samples long, center_x double, center_y double, optimum_divison int"
+    )
+
+
 @query("dbscan_params")
 def dbscan_params(spark, folder):
     params = noise.tune(featured(spark, folder), RUN_SCORES)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from oddlot.columns import AMOUNT, CUSTOMER, ID, MERCHANT
 from oddlot.detectors import dense_net as nets
 from oddlot.detectors import isolation
-from oddlot.operators import clusters, noise, rfm
+from oddlot.operators import boxes, clusters, noise, rfm
 from oddlot.plans import model_search, score_run
 from oddlot.plans.feature_run import run_features, score_columns
 from oddlot.plans.registry import lines
@@ -41,14 +41,14 @@ def brute_noise(x, eps, min_samples):
 @pytest.mark.parametrize("block", [4, 512])
 @pytest.mark.parametrize("eps, min_samples", [(0.05, 5), (0.1, 12), (0.4, 150), (0.03, 1)])
 def test_noise_equals_brute_force(cloud, monkeypatch, block, eps, min_samples):
-    monkeypatch.setattr(noise, "BLOCK", block)
+    monkeypatch.setattr(boxes, "BLOCK", block)
     x, df = cloud
     rows = noise.with_noise(df, ["a", "b", "c"], eps, min_samples).orderBy(ID).collect()
     assert [r["noise"] for r in rows] == brute_noise(x, eps, min_samples).tolist()
 
 
 def test_sweeps_equal_brute_force(cloud, monkeypatch):
-    monkeypatch.setattr(noise, "BLOCK", 16)
+    monkeypatch.setattr(boxes, "BLOCK", 16)
     x, df = cloud
     sweep = noise.sweep_min_samples(df, ["a", "b", "c"], len(x)).collect()
     assert [(r["m_s"], r["outliers"]) for r in sweep] == [
