@@ -10,14 +10,17 @@ shingles with similarity ``t`` or more differ in at most ``d = (a + b)(1 - t)/(1
   which holds all smaller sets it can be linked with. Each group has its own ``d``.
 * Blocks without a shingle say little, so only sets with more than ``e`` empty blocks send those too:
   where two sets agree on empty blocks alone, both have more than ``e`` of them. No pair is lost.
-* A second fold of the sketch to 256 bits screens candidates: its Hamming distance never exceeds the
-  symmetric difference. What is left is verified on the exact sets.
+* Two folds of the sketch screen candidates, since their Hamming distance never exceeds the symmetric
+  difference: one of 256 bits, and one with about as many bits as the set has shingles, which bites at every
+  size. What is left is verified on the exact sets.
 
 Links are needed for components, not one by one. Sets that share a block are first linked along a
-chain in hashed order. Where a block still holds several components, its members are compared in tiles,
-each member outside a tile's commonest component with all others, and a tile returns only links that
-join what was apart. So components are exact, no pairs are emitted, and a group of near copies costs
-comparisons only for those of its members that are not linked to the rest.
+chain in hashed order. A link that is still missing joins two components, and its sets agree on more than
+``r`` blocks, all of which then hold several components. So a set with at most ``r`` such blocks is done, any
+other is tried without its ``r`` commonest ones, and a very common passage does not bring its documents
+together. The members of a block that is left are screened by sketch in tiles, which return members and no
+pairs; those with a partner in another component are compared exactly in tiles, which return only links that
+join what was apart. So components are exact.
 Equal sets are linked through their smallest document, and only one of them sends its blocks. Block rows
 are two numbers wide; a block that very many sets share is sorted as a stream that spills, nothing of it
 is held in memory.
@@ -41,10 +44,15 @@ from oddlot.llm.graph import connected
 from oddlot.llm.store import written
 from oddlot.llm.tokens import all_shingles, find_words, flat, int64s, lists, mix, number_mix, slices
 
-#: Shingles in a slice of a cluster whose members are compared with one another.
+#: Shingles in a slice of a block whose members are compared with one another.
 TILE = 1_000_000
 SKETCH_WORDS = ["s0", "s1", "s2", "s3"]
-FACTS = "doc_id long, n long, hi long, lo long, s0 long, s1 long, s2 long, s3 long, sends boolean, keys array<long>"
+FACTS = "doc_id long, n long, hi long, lo long, s0 long, s1 long, s2 long, s3 long, sketch binary"
+KEYS = "key long, doc_id long, hi long, maybe boolean"
+#: Members of a block that a tile screens by sketch.
+MEMBERS = 2_000
+#: Shingles above which a set has a sketch of its own width.
+NARROW = 256
 
 
 @lru_cache(maxsize=None)
@@ -53,12 +61,18 @@ def _band_start(band: int, percent: int) -> int:
 
 
 @lru_cache(maxsize=None)
-def _layout(band: int, percent: int) -> tuple[int, int]:
-    """Blocks of the band's group, and how many may be empty before these are sent too."""
-    most = _band_start(band + 1, percent) - 1
+def _layout(band: int, percent: int) -> tuple[int, int, int]:
+    """Blocks of the band's group, how many may be empty before these are sent too, and ``r``.
+
+    Linked sets agree on ``empty + r + 1`` blocks at least, hence on more than ``r`` of those that are sent.
+    """
+    start, most = _band_start(band, percent), _band_start(band + 1, percent) - 1
     apart = (most + most * 100 // percent) * (100 - percent) // (100 + percent)
-    spare = int(np.ceil(0.015 * apart + 1.5 * np.sqrt(0.015 * apart)))
-    return apart + 1 + spare, spare
+    more = min(4, apart // 8)
+    blocks = apart + 1 + more
+    empty = blocks * np.exp(-start / blocks) if more else 0.015 * apart
+    spare = int(np.ceil(empty + 1.5 * np.sqrt(empty)))
+    return blocks + spare, spare, more
 
 
 def _band(n: int, percent: int) -> int:
@@ -69,12 +83,15 @@ def _band(n: int, percent: int) -> int:
 
 
 def block_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the blocks of a sorted set of shingle hashes; two sets that may be linked share one."""
+    """Keys of the blocks of a sorted set of shingle hashes; two sets that may be linked share more than ``r``.
+
+    The last bit of a key tells the two groups of a set apart, the three before it hold the group's ``r``.
+    """
     band = _band(len(shingles), percent)
     codes = mix(shingles & np.uint64(0xFFFFFFFF))
     out = []
     for group in range(max(0, band - 1), band + 1):
-        blocks, spare = _layout(group, percent)
+        blocks, spare, more = _layout(group, percent)
         block = ((shingles >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
         begins = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
         prints = np.bitwise_xor.reduceat(codes, begins)
@@ -83,14 +100,22 @@ def block_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
             empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), where)
             where = np.concatenate((where, empty))
             prints = np.concatenate((prints, np.zeros(len(empty), dtype=np.uint64)))
-        out.append(mix(prints + mix(where + number_mix(group + 1))))
+        keys = mix(prints + mix(where + number_mix(group + 1)))
+        out.append((keys & ~np.uint64(15)) | np.uint64(more << 1 | group & 1))
     return np.concatenate(out)
 
 
-def _facts(k: int, percent: int):
+def _sketch(found: np.ndarray, bits: int) -> bytes:
+    """The parity sketch of that many bits, a power of two; halves of it folded onto each other give the next narrower."""
+    return np.packbits((np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _width(n: int) -> int:
+    return 1 << (int(n) - 1).bit_length()
+
+
+def _facts(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[bytes] = set()
-        none = np.zeros(0, dtype=np.uint64)
         salt = number_mix(7)
         for batch in batches:
             ids = flat(batch.column("doc_id"))
@@ -98,59 +123,53 @@ def _facts(k: int, percent: int):
                 words = find_words(data, offsets)
                 values, begin = all_shingles(words.hashes(lower=True), words.first, k)
                 numbers = np.zeros((7, j - i), dtype=np.uint64)
-                keys = []
+                wide = []
                 for d in range(j - i):
                     found = np.unique(values[begin[d] : begin[d + 1]])
                     numbers[0, d] = len(found)
-                    if not len(found):
-                        keys.append(none)
-                        continue
-                    numbers[1, d] = mix(found).sum()
-                    numbers[2, d] = mix(found ^ salt).sum()
-                    bits = np.bincount((found & np.uint64(255)).astype(np.int64), minlength=256) & 1
-                    numbers[3:7, d] = np.packbits(bits.astype(np.uint8)).view(np.uint64)
-                    same = numbers[:3, d].tobytes()
-                    keys.append(none if same in sent else block_keys(found, percent))
-                    sent.add(same)
+                    wide.append(_sketch(found, _width(len(found))) if len(found) > NARROW else None)
+                    if len(found):
+                        numbers[1, d] = mix(found).sum()
+                        numbers[2, d] = mix(found ^ salt).sum()
+                        numbers[3:7, d] = np.frombuffer(_sketch(found, NARROW), dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids[i:j], *(int64s(row) for row in numbers), pa.array([len(x) > 0 for x in keys]), lists(keys)],
-                    names=["doc_id", "n", "hi", "lo", *SKETCH_WORDS, "sends", "keys"],
+                    [ids[i:j], *(int64s(row) for row in numbers), pa.array(wide, pa.binary())],
+                    names=["doc_id", "n", "hi", "lo", *SKETCH_WORDS, "sketch"],
                 )
 
     return run
 
 
-def _spread(bits):
-    """A row for each key, and whether its sender may be listed."""
+def _keys(k: int, percent: int, bits):
+    """A row for each key of a set, with the set's first sum and whether the document may be listed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = flat(batch.column("keys"))
-            counts = np.diff(keys.offsets.to_numpy())
+            ids = flat(batch.column("doc_id"))
             maybe = bitset.listed(bits.value, flat(batch.column("slot")).to_numpy())
-            owner = pa.array(np.repeat(np.arange(len(keys)), counts))
-            yield pa.RecordBatch.from_arrays(
-                [keys.flatten(), *(batch.column(c).take(owner) for c in ("doc_id", "hi")), pa.array(maybe).take(owner)],
-                names=["key", "doc_id", "hi", "maybe"],
-            )
+            for i, j, data, offsets in slices(batch.column("text")):
+                words = find_words(data, offsets)
+                values, begin = all_shingles(words.hashes(lower=True), words.first, k)
+                parts = [np.unique(values[begin[d] : begin[d + 1]]) for d in range(j - i)]
+                keys = [block_keys(p, percent) if len(p) else p for p in parts]
+                sums = np.array([mix(p).sum() for p in parts], dtype=np.uint64)
+                owner = np.repeat(np.arange(j - i), [len(x) for x in keys])
+                yield pa.RecordBatch.from_arrays(
+                    [int64s(np.concatenate(keys)), ids.take(pa.array(owner + i)), int64s(sums[owner]), pa.array(maybe[owner + i])],
+                    names=["key", "doc_id", "hi", "maybe"],
+                )
 
     return run
 
 
-def _block_rows(sets: DataFrame) -> DataFrame:
-    """``(key, doc_id)`` of one sender per set.
+def _block_rows(sets: DataFrame, heads: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """``(key, doc_id)`` of one sender per set, the smallest document that has it.
 
-    Each task has sent the blocks of a set once; what further tasks sent for an equal set is dropped. A
-    bit set spares the shuffle of all but these senders' rows.
+    A bit set tells the scan which documents send for certain; only rows of the others are looked up.
     """
-    senders = sets.filter("sends").select("doc_id", "n", "hi", "lo")
-    first = senders.groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("first"))
-    extra = written(senders.join(first, ["n", "hi", "lo"]).filter("doc_id != first").select("doc_id", "hi").distinct())
-    place = F.xxhash64("doc_id", "hi").bitwiseAND(F.lit(bitset.BITS - 1))
-    bits = bitset.build(extra, place)
-    rows = sets.filter("sends").select("doc_id", "hi", "keys", place.alias("slot")).mapInArrow(
-        _spread(bits), "key long, doc_id long, hi long, maybe boolean"
-    )
+    extra = written(sets.join(heads, ["n", "hi", "lo"]).filter("doc_id != head").select("doc_id", "hi").distinct())
+    bits = bitset.build(extra, bitset.slot(F.col("doc_id")))
+    rows = texts.filter("doc_id is not null").withColumn("slot", bitset.slot(F.col("doc_id"))).mapInArrow(_keys(k, percent, bits), KEYS)
     sure = rows.filter("not maybe").select("key", "doc_id")
     return sure.unionByName(rows.filter("maybe").join(extra, ["doc_id", "hi"], "left_anti").select("key", "doc_id"))
 
@@ -180,6 +199,27 @@ def _sets_of(ids: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return sets
 
 
+def _far(a: bytes | None, b: bytes | None, total: int, percent: int) -> bool:
+    """Whether the wide sketches of two sets of ``total`` shingles rule a link out."""
+    if a is None or b is None:
+        return False
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) * (100 + percent) > total * (100 - percent)
+
+
+def _near_pairs(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("x", "y", "total"))
+            near = [not _far(x, y, total, percent) for x, y, total in zip(*columns, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return run
+
+
 def _linked(pairs: DataFrame, facts: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose exact sets reach the similarity."""
     side = facts.select("doc_id", "n", "hi", "lo", *SKETCH_WORDS)
@@ -194,7 +234,14 @@ def _linked(pairs: DataFrame, facts: DataFrame, texts: DataFrame, k: int, percen
         pairs.join(left, F.col("a") == F.col("a_doc_id"))
         .join(right, F.col("b") == F.col("b_doc_id"))
         .filter(small & near & differ)
-        .select("a", "b")
+        .select("a", "b", (F.col("a_n") + F.col("b_n")).alias("total"))
+        .distinct()
+    )
+    wide = facts.select("doc_id", "sketch")
+    screened = written(
+        screened.join(wide.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), "a")
+        .join(wide.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y")), "b")
+        .mapInArrow(_near_pairs(percent), "a long, b long")
         .distinct()
     )
     ends = screened.select(F.col("a").alias("doc_id")).union(screened.select("b")).distinct()
@@ -223,21 +270,66 @@ def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
     return written(every.join(joined, "component", "left").select("node", F.coalesce("least", "component").alias("component")))
 
 
-def _clusters(shared: DataFrame, known: DataFrame) -> DataFrame:
-    """``(doc_id, component, cluster)`` of documents in blocks with several components.
+def _open_blocks(shared: DataFrame, known: DataFrame, several: DataFrame) -> DataFrame:
+    """``(key, doc_id, component)`` of the blocks in which a missing link can still show.
 
-    A cluster joins what such blocks connect, so any pair still to be tried lies within one.
+    ``several`` are the ids that stand for different sets; their blocks all stay.
     """
     marked = shared.join(known, shared.doc_id == known.node, "left").select(
         "key", "doc_id", F.coalesce("component", "doc_id").alias("component")
     )
-    mixed = marked.groupBy("key").agg(
-        F.min("component").alias("x"), F.max("component").alias("y"), F.min("doc_id").alias("head")
-    ).filter("x < y")
-    rows = written(marked.join(mixed.select("key", "head"), "key").select("doc_id", "component", "head").distinct())
-    clusters = connected(rows.select(F.col("doc_id").alias("u"), F.col("head").alias("v")))
-    clusters = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    return rows.select("doc_id", "component").distinct().join(clusters, "doc_id")
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        facts = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"))
+        return rows.join(facts.filter("x < y").select("key", "members"), "key")
+
+    # A document has a bounded number of blocks for its size.
+    order = Window.partitionBy("doc_id", F.col("key").bitwiseAND(F.lit(1))).orderBy(F.desc("members"), F.desc("key"))
+    more = F.shiftright("key", 1).bitwiseAND(F.lit(7))
+    rows = mixed(marked).join(several.withColumn("__several", F.lit(True)), "doc_id", "left")
+    kept = rows.withColumn("place", F.row_number().over(order)).filter((F.col("place") > more) | F.col("__several"))
+    return mixed(written(kept.select("key", "doc_id", "component"))).select("key", "doc_id", "component")
+
+
+def _tiles(rows: DataFrame, size: F.Column, limit: int, salt: int) -> DataFrame:
+    """Rows of each ``key`` dealt into slices of about ``limit``, and each pair of slices as one tile.
+
+    Tiles are dealt to tasks by all their keys, so a large group spreads.
+    """
+    parts = rows.groupBy("key").agg(F.ceil(F.sum(size) / limit).alias("parts"))
+    return (
+        rows.join(parts, "key")
+        .withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col("parts")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        .withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+        .drop("parts", "other")
+        .repartition("key", "low", "high")
+    )
+
+
+def _screened(percent: int):
+    """Members of a tile whose sketches allow a link with a member of another component."""
+
+    def run(tile: pa.Table) -> pa.Table:
+        tile = tile.sort_by("n")
+        n, part, own = (tile.column(c).to_numpy() for c in ("n", "component", "own"))
+        narrow = np.stack([tile.column(c).to_numpy().view(np.uint64) for c in SKETCH_WORDS], axis=1)
+        wide = tile.column("sketch").to_pylist()
+        twice = tile.column("low")[0].as_py() != tile.column("high")[0].as_py()
+        most = np.searchsorted(n, n * 100 // percent, "right")
+        found = np.zeros(len(n), dtype=bool)
+        for a in range(len(n)):
+            other = slice(a + 1, most[a])
+            apart = np.bitwise_count(narrow[other] ^ narrow[a]).sum(axis=1, dtype=np.int64)
+            near = (part[other] != part[a]) & (apart * (100 + percent) <= (n[other] + n[a]) * (100 - percent))
+            if twice:
+                near &= own[other] != own[a]
+            for b in np.flatnonzero(near) + a + 1:
+                if not (found[a] and found[b]) and not _far(wide[a], wide[b], int(n[a] + n[b]), percent):
+                    found[a] = found[b] = True
+        return tile.select(["key", "doc_id", "component"]).filter(pa.array(found))
+
+    return run
 
 
 def _forest(links: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
@@ -260,7 +352,7 @@ def _forest(links: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
 
 
 def _compare(percent: int):
-    """A forest of the links between different components within a tile: one slice of a cluster, or two."""
+    """A forest of the links between different components within a tile: one slice of a group, or two."""
 
     def run(tile: pa.Table) -> pa.Table:
         items = flat(tile.column("items"))
@@ -297,23 +389,19 @@ def _compare(percent: int):
     return run
 
 
-def _tiled_links(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links that connect the components within each cluster, found in tiles of bounded size.
+def _tiled_links(members: DataFrame, facts: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links that connect the components within each ``key`` of ``members(key, doc_id, component)``.
 
-    A cluster's members are dealt into slices of about ``TILE`` shingles, and each pair of slices is one
-    group. A tile emits a forest, fewer rows than it has members.
+    Members that their sketches keep apart from all other components go first. A tile emits a forest, fewer
+    rows than it has members.
     """
-    members = written(members)
-    sets = _sets_of(members.select("doc_id"), texts, k).filter("size(items) > 0")
-    sized = written(members.join(sets, "doc_id"))
-    parts = sized.groupBy("cluster").agg(F.ceil(F.sum(F.size("items")) / TILE).alias("parts"))
-    dealt = (
-        sized.join(parts, "cluster")
-        .withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.col("parts")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        .select("cluster", "doc_id", "component", "items", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    )
-    return written(dealt.groupBy("cluster", "low", "high").applyInArrow(_compare(percent), "u long, v long").distinct())
+    side = facts.select("doc_id", "n", *SKETCH_WORDS, "sketch").distinct()
+    near = _tiles(members.join(side, "doc_id"), F.lit(1), MEMBERS, 19).groupBy("key", "low", "high")
+    left = written(near.applyInArrow(_screened(percent), "key long, doc_id long, component long").distinct())
+    sets = _sets_of(left.select("doc_id"), texts, k).filter("size(items) > 0")
+    sized = written(left.join(sets, "doc_id"))
+    dealt = _tiles(sized, F.size("items"), TILE, 23)
+    return written(dealt.groupBy("key", "low", "high").applyInArrow(_compare(percent), "u long, v long").distinct())
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -323,14 +411,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     Jaccard similarity of ``percent``/100 or more. Other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    facts = written(texts.mapInArrow(_facts(k, percent), FACTS))
+    facts = written(texts.mapInArrow(_facts(k), FACTS))
     sets = facts.filter("doc_id is not null and n > 0")
-    heads = sets.groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("head"))
+    heads = written(sets.groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies")).filter("copies > 1").drop("copies"))
     copies = sets.join(heads, ["n", "hi", "lo"]).filter("doc_id != head").select(
         F.col("doc_id").alias("u"), F.col("head").alias("v")
     )
 
-    rows = _block_rows(sets)
+    rows = _block_rows(sets, heads, texts, k, percent)
     order = Window.partitionBy("key").orderBy(F.xxhash64("doc_id"), "doc_id")
     shared = written(
         rows.select("key", "doc_id", F.lead("doc_id").over(order).alias("after"), F.lag("doc_id").over(order).alias("before"))
@@ -343,7 +431,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         .distinct()
     )
     known = connected(_linked(chain, facts, texts, k, percent).unionByName(copies))
-    known = _merged(known, _tiled_links(_clusters(shared, known), texts, k, percent))
+    several = sets.groupBy("doc_id").agg(F.min("hi").alias("x"), F.max("hi").alias("y")).filter("x != y").select("doc_id")
+    known = _merged(known, _tiled_links(_open_blocks(shared, known, several), facts, texts, k, percent))
     return (
         facts.select("doc_id", F.col("n").alias("n_shingles"))
         .join(known.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
