@@ -19,8 +19,8 @@ chain in hashed order. A link that is still missing joins two components, and it
 ``r`` blocks, all of which then hold several components. So a set with at most ``r`` such blocks is done, any
 other is tried without its ``r`` commonest ones, and a very common passage does not bring its documents
 together. The members of a block that is left are screened by sketch in tiles, which return members and no
-pairs; those with a partner in another component are compared exactly in tiles, which return only links that
-join what was apart. So components are exact.
+pairs; those with a partner in another component are compared exactly in tiles of connected components, which return
+only links that join what was apart. So components are exact.
 Equal sets are linked through their smallest document, and only one of them sends its blocks. Block rows
 are two numbers wide; a block that very many sets share is sorted as a stream that spills, nothing of it
 is held in memory.
@@ -280,15 +280,21 @@ def _open_blocks(shared: DataFrame, known: DataFrame, several: DataFrame) -> Dat
     )
 
     def mixed(rows: DataFrame) -> DataFrame:
-        facts = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"))
-        return rows.join(facts.filter("x < y").select("key", "members"), "key")
+        facts = rows.groupBy("key").agg(
+            F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"),
+            F.bit_xor(F.xxhash64("doc_id")).alias("h"), F.sum(F.xxhash64("doc_id", F.lit(5)).bitwiseAND(F.lit((1 << 40) - 1))).alias("g"),
+        )
+        return written(facts.filter("x < y").drop("x", "y"))
 
     # A document has a bounded number of blocks for its size.
     order = Window.partitionBy("doc_id", F.col("key").bitwiseAND(F.lit(1))).orderBy(F.desc("members"), F.desc("key"))
     more = F.shiftright("key", 1).bitwiseAND(F.lit(7))
-    rows = mixed(marked).join(several.withColumn("__several", F.lit(True)), "doc_id", "left")
+    rows = marked.join(mixed(marked).select("key", "members"), "key").join(several.withColumn("__several", F.lit(True)), "doc_id", "left")
     kept = rows.withColumn("place", F.row_number().over(order)).filter((F.col("place") > more) | F.col("__several"))
-    return mixed(written(kept.select("key", "doc_id", "component"))).select("key", "doc_id", "component")
+    kept = written(kept.select("key", "doc_id", "component"))
+    # Near copies agree on many blocks; one block stands for all with the same members.
+    heads = mixed(kept).groupBy("members", "h", "g").agg(F.min("key").alias("key"))
+    return kept.join(heads.select("key"), "key", "left_semi")
 
 
 def _tiles(rows: DataFrame, size: F.Column, limit: int, salt: int) -> DataFrame:
@@ -308,26 +314,46 @@ def _tiles(rows: DataFrame, size: F.Column, limit: int, salt: int) -> DataFrame:
 
 
 def _screened(percent: int):
-    """Members of a tile whose sketches allow a link with a member of another component."""
+    """Members of a tile whose sketches allow a link with a member of another component, with that component.
+
+    Each such member occurs, and the components that are allowed to link are connected by the rows.
+    """
 
     def run(tile: pa.Table) -> pa.Table:
         tile = tile.sort_by("n")
-        n, part, own = (tile.column(c).to_numpy() for c in ("n", "component", "own"))
+        doc, n, part, own = (tile.column(c).to_numpy() for c in ("doc_id", "n", "component", "own"))
         narrow = np.stack([tile.column(c).to_numpy().view(np.uint64) for c in SKETCH_WORDS], axis=1)
         wide = tile.column("sketch").to_pylist()
         twice = tile.column("low")[0].as_py() != tile.column("high")[0].as_py()
         most = np.searchsorted(n, n * 100 // percent, "right")
+        joined = {p: p for p in part.tolist()}
+
+        def root(x: int) -> int:
+            while joined[x] != x:
+                joined[x] = joined[joined[x]]
+                x = joined[x]
+            return x
+
         found = np.zeros(len(n), dtype=bool)
-        for a in range(len(n)):
+        rows: list[tuple[int, int, int]] = []
+        for a in range(len(n) - 1):
             other = slice(a + 1, most[a])
-            apart = np.bitwise_count(narrow[other] ^ narrow[a]).sum(axis=1, dtype=np.int64)
-            near = (part[other] != part[a]) & (apart * (100 + percent) <= (n[other] + n[a]) * (100 - percent))
+            near = part[other] != part[a]
             if twice:
                 near &= own[other] != own[a]
-            for b in np.flatnonzero(near) + a + 1:
-                if not (found[a] and found[b]) and not _far(wide[a], wide[b], int(n[a] + n[b]), percent):
-                    found[a] = found[b] = True
-        return tile.select(["key", "doc_id", "component"]).filter(pa.array(found))
+            if not near.any():
+                continue
+            apart = np.bitwise_count(narrow[other] ^ narrow[a]).sum(axis=1, dtype=np.int64)
+            near &= apart * (100 + percent) <= (n[other] + n[a]) * (100 - percent)
+            for b in (np.flatnonzero(near) + a + 1).tolist():
+                x, y = root(int(part[a])), root(int(part[b]))
+                if (found[a] and found[b] and x == y) or _far(wide[a], wide[b], int(n[a] + n[b]), percent):
+                    continue
+                joined[max(x, y)] = min(x, y)
+                rows += [(int(doc[i]), int(part[i]), int(part[j])) for i, j in ((a, b), (b, a)) if not found[i] or x != y]
+                found[a] = found[b] = True
+        columns = zip(*rows, strict=True) if rows else [[], [], []]
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("doc_id", "component", "other"), columns, strict=True)})
 
     return run
 
@@ -390,14 +416,21 @@ def _compare(percent: int):
 
 
 def _tiled_links(members: DataFrame, facts: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links that connect the components within each ``key`` of ``members(key, doc_id, component)``.
+    """Links that connect the components within the blocks of ``members(key, doc_id, component)``.
 
-    Members that their sketches keep apart from all other components go first. A tile emits a forest, fewer
-    rows than it has members.
+    Members that their sketches keep apart from all other components go first. The rest are compared by groups
+    of components that sketches allow to link, each set in one group. A tile emits a forest, fewer rows than it
+    has members.
     """
     side = facts.select("doc_id", "n", *SKETCH_WORDS, "sketch").distinct()
     near = _tiles(members.join(side, "doc_id"), F.lit(1), MEMBERS, 19).groupBy("key", "low", "high")
-    left = written(near.applyInArrow(_screened(percent), "key long, doc_id long, component long").distinct())
+    near = written(near.applyInArrow(_screened(percent), "doc_id long, component long, other long").distinct())
+    groups = connected(near.select(F.col("component").alias("u"), F.col("other").alias("v")))
+    left = written(
+        near.select("doc_id", "component").distinct()
+        .join(groups.select(F.col("node").alias("component"), F.col("component").alias("key")), "component")
+        .select("key", "doc_id", "component")
+    )
     sets = _sets_of(left.select("doc_id"), texts, k).filter("size(items) > 0")
     sized = written(left.join(sets, "doc_id"))
     dealt = _tiles(sized, F.size("items"), TILE, 23)
