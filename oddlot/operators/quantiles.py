@@ -1,26 +1,32 @@
 """Exact quantiles (linear interpolation) of groups and of whole tables of any size.
 
-Groups up to the hot threshold use ``percentile``. A larger group would hold all its distinct
-values in one task, so its order statistics are found by repeated bracketing: a mergeable sketch
-proposes two pivots around the wanted rank, exact counts decide on which side of them it lies, and
-only the rows strictly between go into the next round. A bad sketch costs another round, never a
-wrong result.
+Groups up to the hot threshold use ``percentile``. A larger group, or a whole table, would hold all its
+distinct values in one task, so its order statistics are found by radix selection: each round splits what
+is still in question for a rank into digits, counts them exactly, and goes on with the rows of the one digit
+that holds the rank. A digit is any monotone number of a value, by turns its place between the smallest and
+the largest value in question and its binary exponent, so a few rounds reach single values whatever their
+spread. What lies in question for a rank is a row of a table; nothing of it passes through the driver.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from oddlot.operators.skew import HOT_ROWS, HotKeys, in_parts, join_same
+from oddlot.operators.skew import HotKeys, in_parts, join_same
+from oddlot.session import settle
 
-GRID = 200
-SKETCH_ACCURACY = 10_000
-FINISH_ROWS = 100_000
+DIGITS = 4096
+#: Values in question that are sorted at once.
+FINISH_ROWS = 20_000
+#: Ranks in question that may be broadcast to the rows, at most 100 bytes each; more are joined over salts.
+BROADCAST_ROWS = 100_000
+SALTS = 32
 
 Targets = dict[str, tuple[str, float]]
 
@@ -43,141 +49,111 @@ def group_quantiles(
     return in_parts(df, keys, hot, work)
 
 
-def table_quantiles(df: DataFrame, targets: Targets, exact_rows: int = HOT_ROWS) -> dict[str, Column]:
+def table_quantiles(df: DataFrame, targets: Targets) -> dict[str, Column]:
     """Quantiles of whole columns, as expressions that can be used on any frame."""
-    if df.count() <= exact_rows:
-        one_row = df.agg(*_percentiles(targets))
-        return {out: one_row.select(out).scalar() for out in targets}
-    row = _large_quantiles(df, [], targets).first()
-    return {out: F.lit(row[out]).cast("double") for out in targets}
+    one_row = settle(_large_quantiles(df, [], targets))
+    return {out: one_row.select(out).scalar() for out in targets}
 
 
 def _large_quantiles(df: DataFrame, keys: list[str], targets: Targets) -> DataFrame:
-    """Bracketed quantiles; ``keys`` hold few groups (at most the hot-key bound)."""
-    spark = df.sparkSession
-    groups = df.select(*keys).distinct().collect() if keys else [()]
-    by_key: dict[tuple, dict[str, float | None]] = {tuple(g): dict.fromkeys(targets) for g in groups}
-    for column in sorted({c for c, _ in targets.values()}):
-        values = df.select(*keys, F.col(column).cast("double").alias("__v")).where(
-            F.col("__v").isNotNull()
+    """Selected quantiles, one row per group of ``keys`` (one row in all without keys)."""
+    columns = sorted({c for c, _ in targets.values()})
+    stacked = F.array(*[F.struct(F.lit(i).alias("__c"), F.col(c).cast("double").alias("__v")) for i, c in enumerate(columns)])
+    values = df.select(*keys, F.inline(stacked)).where(F.col("__v").isNotNull())
+    totals = _summary(values, keys)
+    asked = F.array(*[
+        F.struct(F.lit(i).alias("out"), F.lit(columns.index(c)).alias("of"), F.lit(float(p)).alias("p"))
+        for i, (c, p) in enumerate(targets.values())
+    ])
+    place = F.col("a.p") * (F.col("__n") - 1)
+    ranks = settle(
+        totals.withColumn("a", F.explode(asked)).where(F.col("a.of") == F.col("__c")).select(
+            *keys, "__c", "__n", "__lo", "__hi", F.col("a.out").alias("__out"),
+            F.floor(place).alias("__low"), F.ceil(place).alias("__high"), (place - F.floor(place)).alias("__share"),
         )
-        counts = {
-            tuple(r)[:-1]: r["__n"]
-            for r in values.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).collect()
-        }
-        wanted, mixes = {}, []
-        for out, (c, p) in targets.items():
-            if c != column:
-                continue
-            for key, n in counts.items():
-                position = p * (n - 1)
-                low, high = math.floor(position), math.ceil(position)
-                mixes.append((out, key, low, high, position - low))
-                wanted[key, low] = wanted[key, high] = n
-        found = _order_statistics(values, keys, wanted)
-        for out, key, low, high, share in mixes:
-            a, b = found[key, low], found[key, high]
-            by_key[key][out] = a if low == high else (1 - share) * a + share * b
-    schema = T.StructType(
-        [df.schema[k] for k in keys] + [T.StructField(o, T.DoubleType()) for o in targets]
+    )
+    both = [ranks.select(*keys, "__c", "__n", "__lo", "__hi", F.col(r).alias("__k")) for r in ("__low", "__high")]
+    found = settle(_order_statistics(values, keys, both[0].unionByName(both[1]).distinct()))
+    for rank, name in (("__low", "__a"), ("__high", "__b")):
+        side = found.select(*keys, "__c", F.col("__k").alias(rank), F.col("__v").alias(name))
+        ranks = join_same(ranks, side, [*keys, "__c", rank])
+    value = F.when(F.col("__low") == F.col("__high"), F.col("__a")).otherwise(
+        (1 - F.col("__share")) * F.col("__a") + F.col("__share") * F.col("__b")
     )
-    rows = [key + tuple(facts[o] for o in targets) for key, facts in by_key.items()]
-    return spark.createDataFrame(rows, schema)
+    shown = ranks.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("__out") == i, value)).alias(out) for i, out in enumerate(targets)]
+    )
+    return join_same(df.select(*keys).distinct(), shown, keys) if keys else shown
 
 
 def kth_smallest(values: DataFrame, column: str, k: int, n: int) -> float:
     """The value at 0-based rank ``k`` of a column of ``n`` non-null numbers."""
-    frame = values.select(F.col(column).cast("double").alias("__v"))
-    return _order_statistics(frame, [], {((), k): n})[(), k]
-
-
-def _order_statistics(values: DataFrame, keys: list[str], wanted: dict) -> dict:
-    """Values at 0-based ranks, ``wanted`` mapping (key, rank) to the group's row count."""
-    spark = values.sparkSession
-    schema = T.StructType(
-        [values.schema[k] for k in keys]
-        + [T.StructField("__t", T.LongType()), T.StructField("__k", T.LongType())]
-        + [T.StructField("__n", T.LongType())]
-        + [T.StructField("__lo", T.DoubleType()), T.StructField("__hi", T.DoubleType())]
+    frame = values.select(F.lit(0).alias("__c"), F.col(column).cast("double").alias("__v"))
+    wanted = _summary(frame, []).withColumn("__k", F.lit(k).cast("long"))
+    return _order_statistics(frame, [], wanted).first()["__v"]
+
+
+def _summary(values: DataFrame, keys: list[str]) -> DataFrame:
+    return values.groupBy(*keys, "__c").agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")
     )
-    targets = list(wanted)
-    # Open interval still in question, with the rank inside it and its number of rows.
-    state = {i: (k, wanted[key, k], None, None) for i, (key, k) in enumerate(targets)}
-    answers: dict = {}
-
-    def inside(indices: Iterable[int]) -> DataFrame:
-        rows = [targets[i][0] + (i, *state[i]) for i in indices]
-        if keys:
-            brackets = F.broadcast(spark.createDataFrame(rows, schema))
-            joined = join_same(values, brackets, keys, "inner")
-        else:
-            fields = schema.fields
-            brackets = [
-                F.struct(*[F.lit(x).cast(f.dataType).alias(f.name) for f, x in zip(fields, r)])
-                for r in rows
-            ]
-            joined = values.select("__v", F.inline(F.array(*brackets)))
-        return joined.where(
-            (F.col("__lo").isNull() | (F.col("__v") > F.col("__lo")))
-            & (F.col("__hi").isNull() | (F.col("__v") < F.col("__hi")))
-        )
 
+
+def _digit(by_exponent: bool) -> Column:
+    """A monotone number of a value in question, different for the smallest and the largest if taken by place."""
+    v, lo, hi = F.col("__v"), F.col("__lo"), F.col("__hi")
+    size = F.when(F.isnan(v), 9000.0).otherwise(F.least(F.log2(F.abs(v)) + 2000, F.lit(8000.0)))
+    exponent = F.when(v == 0, 0.0).when((v > 0) | F.isnan(v), F.floor(size)).otherwise(-F.floor(size)).cast("long")
+    if by_exponent:
+        return exponent
+    # Halves, so that the width of a range does not overflow.
+    width = hi / 2 - lo / 2
+    place = F.floor((v / 2 - lo / 2) / F.when(width > 0, width) * DIGITS)
+    even = F.least(place, F.lit(DIGITS - 1)).cast("long")
+    infinite = F.isnan(width) | (width == float("inf"))
+    return F.when(infinite, exponent).when(width > 0, even).otherwise((v > lo).cast("long"))
+
+
+def _order_statistics(values: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """``keys, __c, __k, __v``: the values at 0-based ranks of ``wanted(keys, __c, __k, __n, __lo, __hi)``.
+
+    ``values(keys, __c, __v)`` has no nulls; ``__n``, ``__lo`` and ``__hi`` are the group's size and extremes.
+    """
+    group = [*keys, "__c"]
+    asked = [*group, "__k"]
+    state = settle(wanted.withColumn("__rank", F.col("__k")))
+    done = []
+
+    def inside(part: DataFrame) -> DataFrame:
+        """The rows in question for each rank; a hot group's rows stay where they are, or spread over salts."""
+        between = (F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi"))
+        if part.count() <= BROADCAST_ROWS:
+            return join_same(values, F.broadcast(part), group, "inner").where(between)
+        salted = values.withColumn("__salt", F.pmod(F.xxhash64("__v", F.monotonically_increasing_id()), F.lit(SALTS)))
+        copies = part.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        return join_same(salted, copies, [*group, "__salt"], "inner").drop("__salt").where(between)
+
+    by_exponent = False
     while True:
-        open_targets = [i for i in state if targets[i] not in answers]
-        small = [i for i in open_targets if state[i][1] <= FINISH_ROWS]
-        large = [i for i in open_targets if state[i][1] > FINISH_ROWS]
-        if small:
-            final = inside(small).groupBy("__t").agg(
-                F.element_at(F.sort_array(F.collect_list("__v")), (F.max("__k") + 1).cast("int")).alias("v")
-            )
-            for r in final.collect():
-                answers[targets[r["__t"]]] = r["v"]
-        if not large:
-            return answers
-        candidates = inside(large)
-        steps = F.array(*[F.lit(j / GRID) for j in range(GRID + 1)])
-        cell = F.floor((F.col("__k") + 0.5) / F.col("__n") * GRID).cast("int")
-        pivots = (
-            candidates.groupBy("__t")
-            .agg(
-                F.percentile_approx("__v", steps, F.lit(SKETCH_ACCURACY)).alias("g"),
-                F.max("__k").alias("__k"),
-                F.max("__n").alias("__n"),
-            )
-            .select(
-                F.col("__t").alias("__p"),
-                F.element_at("g", F.greatest(cell, F.lit(1))).alias("__a"),
-                F.element_at("g", F.least(cell + 3, F.lit(GRID + 1))).alias("__b"),
-            )
-        )
-        # At most two rows per target quantile and hot key.
-        pivots = F.broadcast(spark.createDataFrame(pivots.collect(), pivots.schema))
-        v, a, b = F.col("__v"), F.col("__a"), F.col("__b")
-        tested = candidates.join(pivots, F.col("__t") == F.col("__p")).groupBy("__t").agg(
-            F.first("__a").alias("a"),
-            F.first("__b").alias("b"),
-            F.count_if(v < a).alias("below"),
-            F.count_if(v == a).alias("at_a"),
-            F.count_if((v > a) & (v < b)).alias("mid"),
-            F.count_if((v == b) & (a < b)).alias("at_b"),
-            F.count_if(v > b).alias("above"),
+        closed = F.col("__lo").eqNullSafe(F.col("__hi"))
+        done.append(state.where(closed).select(*asked, F.col("__lo").alias("__v")))
+        state = state.where(~closed)
+        small = settle(state.where(F.col("__n") <= FINISH_ROWS))
+        if not small.isEmpty():
+            # Few rows per rank.
+            listed = inside(small).groupBy(*asked, "__rank").agg(F.sort_array(F.collect_list("__v")).alias("__all"))
+            done.append(listed.select(*asked, F.element_at("__all", (F.col("__rank") + 1).cast("int")).alias("__v")))
+        state = settle(state.where(F.col("__n") > FINISH_ROWS))
+        if state.isEmpty():
+            return reduce(lambda a, b: a.unionByName(b), done)
+        counted = inside(state).withColumn("__d", _digit(by_exponent)).groupBy(*asked, "__rank", "__d").agg(
+            F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")
         )
-        for r in tested.collect():
-            i = r["__t"]
-            k, _, lo, hi = state[i]
-            if k < r["below"]:
-                state[i] = (k, r["below"], lo, r["a"])
-                continue
-            k -= r["below"]
-            if k < r["at_a"]:
-                answers[targets[i]] = r["a"]
-                continue
-            k -= r["at_a"]
-            if k < r["mid"]:
-                state[i] = (k, r["mid"], r["a"], r["b"])
-                continue
-            k -= r["mid"]
-            if k < r["at_b"]:
-                answers[targets[i]] = r["b"]
-            else:
-                state[i] = (k - r["at_b"], r["above"], r["b"], hi)
+        # At most DIGITS rows per rank, or as many as there are exponents.
+        before = F.sum("__n").over(W.partitionBy(*asked).orderBy("__d")) - F.col("__n")
+        here = reduce(and_, [F.col("__rank") >= F.col("__before"), F.col("__rank") < F.col("__before") + F.col("__n")])
+        state = settle(
+            counted.withColumn("__before", before).where(here)
+            .withColumn("__rank", F.col("__rank") - F.col("__before")).drop("__before", "__d")
+        )
+        by_exponent = not by_exponent
