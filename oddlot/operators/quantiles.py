@@ -36,15 +36,21 @@ def _percentiles(targets: Targets) -> list[Column]:
 
 
 def group_quantiles(
-    df: DataFrame, keys: Iterable[str], targets: Targets, hot: HotKeys | None = None
+    df: DataFrame, keys: Iterable[str], targets: Targets, hot: HotKeys | None = None,
+    facts: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """One row per group with a column per ``{out: (column, probability)}`` target."""
+    """One row per group with a column per ``{out: (column, probability)}`` target.
+
+    ``facts`` are further aggregates, taken in the same pass where groups are not hot.
+    """
+    more = [agg.alias(name) for name, agg in (facts or {}).items()]
     keys = list(keys)
 
     def work(part: DataFrame, weight: HotKeys) -> DataFrame:
         if weight.of(part, keys) is None:
-            return part.groupBy(*keys).agg(*_percentiles(targets))
-        return _large_quantiles(part, keys, targets)
+            return part.groupBy(*keys).agg(*_percentiles(targets), *more)
+        found = _large_quantiles(part, keys, targets)
+        return join_same(found, part.groupBy(*keys).agg(*more), keys, "inner") if more else found
 
     return in_parts(df, keys, hot, work)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from oddlot.columns import AMOUNT, CUSTOMER, ID, MERCHANT, TIME
 from oddlot.functions.scalars import SECONDS_PER_DAY, epoch_seconds, hours_between
 from oddlot.operators.quantiles import group_quantiles
-from oddlot.operators.skew import HotKeys, join_same, profile, with_previous_time
+from oddlot.operators.skew import HotKeys, profile, with_previous_time
 
 RFM = ("recency", "frequency", "monetary")
 
@@ -25,17 +25,14 @@ def customer_rfm(df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     The mean of consecutive gaps telescopes to (last - first) / (n - 1), so no ordering is needed.
     Customers with one transaction have no gap and are left out.
     """
-    hot = profile(df, hot)
-    facts = df.groupBy(CUSTOMER).agg(
-        F.min(TIME).alias("__first"), F.max(TIME).alias("__last"), F.count(TIME).alias("__n")
-    )
-    facts = facts.where(F.col("__n") > 1).select(
+    facts = {"__first": F.min(TIME), "__last": F.max(TIME), "__n": F.count(TIME)}
+    found = group_quantiles(df, [CUSTOMER], {"monetary": (AMOUNT, 0.5)}, profile(df, hot), facts)
+    return found.where((F.col("__n") > 1) & F.col("monetary").isNotNull()).select(
         CUSTOMER,
         hours_until_reference(df, F.col("__last")).alias("recency"),
         (hours_between(F.col("__last"), F.col("__first")) / (F.col("__n") - 1)).alias("frequency"),
+        "monetary",
     )
-    money = group_quantiles(df, [CUSTOMER], {"monetary": (AMOUNT, 0.5)}, hot)
-    return join_same(facts, money, [CUSTOMER], "inner").where(F.col("monetary").isNotNull())
 
 
 def merchant_rfm(df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
@@ -44,11 +41,8 @@ def merchant_rfm(df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     gaps = with_previous_time(
         df.select(MERCHANT, TIME, ID, AMOUNT), [MERCHANT], TIME, ID, "__prev", hot
     ).withColumn("__gap", hours_between(F.col(TIME), F.col("__prev")))
-    last = df.groupBy(MERCHANT).agg(F.max(TIME).alias("__last"))
-    medians = group_quantiles(
-        gaps, [MERCHANT], {"frequency": ("__gap", 0.5), "monetary": (AMOUNT, 0.5)}, hot
-    )
-    recency = last.select(MERCHANT, hours_until_reference(df, F.col("__last")).alias("recency"))
-    return join_same(recency, medians, [MERCHANT], "inner").where(
-        F.col("frequency").isNotNull() & F.col("monetary").isNotNull()
+    targets = {"frequency": ("__gap", 0.5), "monetary": (AMOUNT, 0.5)}
+    found = group_quantiles(gaps, [MERCHANT], targets, hot, {"__last": F.max(TIME)})
+    return found.where(F.col("frequency").isNotNull() & F.col("monetary").isNotNull()).select(
+        MERCHANT, hours_until_reference(df, F.col("__last")).alias("recency"), "frequency", "monetary"
     )

@@ -25,18 +25,17 @@ def group_aggregates(
 ) -> DataFrame:
     """min, max, mean, median, sum, sample std, count and the first id by value."""
     keys = list(keys)
-    hot = profile(df, hot)
-    basic = df.groupBy(*keys).agg(
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        F.avg(value).alias("mean"),
-        F.sum(value).alias("sum"),
-        F.stddev_samp(value).alias("std"),
-        F.count(value).alias("count"),
-        F.min_by(ident, F.struct(F.col(value), F.col(ident))).alias("first_id"),
-    )
-    median = group_quantiles(df, keys, {"median": (value, 0.5)}, hot)
-    return join_same(basic, median, keys, "inner")
+    facts = {
+        "min": F.min(value),
+        "max": F.max(value),
+        "mean": F.avg(value),
+        "sum": F.sum(value),
+        "std": F.stddev_samp(value),
+        "count": F.count(value),
+        "first_id": F.min_by(ident, F.struct(F.col(value), F.col(ident))),
+    }
+    found = group_quantiles(df, keys, {"median": (value, 0.5)}, profile(df, hot), facts)
+    return found.select(*keys, *facts, "median")
 
 
 def grouped_stats(df: DataFrame, value: str, keys: Iterable[str]) -> DataFrame:

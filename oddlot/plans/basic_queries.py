@@ -44,6 +44,20 @@ def txn_scan_day(spark, folder):
     )
 
 
+@query(
+    "txn_scan_day_column",
+    f"""with txn as (
+  select event_id as id, ts as raw, event_type as m, user_id as c, value as a,
+         date_trunc('day', ts + interval 6 hours) as t
+  from events) {SCAN_SQL}""",
+)
+def txn_scan_day_column(spark, folder):
+    """The accounting day, which begins at 18:00 the evening before, is a column of the table."""
+    raw = event_transactions(spark, folder)
+    booked = raw.withColumn("day", F.to_date(F.expr(f"{RAW_TIME} + interval 6 hours")))
+    return shown(prepare(booked, grain="day"), *SCAN_COLUMNS, times=(RAW_TIME, TIME))
+
+
 @query(
     "sample_fixed",
     f"""with {EVENTS}
@@ -509,6 +523,17 @@ def is_last_day(spark, folder):
     )
 
 
+@query(
+    "is_last_day_by_day",
+    f"""with {EVENTS}, x as (select id, t, max(t) over (partition by c) as mx from txn)
+select id as "PaymentTransactionId", strftime(mx, {STAMP}) as day_max,
+       case when date_trunc('day', t) = date_trunc('day', mx) then 1 else 0 end as is_last_day from x""",
+)
+def is_last_day_by_day(spark, folder):
+    out = clean.with_last_activity(events(spark, folder), grain="day")
+    return shown(out, ID, "is_last_day", times=("day_max",))
+
+
 @query(
     "split_date",
     f"""with {EVENTS} select id as "PaymentTransactionId",
