@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddlot.columns import CUSTOMER, ID, PAIR, TIME
+from oddlot.operators.pair_state import FREQUENCY, attach_pairs, enough
 from oddlot.operators.skew import HotKeys, join_hot_aware, profile, with_group_facts
+from oddlot.session import settle
 
 MIN_TRANSACTIONS = 5
 TRAIN_END = datetime(2019, 11, 1)
@@ -26,15 +28,14 @@ def remove_noisy(
     Adds ``frequency``, the number of transactions of the pair. ``min_days`` additionally asks
     for that many distinct days of activity of the customer.
     """
-    df = df.drop("frequency")
+    df = df.drop(FREQUENCY)
     hot = profile(df, hot)
-    counted = with_group_facts(df, PAIR, {"frequency": F.count(ID)}, hot)
+    # One row per pair, combined before the shuffle; written once because the rule reads it again.
+    sizes = df.groupBy(*PAIR).agg(F.count(ID).alias(FREQUENCY))
     if min_transactions:
-        sizes = df.groupBy(*PAIR).agg(F.count(ID).alias("n"))
-        any_qualifies = sizes.agg(
-            F.coalesce(F.max("n") >= min_transactions, F.lit(False)).alias("x")
-        ).scalar()
-        counted = counted.where((F.col("frequency") >= min_transactions) | ~any_qualifies)
+        sizes = settle(sizes)
+        sizes = sizes.where(enough(sizes, min_transactions))
+    counted = attach_pairs(df, sizes, [FREQUENCY], hot, drop=True)
     if min_days:
         days = df.select(CUSTOMER, F.to_date(TIME).alias("d")).distinct().groupBy(CUSTOMER).count()
         counted = keep_members(counted, days.where(F.col("count") >= min_days), CUSTOMER, hot)

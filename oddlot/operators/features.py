@@ -7,40 +7,47 @@ many features counts keys only once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddlot.columns import AMOUNT, CUSTOMER, HOUR, ID, MERCHANT, PAIR, PAIR_TEXT, TIME
 from oddlot.functions.scalars import (
     SECONDS_PER_DAY, day_part, hours_between, row_total, text_key,
 )
+from oddlot.operators.pair_state import (
+    PEAK_COLUMNS, PEAK_SCORE, SECOND_EXTREMES, SLOPE_COLUMNS, attach_pairs, pair_state, peak_scores, slope_scores,
+    with_pair_scores, with_second_extremes,
+)
 from oddlot.operators.quantiles import group_quantiles
 from oddlot.operators.ranking import with_row_index
 from oddlot.operators.rfm import hours_until_reference
 from oddlot.operators.skew import (
-    HotKeys, in_parts, join_hot_aware, join_same, profile, ranked_first, with_group_facts, with_previous_time,
+    HotKeys, in_parts, join_hot_aware, join_same, profile, with_group_facts, with_previous_time,
     with_trailing_sum,
 )
-from oddlot.operators.stats import normalised, normalised_name, with_table_min_max
+from oddlot.operators.stats import normalised, normalised_name
 from oddlot.session import settle
 
-PEAK_SCORE = "c_m_peak_drop_min_max_p_value"
-
 
 def merchant_ratio(
-    df: DataFrame, labels: DataFrame, feature: str = "c_m_ratios", hot: HotKeys | None = None
+    df: DataFrame, labels: DataFrame, feature: str = "c_m_ratios", hot: HotKeys | None = None,
+    pair_count: str | None = None,
 ) -> DataFrame:
     """Share of the pair in the customer's transactions with merchants of the same label.
 
     ``labels`` has one row per merchant (``merchant_id``, ``merchant_label``, further columns are
-    kept). Merchants without a label score 0.
+    kept). Merchants without a label score 0. ``pair_count`` names a column that already holds the
+    pair's number of transactions.
     """
     hot = profile(df, hot)
     df = df.drop(*[c for c in labels.columns if c != MERCHANT])
     df = join_hot_aware(df, labels, (MERCHANT,), hot)
     labelled = F.col("merchant_label").isNotNull()
     df = with_group_facts(df, [CUSTOMER, "merchant_label"], {"c_m_label_t_count": F.count(ID)}, hot)
-    df = with_group_facts(df, PAIR, {"c_m_t_count": F.count(ID)}, hot)
+    if pair_count:
+        df = df.withColumn("c_m_t_count", F.col(pair_count))
+    else:
+        df = with_group_facts(df, PAIR, {"c_m_t_count": F.count(ID)}, hot)
     return df.withColumns(
         {
             "c_m_t_count": F.when(labelled, F.col("c_m_t_count")),
@@ -108,27 +115,9 @@ def amount_change(
     return in_parts(df, PAIR, hot, work)
 
 
-def _top(value: str) -> list[Column]:
-    return [F.desc(value), F.col(ID)]
-
-
-def _bottom(value: str) -> list[Column]:
-    return [F.asc(value), F.col(ID)]
-
-
 def second_extremes(df: DataFrame) -> DataFrame:
     """Largest, second largest, smallest and second smallest amount of each pair."""
-
-    def two(order: list[Column], first: str, second: str) -> DataFrame:
-        kept = ranked_first(df.select(*PAIR, ID, AMOUNT), PAIR, order, 2, "__rank")
-        return kept.groupBy(*PAIR).agg(
-            F.max(F.when(F.col("__rank") == 1, F.col(AMOUNT))).alias(first),
-            F.max(F.when(F.col("__rank") == 2, F.col(AMOUNT))).alias(second),
-        )
-
-    most = two(_top(AMOUNT), "amount_max", "amount_max_2nd")
-    least = two(_bottom(AMOUNT), "amount_min", "amount_min_2nd")
-    return join_same(most, least, PAIR)
+    return with_second_extremes(pair_state(df)).select(*PAIR, *SECOND_EXTREMES)
 
 
 def peak_drop(df: DataFrame, attach: str = "all", hot: HotKeys | None = None) -> DataFrame:
@@ -138,56 +127,39 @@ def peak_drop(df: DataFrame, attach: str = "all", hot: HotKeys | None = None) ->
     ``attach='extreme'`` scores only the rows holding the largest amount (for the drop, the
     smallest); the default scores every row of the pair.
     """
-    hot = profile(df, hot)
-    peak = F.col("amount_max") - F.col("amount_max_2nd")
-    drop = F.col("amount_min_2nd") - F.col("amount_min")
     # Read again for the range of the differences, so written once: one row per pair.
-    pairs = settle(
-        second_extremes(df)
-        .withColumn("__peak", F.when(peak != 0, peak))
-        .withColumn("__drop", F.when(drop != 0, drop))
-    )
-    pairs = with_table_min_max(pairs, "__peak", PEAK_SCORE)
-    pairs = with_table_min_max(pairs, "__drop", "drop_score").drop("__peak", "__drop")
-    added = [c for c in pairs.columns if c not in PAIR]
-    out = join_hot_aware(df.drop(*added), pairs, PAIR, hot)
+    pairs = with_pair_scores(settle(pair_state(df)), peak_scores())
+    return peak_drop_score(attach_pairs(df, pairs, PEAK_COLUMNS, hot), attach)
+
+
+def peak_drop_score(df: DataFrame, attach: str = "all") -> DataFrame:
+    """The scores of ``peak_drop`` from the pair's columns on each row."""
     peak, drop = F.col(PEAK_SCORE), F.col("drop_score")
     if attach == "extreme":
         peak = F.when(F.col(AMOUNT) == F.col("amount_max"), peak)
         drop = F.when(F.col(AMOUNT) == F.col("amount_min"), drop)
     elif attach != "all":
         raise ValueError(f"unknown attach {attach!r}")
-    return out.withColumns(
+    return df.withColumns(
         {PEAK_SCORE: F.coalesce(peak, F.lit(0.0)), "drop_score": F.coalesce(drop, F.lit(0.0))}
     )
 
 
-def slope(df: DataFrame, feature: str = "slope") -> DataFrame:
+def slope(df: DataFrame, feature: str = "slope", hot: HotKeys | None = None) -> DataFrame:
     """Steepness of the three largest and of the three smallest amounts of a pair.
 
     The score goes to the transaction holding the extreme; all others get 0.
     """
-    source = df.select(*PAIR, ID, AMOUNT)
-
-    def steepness(side: str, order: list[Column]) -> DataFrame:
-        kept = ranked_first(source, PAIR, order, 3, "__rank")
-        return kept.groupBy(*PAIR).agg(
-            F.abs(F.regr_slope(AMOUNT, F.col("__rank").cast("double"))).alias(side),
-            F.max(F.when(F.col("__rank") == 1, F.col(ID))).alias("__id"),
-        ).select("__id", side)
-
-    # Read again for the range of the slopes, so written once: two rows per pair.
-    sides = settle(
-        steepness("__most", _top(AMOUNT)).unionByName(
-            steepness("__least", _bottom(AMOUNT)), allowMissingColumns=True
-        )
-    )
-    for side in ("__most", "__least"):
-        sides = with_table_min_max(sides, side, side)
-    # One transaction can be both extremes of a tiny pair.
-    best = sides.groupBy("__id").agg(F.greatest(F.max("__most"), F.max("__least")).alias("__score"))
-    joined = df.drop(feature).join(best, F.col(ID) == F.col("__id"), "left")
-    return joined.withColumn(feature, F.coalesce("__score", F.lit(0.0))).drop("__id", "__score")
+    # Read again for the range of the slopes, so written once: one row per pair.
+    pairs = with_pair_scores(settle(pair_state(df)), slope_scores())
+    return slope_score(attach_pairs(df, pairs, SLOPE_COLUMNS, hot), feature)
+
+
+def slope_score(df: DataFrame, feature: str = "slope") -> DataFrame:
+    """The score of ``slope`` from the pair's columns on each row, which are dropped."""
+    # One transaction can be both extremes of a tiny pair; null is passed over.
+    sides = [F.when(F.col(ID) == F.col(f"__{s}_id"), F.col(f"__{s}_slope")) for s in ("most", "least")]
+    return df.withColumn(feature, F.coalesce(F.greatest(*sides), F.lit(0.0))).drop(*SLOPE_COLUMNS)
 
 
 def last_month_totals(
@@ -317,5 +289,5 @@ def customer_encoder(df: DataFrame) -> DataFrame:
 __all__ = [
     "PEAK_SCORE", "amount_change", "attach_customer_score", "attach_daily_counts", "customer_encoder",
     "daily_customer", "daily_sequence", "danger_totals", "frequency_difference",
-    "last_month_totals", "merchant_ratio", "peak_drop", "second_extremes", "slope",
+    "last_month_totals", "merchant_ratio", "peak_drop", "peak_drop_score", "second_extremes", "slope", "slope_score",
 ]

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from oddlot.operators import features as f
-from oddlot.operators.clean import MIN_TRANSACTIONS, remove_noisy, replaced_columns, with_last_activity
+from oddlot.operators import pair_state as ps
+from oddlot.operators.clean import MIN_TRANSACTIONS, replaced_columns, with_last_activity
 from oddlot.operators.clusters import cluster_merchants, customer_mixture_scores
 from oddlot.operators.skew import HotKeys, find_hot_keys
 from oddlot.operators.stats import MIN_MAX_SUFFIX, P_VALUE_SUFFIX, h0_labels, h0_target, normalised_name
@@ -19,18 +20,27 @@ Step = Callable[[DataFrame, str, HotKeys], DataFrame]
 
 @dataclass(frozen=True)
 class FeatureSpec:
-    """How a feature is computed, what it adds, and whether its score is a normalised column."""
+    """How a feature is computed, what it adds, and whether its score is a normalised column.
+
+    ``of_pairs`` gives scores of the state of the pairs, which come with ``pair_columns`` to the rows;
+    ``compute`` then works row by row.
+    ``drops_rows`` says that fewer rows come out than go in, so that pairs have to be counted again.
+    """
 
     title: str
     compute: Step
     adds: tuple[str, ...]
     normalised: bool = False
     min_transactions: int | None = MIN_TRANSACTIONS
+    drops_rows: bool = False
+    of_pairs: Callable[[], dict[str, Column]] | None = None
+    pair_columns: tuple[str, ...] = ()
 
 
 def _ratios(df: DataFrame, method: str, hot: HotKeys) -> DataFrame:
     labels = cluster_merchants(df, hot=hot)
-    return f.merchant_ratio(df, labels, hot=hot)
+    known = ps.FREQUENCY if ps.FREQUENCY in df.columns else None
+    return f.merchant_ratio(df, labels, hot=hot, pair_count=known)
 
 
 def _mixture(df: DataFrame, method: str, hot: HotKeys) -> DataFrame:
@@ -49,14 +59,21 @@ FEATURES: dict[str, FeatureSpec] = {
         lambda df, method, hot: f.frequency_difference(df, method=method, hot=hot),
         ("customer_freq", "day_diff", "c_freq_diff"),
         normalised=True,
+        drops_rows=True,
     ),
     f.PEAK_SCORE: FeatureSpec(
         "Abnormal peak and drop of the pair",
-        lambda df, method, hot: f.peak_drop(df, hot=hot),
-        ("amount_max", "amount_max_2nd", "amount_min", "amount_min_2nd", f.PEAK_SCORE, "drop_score"),
+        lambda df, method, hot: f.peak_drop_score(df),
+        ps.PEAK_COLUMNS,
+        of_pairs=ps.peak_scores,
+        pair_columns=ps.PEAK_COLUMNS,
     ),
     "slope": FeatureSpec(
-        "Slope of the pair's extreme amounts", lambda df, method, hot: f.slope(df), ("slope",)
+        "Slope of the pair's extreme amounts",
+        lambda df, method, hot: f.slope_score(df),
+        ("slope",),
+        of_pairs=ps.slope_scores,
+        pair_columns=ps.SLOPE_COLUMNS,
     ),
     "gmm": FeatureSpec("Customer outside its mixture component", _mixture, ("gmm",)),
     "c_m_med_amount_change": FeatureSpec(
@@ -99,6 +116,36 @@ def score_columns(names: str | list[str] | tuple[str, ...] = "all", method: str
     return [normalised_name(n, method) if FEATURES[n].normalised else n for n in resolve(names)]
 
 
+def stretches(chosen: list[str]) -> list[list[str]]:
+    """Runs of features over the same rows: a stretch ends where rows are dropped or the rule for
+    noisy pairs changes."""
+    out: list[list[str]] = []
+    for name in chosen:
+        before = FEATURES[out[-1][-1]] if out else None
+        if before is None or before.drops_rows or before.min_transactions != FEATURES[name].min_transactions:
+            out.append([])
+        out[-1].append(name)
+    return out
+
+
+def _with_pairs(df: DataFrame, names: list[str], hot: HotKeys) -> DataFrame:
+    """Rows of the pairs that stay, with every column of the pair that the stretch needs."""
+    specs = [FEATURES[n] for n in names]
+    least = specs[0].min_transactions
+    wanted = [ps.FREQUENCY] if least else []
+    if not least and not any(s.of_pairs for s in specs):
+        return df
+    # Written once: rule, ranges and the join read it, one row per pair.
+    pairs = settle(ps.pair_state(df))
+    if least:
+        pairs = pairs.where(ps.enough(pairs, least))
+    scored = [s for s in specs if s.of_pairs]
+    if scored:
+        pairs = ps.with_pair_scores(pairs, *[s.of_pairs() for s in scored])
+        wanted += [c for s in scored for c in s.pair_columns]
+    return settle(ps.attach_pairs(df, pairs, wanted, hot, drop=bool(least)))
+
+
 def run_features(
     df: DataFrame,
     names: str | list[str] | tuple[str, ...] = "all",
@@ -108,27 +155,28 @@ def run_features(
 ) -> DataFrame:
     """Clean and compute each feature in registry order, then flag the last activity.
 
-    Keys are counted for hotness once. Each feature refers to its input several times, so its
-    result is written before the next one starts. ``h0_alpha`` adds hypothesis labels per feature
-    and the common target.
+    Keys are counted for hotness once, and pairs once between steps that drop rows. A feature that
+    refers to its input several times is written before the next one starts. ``h0_alpha`` adds
+    hypothesis labels per feature and the common target.
     """
     hot = hot or find_hot_keys(df)
-    chosen = resolve(names)
     labelled = []
-    for name in chosen:
-        spec = FEATURES[name]
-        stale = [*spec.adds, name + MIN_MAX_SUFFIX, name + P_VALUE_SUFFIX]
-        df = replaced_columns(df, stale)
-        if spec.min_transactions:
-            df = remove_noisy(df, spec.min_transactions, hot=hot)
-        df = settle(spec.compute(df, method, hot))
-        if h0_alpha is not None:
-            column = score_columns([name], method)[0]
-            df = h0_labels(df, [column], h0_alpha)
-            labelled.append(column)
+    for names_of_stretch in stretches(resolve(names)):
+        for name in names_of_stretch:
+            df = replaced_columns(df, [*FEATURES[name].adds, name + MIN_MAX_SUFFIX, name + P_VALUE_SUFFIX])
+        df = _with_pairs(df, names_of_stretch, hot)
+        for name in names_of_stretch:
+            spec = FEATURES[name]
+            df = spec.compute(df, method, hot)
+            if not spec.of_pairs:
+                df = settle(df)
+            if h0_alpha is not None:
+                column = score_columns([name], method)[0]
+                df = h0_labels(df, [column], h0_alpha)
+                labelled.append(column)
     if labelled:
         df = h0_target(df, labelled)
     return with_last_activity(df, hot=hot)
 
 
-__all__ = ["DEFAULT_FEATURES", "FEATURES", "FeatureSpec", "resolve", "run_features", "score_columns"]
+__all__ = ["DEFAULT_FEATURES", "FEATURES", "FeatureSpec", "resolve", "run_features", "score_columns", "stretches"]
