@@ -3,32 +3,31 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from oddlot.columns import CUSTOMER, MERCHANT
+from oddlot.columns import CUSTOMER
 from oddlot.operators.rfm import RFM, customer_rfm, merchant_rfm
 from oddlot.operators.skew import HotKeys
 from oddlot.operators.stats import with_iqr_outlier
+from oddlot.session import settle
 
 # Number of clusters tried, and the multiplier of the standard error.
 MAX_K = 9
 ERROR_WIDTH = 2.58
 ROWS_PER_PART = 500_000
-PARALLEL_FITS = 4
+FIXED_BITS = 30
+KMEANS_ROUNDS = 300
 
 MIXTURE_PARTS = 4
 MIXTURE_STEPS = 100
@@ -70,14 +69,108 @@ def squared_distance(columns: list[str], center: list[float]) -> Column:
     return reduce(add, [(F.col(c) - F.lit(float(m))) ** 2 for c, m in zip(columns, center)])
 
 
-def kmeans_centers(points: DataFrame, columns: list[str], k: int, seed: int = 0) -> list[list[float]]:
-    """Cluster centres in ascending order, which makes labels independent of the fit's order."""
-    if k == 1:
-        row = points.agg(*[F.avg(c).alias(c) for c in columns]).first()
-        return [[row[c] for c in columns]]
-    vectors = VectorAssembler(inputCols=columns, outputCol="__x").transform(points).select("__x")
-    model = KMeans(featuresCol="__x", k=k, seed=seed, maxIter=300).fit(vectors)
-    return sorted([float(v) for v in c] for c in model.clusterCenters())
+def fixed_points(points: DataFrame, columns: list[str]) -> tuple[DataFrame, float]:
+    """The complete rows as whole numbers of up to 30 bits, and the power of two they were multiplied by.
+
+    Sums of whole numbers are exact in any order, so centres do not depend on partitions.
+    """
+    whole = reduce(and_, [F.col(c).isNotNull() & (F.abs(F.col(c)) < math.inf) for c in columns])
+    points = points.select(*columns).where(whole)
+    top = points.agg(F.max(F.greatest(*[F.abs(c) for c in columns], F.lit(0.0)))).first()[0]
+    scale = 2.0 ** (FIXED_BITS - math.ceil(math.log2(top))) if top else 1.0
+    fixed = [F.floor(F.col(c) * scale + 0.5).cast("long").alias(c) for c in columns]
+    return settle(points.select(*fixed)), scale
+
+
+def _sums(columns: list[str]) -> list[Column]:
+    exact = [F.sum(F.col(c).cast("decimal(20,0)")).alias(c) for c in columns]
+    return [F.count(F.lit(1)).alias("__n"), *exact]
+
+
+def _mean(row: Row, columns: list[str]) -> list[float]:
+    return [float(row[c]) / float(row["__n"]) for c in columns]
+
+
+def _fixed_distance(columns: list[str], center: list[float]) -> Column:
+    away = [F.col(c).cast("double") - F.lit(float(m)) for c, m in zip(columns, center)]
+    return reduce(add, [a * a for a in away])
+
+
+def farthest_seeds(fixed: DataFrame, columns: list[str], many: int) -> list[list[float]]:
+    """The point farthest from the mean, then always the one farthest from all seeds before.
+
+    Of equally far points the smallest by coordinates is taken. There are at most as many seeds as
+    distinct points. Each seed is one aggregate.
+    """
+    mean = fixed.agg(*_sums(columns)).first()
+    if not mean["__n"]:
+        return []
+    seeds: list[list[float]] = []
+    away = _fixed_distance(columns, _mean(mean, columns))
+    while len(seeds) < many:
+        farthest = F.struct(away.alias("d"), *[(-F.col(c)).alias(c) for c in columns])
+        row = fixed.agg(F.max(farthest).alias("p")).first()["p"]
+        if seeds and row["d"] == 0:
+            break
+        seeds.append([-float(row[c]) for c in columns])
+        squares = [_fixed_distance(columns, s) for s in seeds]
+        away = F.least(*squares) if len(squares) > 1 else squares[0]
+    return seeds
+
+
+def _nearest_sums(fixed: DataFrame, columns: list[str], centers: dict[int, list[list[float]]]) -> DataFrame:
+    """Per task, k and centre ``i``: number and sums of the points nearest to it.
+
+    Centres change every round, so they are data of the task here; as literals of a plan they would
+    have the plan compiled anew each time.
+    """
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[tuple[int, int], list[int]] = {}
+        for batch in batches:
+            x = batch.to_numpy(dtype=np.int64)
+            for k, of_k in centers.items():
+                square = np.zeros((len(x), k))
+                for j in range(len(columns)):
+                    away = x[:, j, None].astype(float) - np.array([c[j] for c in of_k])[None, :]
+                    square += away * away
+                own = square.argmin(axis=1)
+                for i in np.unique(own):
+                    part = x[own == i]
+                    # Whole numbers of 30 bits: a batch cannot overflow, and Python adds without bounds.
+                    values = [len(part), *map(int, part.sum(axis=0))]
+                    before = found.get((k, int(i)))
+                    found[k, int(i)] = values if before is None else [a + b for a, b in zip(before, values)]
+        if found:
+            rows = [(*at, *map(Decimal, values)) for at, values in found.items()]
+            yield pd.DataFrame(rows, columns=["k", "i", "__n", *columns])
+
+    whole = ", ".join(f"`{c}` decimal(28,0)" for c in ("__n", *columns))
+    return fixed.select(*columns).mapInPandas(sums, f"k int, i int, {whole}")
+
+
+def kmeans(points: DataFrame, columns: list[str], ks: Iterable[int]) -> dict[int, list[list[float]]]:
+    """Centres in ascending order of every k that has enough distinct points.
+
+    All k start from the same farthest-point seeds and move in the same passes: a round is one
+    aggregate by (k, nearest centre) over the k that still move, and brings home one row of sums per
+    centre. A centre without points stays; of equally near centres the earlier seed takes a point.
+    """
+    fixed, scale = fixed_points(points, columns)
+    seeds = farthest_seeds(fixed, columns, max(ks))
+    centers = {k: seeds[:k] for k in ks if k <= len(seeds)}
+    moving = set(centers)
+    for _ in range(KMEANS_ROUNDS):
+        if not moving:
+            break
+        sums = _nearest_sums(fixed, columns, {k: centers[k] for k in sorted(moving)})
+        totals = [F.sum(F.col(c)).alias(c) for c in ("__n", *columns)]
+        moved = {k: list(centers[k]) for k in moving}
+        for row in sums.groupBy("k", "i").agg(*totals).collect():
+            moved[row["k"]][row["i"]] = _mean(row, columns)
+        moving = {k for k in moving if moved[k] != centers[k]}
+        centers.update({k: moved[k] for k in moving})
+    return {k: sorted([v / scale for v in c] for c in found) for k, found in centers.items()}
 
 
 def nearest(columns: list[str], centers: list[list[float]]) -> Column:
@@ -95,42 +188,31 @@ def center_distance(columns: list[str], centers: list[list[float]]) -> Column:
     return F.sqrt(F.least(*squares) if len(squares) > 1 else squares[0])
 
 
-def sweep_k(points: DataFrame, columns: list[str], max_k: int = MAX_K, seed: int = 0) -> tuple[DataFrame, dict]:
+def sweep_k(points: DataFrame, columns: list[str], max_k: int = MAX_K) -> tuple[DataFrame, dict]:
     """Mean distance to the nearest centre for k = 1..max_k, and the centres of each k.
 
-    ``points`` should be persisted: every k fits once. k stops at the number of distinct rows.
+    k stops at the number of distinct points.
     """
-    limit = min(max_k, points.select(*columns).distinct().limit(max_k).count())
-    ks = range(1, limit + 1)
-
-    @inheritable_thread_target(points.sparkSession)
-    def fit(k: int) -> list[list[float]]:
-        return kmeans_centers(points, columns, k, seed)
-
-    # Independent fits; each runs many short jobs.
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        fits = dict(zip(ks, pool.map(fit, ks)))
+    fits = kmeans(points, columns, range(1, max_k + 1))
+    schema = "k int, distance double"
+    if not fits:
+        return points.sparkSession.createDataFrame([], schema), fits
     row = points.agg(
         *[F.avg(center_distance(columns, c)).alias(str(k)) for k, c in fits.items()]
     ).first()
-    table = points.sparkSession.createDataFrame(
-        [(k, row[str(k)]) for k in fits], "k int, distance double"
-    )
-    return table, fits
+    return points.sparkSession.createDataFrame([(k, row[str(k)]) for k in fits], schema), fits
 
 
-def cluster_merchants(df: DataFrame, seed: int = 0, hot: HotKeys | None = None) -> DataFrame:
+def cluster_merchants(df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """RFM and ``merchant_label`` per merchant, with k chosen by the elbow rule."""
-    rfm = merchant_rfm(df, hot).persist(StorageLevel.MEMORY_AND_DISK)
+    # Read in every round, so written once: one row per merchant.
+    rfm = settle(merchant_rfm(df, hot))
     columns = ["recency", "monetary", "frequency"]
-    total = rfm.count()
     renamed = {m: f"m_{m}" for m in RFM}
-    if total == 0:
+    table, fits = sweep_k(rfm, columns)
+    if not fits:
         return rfm.withColumn("merchant_label", F.lit(None).cast("int")).withColumnsRenamed(renamed)
-    placed = steady(rfm, MERCHANT, total).persist(StorageLevel.MEMORY_AND_DISK)
-    table, fits = sweep_k(placed, columns, seed=seed)
     k = chosen(table, "k", "distance") if len(fits) > 2 else len(fits)
-    placed.unpersist()
     return rfm.withColumn("merchant_label", nearest(columns, fits[k])).withColumnsRenamed(renamed)
 
 
@@ -213,7 +295,7 @@ def _maximised(points: DataFrame, columns: tuple[str, ...], shares: Callable) ->
 
 
 def fit_mixture(
-    points: DataFrame, columns: list[str], key: str, parts: int = MIXTURE_PARTS, seed: int = 0
+    points: DataFrame, columns: list[str], key: str, parts: int = MIXTURE_PARTS
 ) -> Mixture | None:
     """Expectation-maximisation from a k-means start; each iteration is one distributed sum.
 
@@ -223,8 +305,10 @@ def fit_mixture(
     if total == 0:
         return None
     placed = steady(points, key, total).persist(StorageLevel.MEMORY_AND_DISK)
-    parts = min(parts, placed.select(*columns).distinct().limit(parts).count())
-    centers = np.array(kmeans_centers(placed, columns, parts, seed))
+    fits = kmeans(placed, columns, range(1, parts + 1))
+    if not fits:
+        return None
+    centers = np.array(fits[max(fits)])
 
     def hard(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         nearest_center = ((x[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
@@ -250,7 +334,7 @@ def fit_mixture(
 
 
 def customer_mixture_scores(
-    df: DataFrame, feature: str = "gmm", seed: int = 0, hot: HotKeys | None = None
+    df: DataFrame, feature: str = "gmm", hot: HotKeys | None = None
 ) -> DataFrame:
     """Per customer, 1 - probability of its own component; 1 for customers outside the fences."""
     columns = list(RFM)
@@ -258,7 +342,7 @@ def customer_mixture_scores(
         StorageLevel.MEMORY_AND_DISK
     )
     inliers = marked.where(~F.col("__out"))
-    model = fit_mixture(inliers, columns, CUSTOMER, seed=seed)
+    model = fit_mixture(inliers, columns, CUSTOMER)
     outliers = marked.where("__out").select(CUSTOMER, F.lit(1.0).alias(feature))
     if model is None:
         return outliers

@@ -1,5 +1,7 @@
 """Learners against brute force, and their quality and determinism."""
 
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +113,43 @@ def test_sweep_is_capped_at_distinct_rows(spark):
     assert table.where("k = 1").first()["distance"] == pytest.approx(4 / 3)
 
 
+def plain_kmeans(points, k):
+    """Farthest-point seeds and exact rounds, one point at a time."""
+    square = lambda p, q: sum((a - b) * (a - b) for a, b in zip(p, q))
+    mean = lambda rows: tuple(sum(map(Fraction, c)) / len(rows) for c in zip(*rows))
+    seeds = [min(points, key=lambda p: (-square(p, mean(points)), p))]
+    while len(seeds) < k:
+        seeds.append(min(points, key=lambda p: (-min(square(p, s) for s in seeds), p)))
+    centers = seeds
+    while True:
+        groups = [[] for _ in centers]
+        for p in points:
+            groups[min(range(k), key=lambda i: (square(p, centers[i]), i))].append(p)
+        moved = [mean(g) if g else c for g, c in zip(groups, centers)]
+        if moved == centers:
+            return sorted(tuple(map(float, c)) for c in centers)
+        centers = moved
+
+
+def test_kmeans_equals_plain_rounds(spark):
+    rng = np.random.default_rng(8)
+    # Eighths are whole numbers at the fixed scale; ties and repeats are common among them.
+    x = np.concatenate([rng.integers(0, 40, (60, 2)), rng.integers(100, 120, (30, 2)), np.full((40, 2), 7)]) / 8
+    df = spark.createDataFrame([(*map(float, r),) for r in x], "p double, q double")
+    found = clusters.kmeans(df.repartition(5), ["p", "q"], range(1, 6))
+    points = [tuple(map(float, r)) for r in x]
+    for k in range(1, 6):
+        assert [tuple(c) for c in found[k]] == [pytest.approx(c) for c in plain_kmeans(points, k)]
+    assert clusters.kmeans(df.repartition(1), ["p", "q"], range(1, 6)) == found
+
+
+def test_kmeans_passes_over_rows_that_lack_a_number(spark):
+    rows = [(1.0, 2.0), (3.0, 4.0), (None, 1.0), (float("nan"), 1.0), (float("inf"), 0.0)]
+    df = spark.createDataFrame(rows, "p double, q double")
+    assert clusters.kmeans(df, ["p", "q"], [1, 2, 3]) == {1: [[2.0, 3.0]], 2: [[1.0, 2.0], [3.0, 4.0]]}
+    assert clusters.kmeans(df.limit(0), ["p", "q"], [1, 2]) == {}
+
+
 @pytest.fixture(scope="module")
 def injected(spark):
     df = lines(spark, SMALL)
