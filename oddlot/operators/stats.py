@@ -58,22 +58,24 @@ def with_grouped_stats(
     return with_group_facts(df.drop(*facts), keys, facts, hot)
 
 
-def with_table_stats(df: DataFrame, value: str) -> DataFrame:
-    """Mean, population standard deviation and row count of the table on every row."""
-    one_row = df.agg(
-        F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(F.lit(1)).alias("count")
-    )
-    return df.withColumns(
-        {f"{value}_{name}": one_row.select(name).scalar() for name in ("mean", "std", "count")}
-    )
+def with_table_stats(df: DataFrame, *values: str) -> DataFrame:
+    """Mean, population standard deviation and row count of the table on every row, per column.
+
+    One aggregate serves all columns.
+    """
+    facts = [F.struct(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")).alias(f"of_{i}") for i, v in enumerate(values)]
+    one_row = df.agg(F.struct(*facts, F.count(F.lit(1)).alias("count")).alias("facts")).scalar()
+    added = {}
+    for i, v in enumerate(values):
+        added |= {f"{v}_{name}": one_row[f"of_{i}"][name] for name in ("mean", "std")}
+        added[f"{v}_count"] = one_row["count"]
+    return df.withColumns(added)
 
 
 def with_table_min_max(df: DataFrame, value: str, out: str) -> DataFrame:
     """Min-max score over the whole table."""
-    one_row = df.agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    return df.withColumn(
-        out, min_max(F.col(value), one_row.select("low").scalar(), one_row.select("high").scalar())
-    )
+    ends = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high")).alias("ends")).scalar()
+    return df.withColumn(out, min_max(F.col(value), ends["low"], ends["high"]))
 
 
 def with_min_max_norm(
@@ -117,8 +119,9 @@ def normalised_name(value: str, method: str = "minmax") -> str:
 
 def h0_labels(df: DataFrame, features: list[str], alpha: float = 0.05) -> DataFrame:
     """Per feature, the table-wide p-score and whether it rejects the null hypothesis."""
+    df = with_table_stats(df, *features)
     for f in features:
-        df = with_p_value(with_table_stats(df, f), f)
+        df = with_p_value(df, f)
         score = F.coalesce(F.col(f + P_VALUE_SUFFIX), F.lit(0.0))
         df = df.withColumn(f + P_VALUE_SUFFIX, score).withColumn(
             f"{f}_h0_rejected", F.when(score > alpha, 1).otherwise(0)
