@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from oddlot.columns import CUSTOMER
 from oddlot.operators.rfm import RFM, customer_rfm, merchant_rfm
@@ -25,7 +24,6 @@ from oddlot.session import settle
 # Number of clusters tried, and the multiplier of the standard error.
 MAX_K = 9
 ERROR_WIDTH = 2.58
-ROWS_PER_PART = 500_000
 FIXED_BITS = 30
 KMEANS_ROUNDS = 300
 
@@ -33,6 +31,9 @@ MIXTURE_PARTS = 4
 MIXTURE_STEPS = 100
 MIXTURE_TOLERANCE = 1e-3
 MIXTURE_FLOOR = 1e-6
+# Bits of a weighted value and of a fraction of a log-likelihood; a batch of 10,000 rows cannot overflow.
+SUM_BITS = 40
+LIKELIHOOD_BITS = 16
 
 
 def knee(sweep: DataFrame, param: str, metric: str, smallest: bool = True) -> DataFrame:
@@ -59,12 +60,6 @@ def chosen(sweep: DataFrame, param: str, metric: str, smallest: bool = True, oth
     return value
 
 
-def steady(points: DataFrame, key: str, total: int) -> DataFrame:
-    """Place rows by key and count only, so that seeded learners do not depend on partitions."""
-    parts = max(1, -(-total // ROWS_PER_PART))
-    return points.repartition(parts, key).sortWithinPartitions(key)
-
-
 def squared_distance(columns: list[str], center: list[float]) -> Column:
     return reduce(add, [(F.col(c) - F.lit(float(m))) ** 2 for c, m in zip(columns, center)])
 
@@ -149,15 +144,15 @@ def _nearest_sums(fixed: DataFrame, columns: list[str], centers: dict[int, list[
     return fixed.select(*columns).mapInPandas(sums, f"k int, i int, {whole}")
 
 
-def kmeans(points: DataFrame, columns: list[str], ks: Iterable[int]) -> dict[int, list[list[float]]]:
-    """Centres in ascending order of every k that has enough distinct points.
+def lloyd(
+    fixed: DataFrame, columns: list[str], seeds: list[list[float]], ks: Iterable[int]
+) -> dict[int, list[list[float]]]:
+    """Centres of every k in the units of ``fixed``, in the order of the seeds.
 
-    All k start from the same farthest-point seeds and move in the same passes: a round is one
-    aggregate by (k, nearest centre) over the k that still move, and brings home one row of sums per
-    centre. A centre without points stays; of equally near centres the earlier seed takes a point.
+    All k move in the same passes: a round is one aggregate by (k, nearest centre) over the k that
+    still move, and brings home one row of sums per centre. A centre without points stays; of equally
+    near centres the earlier seed takes a point.
     """
-    fixed, scale = fixed_points(points, columns)
-    seeds = farthest_seeds(fixed, columns, max(ks))
     centers = {k: seeds[:k] for k in ks if k <= len(seeds)}
     moving = set(centers)
     for _ in range(KMEANS_ROUNDS):
@@ -170,7 +165,18 @@ def kmeans(points: DataFrame, columns: list[str], ks: Iterable[int]) -> dict[int
             moved[row["k"]][row["i"]] = _mean(row, columns)
         moving = {k for k in moving if moved[k] != centers[k]}
         centers.update({k: moved[k] for k in moving})
-    return {k: sorted([v / scale for v in c] for c in found) for k, found in centers.items()}
+    return centers
+
+
+def _unscaled(centers: list[list[float]], scale: float) -> list[list[float]]:
+    return sorted([v / scale for v in c] for c in centers)
+
+
+def kmeans(points: DataFrame, columns: list[str], ks: Iterable[int]) -> dict[int, list[list[float]]]:
+    """Centres in ascending order of every k that has enough distinct points, from the same seeds."""
+    fixed, scale = fixed_points(points, columns)
+    found = lloyd(fixed, columns, farthest_seeds(fixed, columns, max(ks)), ks)
+    return {k: _unscaled(c, scale) for k, c in found.items()}
 
 
 def nearest(columns: list[str], centers: list[list[float]]) -> Column:
@@ -259,62 +265,70 @@ def _log_densities(model: Mixture, x: np.ndarray) -> np.ndarray:
     return np.log(model.weights) - 0.5 * d * np.log(2 * math.pi * v) - square / (2 * v)
 
 
-def _maximised(points: DataFrame, columns: tuple[str, ...], shares: Callable) -> tuple[Mixture, float]:
-    """New parameters from one pass: every partition sends one row of weighted sums.
+def _maximised(fixed: DataFrame, scale: float, columns: tuple[str, ...], parts: int, shares: Callable) -> tuple[Mixture, float]:
+    """New parameters from one aggregate by component, and the mean log-likelihood.
 
-    ``shares(x)`` returns each row's weight per component and its log-likelihood.
+    ``shares(x)`` returns each row's weight per component and its log-likelihood. Every weighted value
+    becomes a whole number of ``SUM_BITS`` bits before it is added, so sums do not depend on partitions.
     """
+    up, down = 2.0 ** (SUM_BITS - FIXED_BITS), 2.0 ** (SUM_BITS - 2 * FIXED_BITS)
+    names = ["__n", "__l", "__m", *columns, "__q"]
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
+        total = [[0] * len(names) for _ in range(parts)]
         for batch in batches:
             x = batch.to_numpy(dtype=float)
-            r, likelihood = shares(x)
-            part = [[len(x), likelihood.sum()], r.sum(axis=0), (r.T @ x).ravel(), r.T @ (x * x).sum(axis=1)]
-            part = np.concatenate([np.asarray(p, dtype=float) for p in part])
-            total = part if total is None else total + part
-        if total is not None:
-            yield pd.DataFrame({"s": [total]})
-
-    rows = points.select(*columns).mapInPandas(sums, "s array<double>").collect()
-    total = np.sum([r["s"] for r in rows], axis=0)
-    d = len(columns)
-    k = (len(total) - 2) // (d + 2)
-    n, likelihood = total[0], total[1]
-    mass = total[2 : 2 + k] + 10 * np.finfo(float).eps
-    means = total[2 + k : 2 + k + k * d].reshape(k, d) / mass[:, None]
-    spread = (total[2 + k + k * d :] / mass - (means**2).sum(axis=1)) / d
-    variances = np.maximum(spread, 0.0) + MIXTURE_FLOOR
+            size = (x * x).sum(axis=1)
+            r, likelihood = shares(x / scale)
+            total[0][0] += len(x)
+            bounded = np.clip(likelihood, -(2.0**30), 2.0**30)
+            total[0][1] += int(np.floor(bounded * 2.0**LIKELIHOOD_BITS + 0.5).astype(np.int64).sum())
+            for i in range(parts):
+                own = r[:, i]
+                values = [own * 2.0**SUM_BITS, *[own * x[:, j] * up for j in range(x.shape[1])], own * size * down]
+                for at, value in enumerate(values, 2):
+                    total[i][at] += int(np.floor(value + 0.5).astype(np.int64).sum())
+        yield pd.DataFrame([(i, *map(Decimal, t)) for i, t in enumerate(total)], columns=["i", *names])
+
+    whole = ", ".join(f"`{c}` decimal(28,0)" for c in names)
+    totals = [F.sum(F.col(f"`{c}`")).alias(c) for c in names]
+    found = fixed.select(*columns).mapInPandas(sums, f"i int, {whole}").groupBy("i").agg(*totals).collect()
+    rows = sorted(found, key=lambda r: r["i"])
+    n = float(rows[0]["__n"])
+    likelihood = float(rows[0]["__l"]) / 2.0**LIKELIHOOD_BITS / n
+    mass = np.array([float(r["__m"]) for r in rows]) / 2.0**SUM_BITS + 10 * np.finfo(float).eps
+    means = np.array([[float(r[c]) for c in columns] for r in rows]) / up / scale / mass[:, None]
+    size = np.array([float(r["__q"]) for r in rows]) / down / scale**2 / mass
+    variances = np.maximum((size - (means**2).sum(axis=1)) / len(columns), 0.0) + MIXTURE_FLOOR
     model = Mixture(
         columns,
         tuple((mass / n).tolist()),
         tuple(tuple(m) for m in means.tolist()),
         tuple(variances.tolist()),
     )
-    return model, float(likelihood / n)
+    return model, likelihood
 
 
 def fit_mixture(
-    points: DataFrame, columns: list[str], key: str, parts: int = MIXTURE_PARTS
+    points: DataFrame, columns: list[str], parts: int = MIXTURE_PARTS
 ) -> Mixture | None:
-    """Expectation-maximisation from a k-means start; each iteration is one distributed sum.
+    """Expectation-maximisation from k-means of farthest-point seeds; each iteration is one aggregate.
 
-    With fewer distinct rows than components there are fewer components; ``None`` without rows.
+    Rows with a null or non-finite value take no part. With fewer distinct rows than components there
+    are fewer components; ``None`` without rows. The result does not depend on partitions.
     """
-    total = points.count()
-    if total == 0:
-        return None
-    placed = steady(points, key, total).persist(StorageLevel.MEMORY_AND_DISK)
-    fits = kmeans(placed, columns, range(1, parts + 1))
-    if not fits:
+    fixed, scale = fixed_points(points, columns)
+    seeds = farthest_seeds(fixed, columns, parts)
+    if not seeds:
         return None
-    centers = np.array(fits[max(fits)])
+    k = len(seeds)
+    centers = np.array(_unscaled(lloyd(fixed, columns, seeds, [k])[k], scale))
 
     def hard(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         nearest_center = ((x[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
-        return np.eye(len(centers))[nearest_center], np.zeros(len(x))
+        return np.eye(k)[nearest_center], np.zeros(len(x))
 
-    model, _ = _maximised(placed, tuple(columns), hard)
+    model, _ = _maximised(fixed, scale, tuple(columns), k, hard)
     before = -math.inf
     for _ in range(MIXTURE_STEPS):
         current = model
@@ -325,11 +339,10 @@ def fit_mixture(
             likelihood = top[:, 0] + np.log(np.exp(logs - top).sum(axis=1))
             return np.exp(logs - likelihood[:, None]), likelihood
 
-        model, likelihood = _maximised(placed, tuple(columns), soft)
+        model, likelihood = _maximised(fixed, scale, tuple(columns), k, soft)
         if abs(likelihood - before) < MIXTURE_TOLERANCE:
             break
         before = likelihood
-    placed.unpersist()
     return model
 
 
@@ -338,11 +351,10 @@ def customer_mixture_scores(
 ) -> DataFrame:
     """Per customer, 1 - probability of its own component; 1 for customers outside the fences."""
     columns = list(RFM)
-    marked = with_iqr_outlier(customer_rfm(df, hot), columns, "__out").persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    # Read by the fit and by the scores, so written once: one row per customer.
+    marked = settle(with_iqr_outlier(settle(customer_rfm(df, hot)), columns, "__out"))
     inliers = marked.where(~F.col("__out"))
-    model = fit_mixture(inliers, columns, CUSTOMER)
+    model = fit_mixture(inliers, columns)
     outliers = marked.where("__out").select(CUSTOMER, F.lit(1.0).alias(feature))
     if model is None:
         return outliers

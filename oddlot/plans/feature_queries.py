@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from oddlot.columns import AMOUNT, CUSTOMER, HOUR, ID, MERCHANT, TIME
 from oddlot.operators import features as f
-from oddlot.operators.clusters import customer_mixture_scores
-from oddlot.plans.basic_queries import STAMP
+from oddlot.operators.clusters import MIXTURE_PARTS, customer_mixture_scores
+from oddlot.operators.rfm import RFM
+from oddlot.plans.basic_queries import CUSTOMER_RFM, STAMP
+from oddlot.plans.cluster_sql import kmeans_sql, mixture_sql
 from oddlot.plans.feature_run import run_features
 from oddlot.plans.registry import EVENTS, LINES, events, lines, query, shown
 
@@ -221,7 +223,27 @@ def customer_encoder(spark, folder):
     return f.customer_encoder(events(spark, folder)).select(CUSTOMER, "customers")
 
 
-@query("gmm_score")
+MIXTURE_SQL = f"""{EVENTS}, {CUSTOMER_RFM},
+fence as (select {', '.join(f'quantile_cont({c}, 0.25) as {c}_1, quantile_cont({c}, 0.75) as {c}_3' for c in RFM)} from rfm),
+marked as materialized (select rfm.*, {' or '.join(
+    f'{c} < {c}_1 - 3 * ({c}_3 - {c}_1) or {c} > {c}_3 + 3 * ({c}_3 - {c}_1)' for c in RFM)} as far from rfm, fence),
+inlier as materialized (select c, recency, frequency, monetary from marked where not far),
+{kmeans_sql(list(RFM), MIXTURE_PARTS, 'inlier')}, {mixture_sql(list(RFM), MIXTURE_PARTS, 'inlier')},
+shares as (
+  select c, ln(w) - 1.5 * ln(2 * pi() * v)
+            - ({' + '.join(f'({c} - m{i}) * ({c} - m{i})' for i, c in enumerate(RFM))}) / (2 * v) as p
+  from inlier, mix),
+gm as (
+  select c, 1 - 1 / sum(exp(p - top)) as gmm from (select *, max(p) over (partition by c) as top from shares) group by c
+  union all select c, 1.0 from marked where far)"""
+
+
+@query(
+    "gmm_score",
+    f"""with recursive {MIXTURE_SQL}
+select id as "PaymentTransactionId", txn.c as customer_id, round(coalesce(gmm, 0), 6) as gmm
+from txn left join gm using (c)""",
+)
 def gmm_score(spark, folder):
     df = events(spark, folder)
     out = f.attach_customer_score(df, customer_mixture_scores(df))

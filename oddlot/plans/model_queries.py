@@ -12,12 +12,13 @@ from oddlot.detectors import isolation
 from oddlot.operators import clean, explore, noise, stats
 from oddlot.operators import features as f
 from oddlot.operators.clusters import (
-    FIXED_BITS, KMEANS_ROUNDS, MAX_K, Mixture, cluster_merchants, knee, sweep_k, with_responsibilities,
+    MAX_K, Mixture, cluster_merchants, knee, sweep_k, with_responsibilities,
 )
 from oddlot.operators.rfm import RFM, customer_rfm, merchant_rfm
 from oddlot.operators.sampling import split_ratio
 from oddlot.plans import model_search, score_run
 from oddlot.plans.basic_queries import CUSTOMER_RFM, MERCHANT_RFM, STAMP
+from oddlot.plans.cluster_sql import kmeans_sql
 from oddlot.plans.feature_queries import FREQ_SCORE, freq_sql, slope_sql
 from oddlot.plans.feature_run import run_features, score_columns
 from oddlot.plans.registry import EVENTS, LINES, events, lines, query, shown
@@ -39,53 +40,6 @@ def split(df: DataFrame):
 # ---- clustering ---------------------------------------------------------------------------------
 
 
-def kmeans_sql(columns: list[str], max_k: int = MAX_K) -> str:
-    """Centres ``fin(k, l, c0, c1, ...)`` of a table ``rfm`` for every k, as unrolled seeds and recursive rounds."""
-    at = [f"x{i}" for i in range(len(columns))]
-    xs = ", ".join(at)
-    order = f"d desc, {xs}"
-
-    def square(p: str, q: str) -> str:
-        return " + ".join(f"({p}.{x} - {q}.{x}) * ({p}.{x} - {q}.{x})" for x in at)
-
-    def mean(p: str) -> str:
-        return ", ".join(f"sum({p}.{x}::bigint)::double / count(*) as {x}" for x in at)
-
-    seeds = [f"""seed1 as materialized (select 0 as l, {xs} from (
-  select pt.*, {square('pt', 'mid')} as d from pt, mid) order by {order} limit 1)"""]
-    for j in range(2, max_k + 1):
-        seeds.append(f"""seed{j} as materialized (select * from seed{j - 1} union all (select {j - 1}, {xs} from (
-  select pt.{', pt.'.join(at)}, min({square('pt', 's')}) as d from pt, seed{j - 1} s group by pt.{', pt.'.join(at)})
-  where d > 0 order by {order} limit 1))""")
-    return f"""scale as materialized (
-  select pow(2, {FIXED_BITS} - ceil(log2(max(greatest({', '.join(f'abs({c})' for c in columns)}))))) as f from rfm),
-pt as materialized (
-  select {', '.join(f'floor({c} * f + 0.5) as {x}' for c, x in zip(columns, at))} from rfm, scale),
-mid as materialized (select {mean('pt')} from pt),
-{', '.join(seeds)},
-rounds as (
-  select 0 as step, k, l, {xs} from seed{max_k}, (select unnest(range(1, {max_k + 1})) as k)
-  where l < k and k <= (select count(*) from seed{max_k})
-  union all
-  select step + 1, k, l, {xs} from (
-    select *, bool_or({' or '.join(f'{x} <> o{x}' for x in at)}) over (partition by k) as moved from (
-      select c.step, c.k, c.l, {', '.join(f'c.{x} as o{x}, coalesce(n.{x}, c.{x}) as {x}' for x in at)}
-      from rounds c left join (
-        select k, best.l as l, {mean('near')} from (
-          select p.*, c.k, min({{'d': {square('p', 'c')}, 'l': c.l}}) as best
-          from (select row_number() over () as i, * from pt) p, rounds c group by all) near
-        group by k, best.l) n on n.k = c.k and n.l = c.l))
-  where moved and step < {KMEANS_ROUNDS}),
-fin as materialized (
-  select k, row_number() over (partition by k order by {xs}) - 1 as l,
-         {', '.join(f'{x} / f as c{i}' for i, x in enumerate(at))}
-  from rounds join (select k, max(step) as step from rounds group by k) using (k, step), scale),
-near as materialized (
-  select rfm.*, k, min({{'d': {' + '.join(f'({c} - c{i}) * ({c} - c{i})' for i, c in enumerate(columns))}, 'l': l}}) as best
-  from rfm, fin group by all),
-sweep as materialized (select k, avg(sqrt(best.d)) as distance from near group by k)"""
-
-
 ELBOW_SQL = """st as (select k, lag(distance) over (order by k) - distance as d from sweep),
 se as (select 2.58 * stddev_pop(d) / sqrt(count(d)) as e from st),
 elbow as (select min(k) as k from st, se where d < e)"""

@@ -81,7 +81,7 @@ def test_mixture_follows_expectation_maximisation(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(m, s, (80, 2)) for m, s in ((0, 1), (8, 0.5), (20, 2), (-9, 1))])
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "customer_id long, p double, q double")
-    model = clusters.fit_mixture(df, ["p", "q"], CUSTOMER)
+    model = clusters.fit_mixture(df, ["p", "q"])
     assert sorted(np.round([m[0] for m in model.means])) == [-9, 0, 8, 20]
     assert sum(model.weights) == pytest.approx(1)
     rows = clusters.with_responsibilities(df, model).collect()
@@ -90,10 +90,17 @@ def test_mixture_follows_expectation_maximisation(spark):
     assert [r["label"] for r in rows] == logs.argmax(axis=1).tolist()
 
 
+def test_mixture_does_not_depend_on_partitions(spark):
+    df = spark.range(3000).select((F.col("id") % 17 + F.rand(3)).alias("p"), F.sin("id").alias("q"))
+    df = settle(df.unionByName(df.limit(1).select(F.lit(None).cast("double").alias("p"), "q")))
+    found = [clusters.fit_mixture(df.repartition(n), ["p", "q"]) for n in (1, 3, 11)]
+    assert found[0] == found[1] == found[2]
+
+
 def test_mixture_with_few_rows(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 5.0)], "customer_id long, p double")
-    assert len(clusters.fit_mixture(df, ["p"], CUSTOMER).weights) == 2
-    assert clusters.fit_mixture(df.limit(0), ["p"], CUSTOMER) is None
+    assert len(clusters.fit_mixture(df, ["p"]).weights) == 2
+    assert clusters.fit_mixture(df.limit(0), ["p"]) is None
 
 
 def test_clusters_do_not_depend_on_partitions(spark):
