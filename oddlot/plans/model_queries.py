@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -557,6 +559,15 @@ def txn_detail(spark, folder):
 
 REGRESSORS = [HOUR, "customer_freq", "day_diff"]
 
+# The grids of the registered searches.
+TREE_GRID = {"maxDepth": [2, 4], "maxIter": [20]}
+FOREST_GRID = {"maxDepth": [3, 5], "numTrees": [10]}
+LINEAR_GRID = {"regParam": [0.0, 0.1]}
+WIDTH_GRID = [(8,), (16, 8)]
+NET_EPOCHS = 10
+# A setting of boosted trees that may grow far beyond what the rows set aside bear out.
+LONG_BOOSTING = {"maxDepth": 4, "maxIter": 200, "stepSize": 0.3}
+
 
 def _training(spark, folder):
     df = f.frequency_difference(events(spark, folder))
@@ -566,14 +577,6 @@ def _training(spark, folder):
     return train, settle(test)
 
 
-# The grids of the registered searches.
-TREE_GRID = {"maxDepth": [2, 4], "maxIter": [20]}
-FOREST_GRID = {"maxDepth": [3, 5], "numTrees": [10]}
-LINEAR_GRID = {"regParam": [0.0, 0.1]}
-WIDTH_GRID = [(8,), (16, 8)]
-NET_EPOCHS = 10
-
-
 def _board(table: DataFrame) -> DataFrame:
     return shown(table, "family", "params", digits={"mse": 4})
 
@@ -584,13 +587,57 @@ def grid_gbt(spark, folder):
     return _board(model_search.grid_search("gbt", train, TREE_GRID)[0])
 
 
+@query("gbt_curve")
+def gbt_curve(spark, folder):
+    train, _ = _training(spark, folder)
+    return shown(model_search.boosting_curve(train, LONG_BOOSTING), "round", "kept", digits={"mse": 4})
+
+
 @query("grid_rf")
 def grid_rf(spark, folder):
     train, _ = _training(spark, folder)
     return _board(model_search.grid_search("rf", train, FOREST_GRID)[0])
 
 
-@query("grid_glm")
+TRAINING_SQL = f"""{EVENTS}, {freq_sql('txn', 'fd')},
+rows_in as (
+  select id, hour(t)::double as x0, freq as x1, gap as x2, a as y,
+         ('0x' || substr(md5(concat(id, '|1234')), 1, 13))::bigint / 4503599627370496.0::double < 0.8 as training
+  from fd where a is not null),
+train as (select *, (row_number() over (order by id) - 1) % {model_search.FOLDS} as fold from rows_in where training),
+test as (select * from rows_in where not training)"""
+
+
+def normal_sql() -> str:
+    """Penalised normal equations of three standardised features for every fold and penalty, by determinants."""
+    at = range(3)
+    stats_of = [f"avg(x{i}) as m{i}, stddev_pop(x{i}) as s{i}, corr(x{i}, y) as c{i}" for i in at]
+    stats_of += [f"corr(x{i}, x{j}) as r{i}{j}" for i in at for j in at if i < j]
+    matrix = [["g" if i == j else f"r{min(i, j)}{max(i, j)}" for j in at] for i in at]
+
+    def determinant(m: list[list[str]]) -> str:
+        return " + ".join(
+            f"{m[0][i]} * ({m[1][(i + 1) % 3]} * {m[2][(i + 2) % 3]} - {m[1][(i + 2) % 3]} * {m[2][(i + 1) % 3]})"
+            for i in at
+        )
+
+    swapped = [[[f"c{i}" if j == k else matrix[i][j] for j in at] for i in at] for k in at]
+    solved = ", ".join(f"({determinant(swapped[k])}) / ({determinant(matrix)}) * sy / s{k} as b{k}" for k in at)
+    fitted = " + ".join(f"b{i} * (x{i} - m{i})" for i in at)
+    return f"""{TRAINING_SQL},
+held as (select unnest(range({model_search.FOLDS})) as h), penalty as (select unnest({LINEAR_GRID['regParam']}::double[]) as p),
+mo as (select h, avg(y) as my, stddev_pop(y) as sy, {', '.join(stats_of)} from train join held on fold <> h group by h),
+solved as (select *, {solved} from (select *, 1 + p / sy as g from mo, penalty)),
+errors as (
+  select p, h, avg((y - my - ({fitted})) ** 2) as mse
+  from solved join train on fold = h group by p, h)"""
+
+
+@query(
+    "grid_glm",
+    f"""with {normal_sql()}
+select 'glm' as family, '{{''regParam'': ' || p || '}}' as params, round(avg(mse), 4) as mse from errors group by p""",
+)
 def grid_glm(spark, folder):
     train, _ = _training(spark, folder)
     return _board(model_search.grid_search("glm", train, LINEAR_GRID)[0])
@@ -618,6 +665,34 @@ def mse_leaderboard(spark, folder):
     return shown(model_search.leaderboard(_bests(train), test), "family", "params", digits={"mse": 4})
 
 
+# Predictors of the amount as formulas, which the ranking is checked with.
+FORMULAS = {"flat": "50", "daytime": "40 + 0.5 * hour", "gap": "45 + 0.01 * day_diff"}
+
+
+@dataclass
+class Formula:
+    text: str
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("prediction", F.expr(f"cast({self.text} as double)"))
+
+
+@query(
+    "leaderboard_formulas",
+    f"""with {TRAINING_SQL}, fo as (select y, x0 as hour, x2 as day_diff, training from rows_in)
+{' union all '.join(
+    f"""select '{name}' as family, '{{}}' as params, round(avg((y - ({text})) ** 2) filter (training), 4) as cv_mse,
+       round(avg((y - ({text})) ** 2) filter (not training), 4) as mse from fo""" for name, text in FORMULAS.items())}""",
+)
+def leaderboard_formulas(spark, folder):
+    train, test = _training(spark, folder)
+    bests = []
+    for name, text in FORMULAS.items():
+        model = Formula(text)
+        bests.append(model_search.Best(name, {}, float(model_search.mse(model.transform(train))), model))
+    return shown(model_search.leaderboard(bests, test), "family", "params", digits={"cv_mse": 4, "mse": 4})
+
+
 @query("stacked")
 def stacked(spark, folder):
     train, test = _training(spark, folder)

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import product
 from typing import Any
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddlot.columns import ID
@@ -21,10 +24,10 @@ from oddlot.detectors.dense_net import Net, fit_net, regression_net, with_output
 from oddlot.functions.scalars import md5_unit
 from oddlot.operators.ranking import with_row_index
 
-# Folds, seed and iteration limit of the searches.
+# Folds, seed, and the rounds of boosting without gain after which it stops.
 FOLDS = 5
 SEED = 1234
-LINEAR_STEPS = 30
+PATIENCE = 10
 VALIDATION_SHARE = 0.1
 PARALLEL_FITS = 4
 
@@ -52,14 +55,18 @@ def assembled(df: DataFrame, features: list[str], target: str, ident: str = ID)
     return ready.withColumn("y", F.col(target).cast("double")).withColumn("stop", stop)
 
 
-def _estimator(family: str):
-    if family == "gbt":
-        return GBTRegressor(featuresCol="x", labelCol="y", seed=SEED, validationIndicatorCol="stop")
-    if family == "rf":
-        return RandomForestRegressor(featuresCol="x", labelCol="y", seed=SEED)
-    if family == "glm":
-        return LinearRegression(featuresCol="x", labelCol="y", maxIter=LINEAR_STEPS)
-    raise KeyError(f"no family named {family!r}")
+def _combos(grid: dict[str, list]) -> list[dict[str, Any]]:
+    return [dict(zip(grid, values)) for values in product(*grid.values())]
+
+
+def _ranked(
+    train: DataFrame, family: str, combos: list[dict[str, Any]], errors: list[float], fit: Callable[[dict], Any]
+) -> tuple[DataFrame, Best]:
+    """The board of a family's combinations, and its best one fitted to all of ``train``."""
+    rows = [(family, str(p), float(e)) for p, e in zip(combos, errors)]
+    table = train.sparkSession.createDataFrame(rows, "family string, params string, mse double")
+    at = min(range(len(rows)), key=lambda i: (rows[i][2], i))
+    return table.orderBy("mse", "params"), Best(family, combos[at], rows[at][2], fit(combos[at]))
 
 
 def grid_search(
@@ -69,24 +76,230 @@ def grid_search(
 
     ``train`` holds ``x``, ``y``, ``stop`` and ``fold``, and should be persisted.
     """
-    estimator = _estimator(family)
+    if family == "gbt":
+        return _grid_boosted(train, grid, folds)
+    if family == "glm":
+        return _grid_linear(train, grid, folds)
+    if family != "rf":
+        raise KeyError(f"no family named {family!r}")
+    estimator = RandomForestRegressor(featuresCol="x", labelCol="y", seed=SEED)
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(estimator.getParam(name), values)
-    combos = builder.build()
+    maps = builder.build()
     search = CrossValidator(
         estimator=estimator,
-        estimatorParamMaps=combos,
+        estimatorParamMaps=maps,
         evaluator=RegressionEvaluator(labelCol="y", metricName="mse"),
         numFolds=folds,
         foldCol="fold",
         parallelism=PARALLEL_FITS,
     ).fit(train)
-    named = [{p.name: v for p, v in combo.items()} for combo in combos]
-    rows = [(family, str(p), float(m)) for p, m in zip(named, search.avgMetrics)]
-    table = train.sparkSession.createDataFrame(rows, "family string, params string, mse double")
-    at = min(range(len(rows)), key=lambda i: (rows[i][2], i))
-    return table.orderBy("mse"), Best(family, named[at], rows[at][2], search.bestModel)
+    named = [{p.name: v for p, v in combo.items()} for combo in maps]
+    return _ranked(train, family, named, search.avgMetrics, lambda _: search.bestModel)
+
+
+# ---- boosted trees ------------------------------------------------------------------------------
+
+
+def kept_rounds(curve: list[float], patience: int = PATIENCE) -> tuple[int, bool]:
+    """Rounds up to the lowest error reached before ``patience`` rounds brought no gain, and whether
+    the curve is long enough to tell."""
+    best = 0
+    for i, error in enumerate(curve):
+        if error < curve[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+@dataclass
+class Boosting:
+    """Boosted trees, the error of the rows set aside after each round, and the rounds that count."""
+
+    model: Any
+    curve: list[float]
+    rounds: int
+
+
+def _boosted(train: DataFrame, params: dict[str, Any], patience: int = PATIENCE) -> Boosting:
+    """Trees are added until ``patience`` rounds bring no gain on the rows marked ``stop``.
+
+    Spark's trees cannot be continued, so the number of rounds is doubled from ``2 * patience`` until the
+    curve decides or ``maxIter`` is reached: fewer than four times the rounds needed are fitted.
+    Without rows set aside all rounds count.
+    """
+    fitted, aside = train.where(~F.col("stop")), train.where("stop")
+    most = params.get("maxIter", GBTRegressor().getMaxIter())
+    if aside.isEmpty() or fitted.isEmpty():
+        model = GBTRegressor(featuresCol="x", labelCol="y", seed=SEED, **params).fit(train)
+        return Boosting(model, [], most)
+    rounds = min(most, 2 * patience)
+    while True:
+        some = {**params, "maxIter": rounds}
+        model = GBTRegressor(featuresCol="x", labelCol="y", seed=SEED, **some).fit(fitted)
+        curve = list(model.evaluateEachIteration(aside, "squared"))
+        kept, decided = kept_rounds(curve, patience)
+        if decided or rounds == most:
+            return Boosting(model, curve, kept)
+        rounds = min(most, 2 * rounds)
+
+
+def fit_boosted(train: DataFrame, params: dict[str, Any], patience: int = PATIENCE) -> Boosting:
+    """The model cut to the rounds that count; the seed makes its trees the first ones of the longer fit."""
+    found = _boosted(train, params, patience)
+    if found.curve and found.rounds < len(found.curve):
+        cut = {**params, "maxIter": found.rounds}
+        fitted = train.where(~F.col("stop"))
+        found.model = GBTRegressor(featuresCol="x", labelCol="y", seed=SEED, **cut).fit(fitted)
+    return found
+
+
+def _grid_boosted(train: DataFrame, grid: dict[str, list], folds: int) -> tuple[DataFrame, Best]:
+    combos = _combos(grid)
+
+    @inheritable_thread_target(train.sparkSession)
+    def error(task: tuple[dict[str, Any], int]) -> float:
+        params, fold = task
+        found = _boosted(train.where(F.col("fold") != fold), params)
+        held = train.where(F.col("fold") == fold)
+        # The error after each round is read off one pass, so trees beyond the kept ones do no harm.
+        return found.model.evaluateEachIteration(held, "squared")[found.rounds - 1]
+
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        errors = list(pool.map(error, product(combos, range(folds))))
+    means = [sum(errors[i * folds : (i + 1) * folds]) / folds for i in range(len(combos))]
+    return _ranked(train, "gbt", combos, means, lambda p: fit_boosted(train, p).model)
+
+
+def boosting_curve(train: DataFrame, params: dict[str, Any], patience: int = PATIENCE) -> DataFrame:
+    """Error of the rows set aside after each round that was fitted, and whether its tree is kept."""
+    found = _boosted(train, params, patience)
+    rows = [(i, float(e), i <= found.rounds) for i, e in enumerate(found.curve, 1)]
+    return train.sparkSession.createDataFrame(rows, "round int, mse double, kept boolean")
+
+
+# ---- linear models ------------------------------------------------------------------------------
+
+
+@dataclass
+class Moments:
+    """Rows, means, centred sums of products and ranges of the features and the label, which comes last."""
+
+    n: int
+    mean: np.ndarray
+    products: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+
+@dataclass
+class Linear:
+    intercept: float
+    weights: tuple[float, ...]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        x = vector_to_array(F.col("x"))
+        out: Column = F.lit(self.intercept)
+        for i, w in enumerate(self.weights):
+            out = out + x[i] * F.lit(w)
+        return df.withColumn("prediction", out)
+
+
+def fold_moments(train: DataFrame) -> dict[int, Moments]:
+    """Moments by fold from one aggregate; what comes home depends on folds and features only.
+
+    Rows whose label is null take no part. Covariances are merged from partial ones, which stays
+    accurate where means are large.
+    """
+    width = train.schema["x"].metadata.get("ml_attr", {}).get("num_attrs")
+    if width is None:
+        first = train.select(F.size(vector_to_array("x")).alias("w")).first()
+        width = first["w"] if first else 0
+    names = [f"v{i}" for i in range(width + 1)]
+    wide = train.where(F.col("y").isNotNull()).withColumn("__x", vector_to_array("x")).select(
+        "fold", *[F.col("__x")[i].alias(names[i]) for i in range(width)], F.col("y").alias(names[-1])
+    )
+    pairs = [(i, j) for i in range(width + 1) for j in range(i, width + 1)]
+    found = wide.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*[F.avg(c) for c in names]).alias("mean"),
+        F.array(*[F.covar_pop(names[i], names[j]) for i, j in pairs]).alias("covar"),
+        F.array(*[F.min(c) for c in names]).alias("low"),
+        F.array(*[F.max(c) for c in names]).alias("high"),
+    )
+    out = {}
+    for row in found.collect():
+        products = np.zeros((width + 1, width + 1))
+        for (i, j), c in zip(pairs, row["covar"]):
+            products[i, j] = products[j, i] = c * row["n"]
+        vectors = [np.array(row[c]) for c in ("low", "high")]
+        out[row["fold"]] = Moments(row["n"], np.array(row["mean"]), products, *vectors)
+    return out
+
+
+def merged(parts: list[Moments]) -> Moments:
+    n = sum(p.n for p in parts)
+    mean = sum(p.mean * (p.n / n) for p in parts)
+    products = sum(p.products + p.n * np.outer(p.mean - mean, p.mean - mean) for p in parts)
+    return Moments(n, mean, products, np.min([p.low for p in parts], axis=0), np.max([p.high for p in parts], axis=0))
+
+
+# An elastic net is settled when no coefficient moves by more than this in a sweep.
+SETTLED = 1e-12
+SWEEPS = 10_000
+
+
+def solve_linear(m: Moments, regParam: float = 0.0, elasticNetParam: float = 0.0) -> Linear:
+    """Least squares with penalties on the coefficients of standardised features, from moments alone.
+
+    Penalties mean what they mean in ``LinearRegression``. A constant feature gets 0; of dependent
+    features without a penalty the shortest solution is taken.
+    """
+    # The range tells a constant column exactly; merged means leave it a trace of a deviation.
+    deviation = np.where(m.high > m.low, np.sqrt(np.maximum(np.diag(m.products) / m.n, 0.0)), 0.0)
+    spread, own = deviation[:-1], deviation[-1]
+    weights = np.zeros(len(spread))
+    use = np.nonzero(spread > 0)[0]
+    if own > 0 and len(use):
+        scale = spread[use]
+        r = m.products[np.ix_(use, use)] / m.n / np.outer(scale, scale)
+        c = m.products[use, -1] / m.n / scale / own
+        first, second = regParam * elasticNetParam / own, regParam * (1 - elasticNetParam) / own
+        gamma = np.linalg.lstsq(r + second * np.eye(len(use)), c, rcond=None)[0]
+        for _ in range(SWEEPS if first > 0 else 0):
+            before = gamma.copy()
+            for j in range(len(use)):
+                pull = c[j] - r[j] @ gamma + r[j, j] * gamma[j]
+                gamma[j] = np.sign(pull) * max(abs(pull) - first, 0.0) / (r[j, j] + second)
+            if np.abs(gamma - before).max() < SETTLED:
+                break
+        weights[use] = gamma * own / scale
+    return Linear(float(m.mean[-1] - weights @ m.mean[:-1]), tuple(weights.tolist()))
+
+
+def linear_error(model: Linear, m: Moments) -> float:
+    """Mean squared error on the rows behind the moments."""
+    direction = np.array([*model.weights, -1.0])
+    bias = model.intercept + direction @ m.mean
+    return float(direction @ m.products @ direction / m.n + bias * bias)
+
+
+def _grid_linear(train: DataFrame, grid: dict[str, list], folds: int) -> tuple[DataFrame, Best]:
+    """Every fold and penalty is solved from one aggregate of the training rows."""
+    moments = fold_moments(train)
+    combos = _combos(grid)
+    errors = []
+    for params in combos:
+        held = [f for f in range(folds) if f in moments and len(moments) > 1]
+        fits = [solve_linear(merged([m for g, m in moments.items() if g != f]), **params) for f in held]
+        errors.append(sum(linear_error(fit, moments[f]) for fit, f in zip(fits, held)) / len(held))
+    whole = merged(list(moments.values()))
+    return _ranked(train, "glm", combos, errors, lambda p: solve_linear(whole, **p))
+
+
+# ---- dense nets ---------------------------------------------------------------------------------
 
 
 def _net_inputs(df: DataFrame, features: list[str], scale: dict[str, tuple[float, float]]) -> DataFrame:
@@ -160,10 +373,14 @@ def leaderboard(bests: list[Best], test: DataFrame) -> DataFrame:
     return table.orderBy("mse", "family")
 
 
-def _refit(best: Best, train: DataFrame, features: list[str]) -> Model | ScaledNet:
+def _refit(best: Best, train: DataFrame, features: list[str]) -> Model | Linear | ScaledNet:
     if best.family == "dnn":
         return fit_scaled_net(train, features, best.params["widths"], best.params["epochs"])
-    return _estimator(best.family).setParams(**best.params).fit(train)
+    if best.family == "gbt":
+        return fit_boosted(train, best.params).model
+    if best.family == "glm":
+        return solve_linear(merged(list(fold_moments(train).values())), **best.params)
+    return RandomForestRegressor(featuresCol="x", labelCol="y", seed=SEED, **best.params).fit(train)
 
 
 @dataclass
@@ -190,7 +407,7 @@ def stacked_ensemble(
     """Linear model over out-of-fold predictions of the base models."""
 
     @inheritable_thread_target(train.sparkSession)
-    def refit(task: tuple[int, Best]) -> Model | ScaledNet:
+    def refit(task: tuple[int, Best]) -> Model | Linear | ScaledNet:
         fold, best = task
         return _refit(best, train.where(F.col("fold") != fold), features)
 
