@@ -23,6 +23,7 @@ from oddlot.plans.basic_queries import CUSTOMER_RFM, MERCHANT_RFM, STAMP
 from oddlot.plans.cluster_sql import kmeans_sql
 from oddlot.plans.feature_queries import FREQ_SCORE, freq_sql, slope_sql
 from oddlot.plans.feature_run import run_features, score_columns
+from oddlot.plans.forest_sql import forest_sql
 from oddlot.plans.registry import EVENTS, LINES, events, lines, query, shown
 from oddlot.session import settle
 
@@ -130,10 +131,10 @@ PLANE_SQL = f"""{EVENTS}, pl as (
          hour(t) / 24.0::double as y from txn)"""
 
 
-def plane(spark, folder) -> DataFrame:
+def plane(spark, folder, *more: str) -> DataFrame:
     """Events as points: scaled amount and share of the day."""
     df = stats.with_table_min_max(events(spark, folder), AMOUNT, "x")
-    return settle(df.select(ID, CUSTOMER, "x", (F.col(HOUR) / F.lit(24.0)).alias("y")))
+    return settle(df.select(ID, CUSTOMER, "x", (F.col(HOUR) / F.lit(24.0)).alias("y"), *more))
 
 
 CANDIDATES_SQL = f"""{PLANE_SQL},
@@ -324,6 +325,48 @@ def ext_iforest(spark, folder):
     return shown(out, ID, digits={"label_e_iso": 6})
 
 
+PLANE_TREES = 100
+PLANE_SPLIT_SQL = f"""{PLANE_SQL},
+parted as (select id, x as x0, y as x1, t < timestamp '{SPLIT_DATE}' as training from pl join txn using (id)),
+fitted as (select * from parted where training), scored as (select * from parted)"""
+
+
+@query(
+    "plane_forest_nodes",
+    f"""with recursive {PLANE_SPLIT_SQL}, {forest_sql(2, isolation.TREES, isolation.SAMPLE_ROWS)}
+select tree, node, "left", "right", size, feature, round(threshold, 9) as threshold from nodes""",
+)
+def plane_forest_nodes(spark, folder):
+    train, _ = split(plane(spark, folder, TIME))
+    nodes = isolation.fit_forest(train, PLANE)
+    return shown(nodes, "tree", "node", "left", "right", "size", "feature", digits={"threshold": 9})
+
+
+@query(
+    "plane_label_iso",
+    f"""with recursive {PLANE_SPLIT_SQL}, {forest_sql(2, isolation.TREES, isolation.SAMPLE_ROWS)},
+judged as (select id, score, training from scores join parted using (id)),
+edge as (select quantile_cont(score, {1 - isolation.CONTAMINATION}) as cut from judged where training)
+select id as "PaymentTransactionId", case when score > cut then -1 else 1 end as label_iso
+from judged, edge where not training""",
+)
+def plane_label_iso(spark, folder):
+    train, test = split(plane(spark, folder, TIME))
+    nodes = settle(isolation.fit_forest(train, PLANE))
+    return isolation.with_forest_label(test, train, nodes, PLANE).select(ID, "label_iso")
+
+
+@query(
+    "plane_ext_forest",
+    f"""with recursive {PLANE_SQL}, fitted as (select id, x as x0, y as x1 from pl), scored as (select * from fitted),
+{forest_sql(2, PLANE_TREES, isolation.EXTENDED_SAMPLE_ROWS, extended=True)}
+select id as "PaymentTransactionId", round(score, 6) as label_e_iso from scores""",
+)
+def plane_ext_forest(spark, folder):
+    out = isolation.extended_scores(plane(spark, folder), PLANE, trees=PLANE_TREES)
+    return shown(out, ID, digits={"label_e_iso": 6})
+
+
 @query("autoencoder_fit")
 def autoencoder_fit(spark, folder):
     train, _ = split(featured(spark, folder))
