@@ -304,6 +304,9 @@ def test_runs_from_features_to_scores(spark, small_events):
     assert out.count() == test.count() > 0
     for spec in score_run.DETECTORS.values():
         assert out.where(F.col(spec.out).isNull()).count() == 0
+    alone = {n: m for n, m in models.items() if n != "dbscan"}
+    plan = score_run.score_detectors(alone, df, train, test, names)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan
     with pytest.raises(ValueError):
         score_run.assemble(test, test.union(test).withColumn("z", F.lit(1)), ["z"])
 
