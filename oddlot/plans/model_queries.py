@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -383,6 +384,33 @@ def autoencoder_score(spark, folder):
     )
 
 
+# A small net whose weights, like the points it is shown, are multiples of powers of two,
+# so that single precision adds and multiplies without rounding.
+EXACT_WEIGHTS = [[1.5, -0.75, 0.5], [-0.25, 1.25, 0.5]], [0.125, 0.0, -0.5], [[0.5, 0.25], [-0.5, 0.75], [1.0, -1.5]], [0.0, 0.25]
+EXACT_NET = nets.Net(
+    (2, 3, 2), ("relu", "linear"), weights=np.concatenate([np.ravel(w) for w in EXACT_WEIGHTS]).astype(np.float32)
+)
+EXACT_STEPS = 1024
+
+
+def _net_sql() -> str:
+    first, bias, second, shift = EXACT_WEIGHTS
+    hidden = ", ".join(f"greatest(0, u * {first[0][j]} + v * {first[1][j]} + {bias[j]}) as h{j}" for j in range(3))
+    out = [" + ".join(f"h{j} * {second[j][i]}" for j in range(3)) + f" + {shift[i]}" for i in range(2)]
+    return f"""points as (
+  select id, floor(x * {EXACT_STEPS}) / {EXACT_STEPS} as u, floor(y * {EXACT_STEPS}) / {EXACT_STEPS} as v from pl),
+hidden as (select *, {hidden} from points)
+select id as "PaymentTransactionId", round((abs({out[0]} - u) + abs({out[1]} - v)) / 2, 6) as anomaly_ae_values
+from hidden"""
+
+
+@query("autoencoder_forward", f"with {PLANE_SQL}, {_net_sql()}")
+def autoencoder_forward(spark, folder):
+    steps = {c: F.floor(F.col(c) * EXACT_STEPS) / EXACT_STEPS for c in PLANE}
+    points = plane(spark, folder).withColumns(steps)
+    return shown(nets.with_reconstruction_error(points, EXACT_NET, PLANE), ID, digits={"anomaly_ae_values": 6})
+
+
 @query("autoencoder_halving")
 def autoencoder_halving(spark, folder):
     train, test = split(featured(spark, folder))

@@ -251,6 +251,31 @@ def test_autoencoder_learns_and_round_trips(spark, cloud, monkeypatch):
     assert outer > inner
 
 
+def test_an_epoch_moves_as_many_vectors_as_trainers(spark, cloud, monkeypatch):
+    monkeypatch.setattr(nets, "ROWS_PER_SHARD", 10)
+    _, df = cloud
+    names, net = ["a", "b", "c"], nets.symmetric_net(3, (4,))
+    moved, trained = [], nets._trained
+
+    def counted(*args):
+        out = trained(*args).persist()
+        moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(nets, "_trained", counted)
+    for data in (df, df.unionByName(df.withColumn(ID, F.col(ID) + 100_000))):
+        nets.fit_net(data, net, names, epochs=1, trainers=3)
+    chunks = -(-2 * net.n_weights // nets.CHUNK)
+    assert moved == [3 * chunks, 3 * chunks]
+
+
+def test_nets_without_rows_keep_their_first_weights(spark, cloud):
+    _, df = cloud
+    net, history = nets.fit_net(df.limit(0), nets.symmetric_net(3, (4,)), ["a", "b", "c"], epochs=2)
+    assert np.array_equal(net.weights, nets.initial_weights(net, 0))
+    assert [r["train_loss"] for r in history.collect()] == [None, None]
+
+
 def test_nets_pass_over_rows_that_lack_a_number(spark):
     df = spark.range(500).select(
         F.col("id").alias(ID), F.when(F.col("id") != 7, F.rand(1)).alias("a"), F.lit(0.5).alias("b")
