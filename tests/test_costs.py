@@ -1,10 +1,15 @@
 """What training and scoring hold and move, beside the results."""
 
+import tracemalloc
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from oddlot.columns import ID
 from oddlot.detectors import dense_net as nets
+from oddlot.detectors import isolation
 
 
 @pytest.fixture(scope="module")
@@ -25,3 +30,30 @@ def test_trainers_get_each_input_once_and_send_bytes(spark, cloud, monkeypatch):
     nets.fit_net(cloud, nets.regression_net(2, (4,)), names[:2], names[2:], epochs=1)
     for dtypes, sent in seen:
         assert [t for _, t in dtypes] == ["float"] * 3 and sent == "binary"
+
+
+def test_forest_scores_hold_no_number_per_row_and_tree():
+    rng = np.random.default_rng(3)
+    data, trees = rng.random((300, 3)), 300
+    data[:40, 1] = 0.0
+    names = ["tree", "node", "left", "right", "size", "feature", "threshold", "normal"]
+    for extended in (False, True):
+        nodes = [n for t in range(trees) for n in isolation._grow(data[rng.choice(300, 30, False)], t, 5, 7, extended)]
+        table = pd.DataFrame(nodes, columns=names)
+        forest = isolation._forest_arrays(type("Nodes", (), {"toPandas": lambda self: table.copy()})(), 3)
+        wide = np.tile(data, (10, 1))
+        tracemalloc.start()
+        found = isolation._scores(wide, forest)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < len(wide) * trees * 8 / 10
+        at = table.set_index(["tree", "node"]).to_dict("index")
+        for row in range(0, 300, 60):
+            depths = []
+            for t in range(trees):
+                node, depth = 0, 0
+                while (n := at[t, node])["left"] >= 0:
+                    side = sum(x * w for x, w in zip(data[row], n["normal"])) if extended else data[row][int(n["feature"])]
+                    node, depth = n["left"] if side <= n["threshold"] else n["right"], depth + 1
+                depths.append(depth + isolation.rounded_path(n["size"]))
+            assert found[row] == pytest.approx(2.0 ** (-np.mean(depths) / isolation.average_path(30)), rel=1e-12)
