@@ -28,6 +28,9 @@ from oddlot.operators.skew import (
 from oddlot.operators.stats import normalised, normalised_name
 from oddlot.session import settle
 
+# Labels that are broadcast at most; a row of them has a handful of numbers.
+FEW_LABELS = 500_000
+
 
 def merchant_ratio(
     df: DataFrame, labels: DataFrame, feature: str = "c_m_ratios", hot: HotKeys | None = None,
@@ -38,10 +41,20 @@ def merchant_ratio(
     ``labels`` has one row per merchant (``merchant_id``, ``merchant_label``, further columns are
     kept). Merchants without a label score 0. ``pair_count`` names a column that already holds the
     pair's number of transactions.
+
+    Rows are shuffled once, by customer, which serves both counts, unless a customer is hot. Up to
+    ``FEW_LABELS`` labels come to the rows by broadcast, more by a shuffle by merchant.
     """
     hot = profile(df, hot)
     df = df.drop(*[c for c in labels.columns if c != MERCHANT])
-    df = join_hot_aware(df, labels, (MERCHANT,), hot)
+    # Counted and joined, so written once: one row per merchant.
+    labels = settle(labels)
+    if labels.count() <= FEW_LABELS:
+        df = join_same(df, F.broadcast(labels), (MERCHANT,))
+    else:
+        df = join_hot_aware(df, labels, (MERCHANT,), hot)
+    if hot.of(df, [CUSTOMER]) is None:
+        df = df.repartition(CUSTOMER)
     labelled = F.col("merchant_label").isNotNull()
     df = with_group_facts(df, [CUSTOMER, "merchant_label"], {"c_m_label_t_count": F.count(ID)}, hot)
     if pair_count:

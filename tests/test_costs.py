@@ -7,9 +7,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from oddlot.columns import ID
+from oddlot.columns import CUSTOMER, ID, MERCHANT
 from oddlot.detectors import dense_net as nets
 from oddlot.detectors import isolation
+from oddlot.operators import features
+from oddlot.operators.skew import HotKeys
 
 
 @pytest.fixture(scope="module")
@@ -57,3 +59,23 @@ def test_forest_scores_hold_no_number_per_row_and_tree():
                     node, depth = n["left"] if side <= n["threshold"] else n["right"], depth + 1
                 depths.append(depth + isolation.rounded_path(n["size"]))
             assert found[row] == pytest.approx(2.0 ** (-np.mean(depths) / isolation.average_path(30)), rel=1e-12)
+
+
+def test_merchant_ratio_shuffles_rows_once(spark, monkeypatch):
+    rows = [(i, None if i % 11 == 0 else i % 7, None if i % 13 == 0 else i % 5) for i in range(300)]
+    df = spark.createDataFrame([*rows, rows[1]], f"{ID} int, {CUSTOMER} int, {MERCHANT} int").repartition(3, ID)
+    labels = spark.createDataFrame([(0, 1), (1, 1), (2, 0), (4, None)], f"{MERCHANT} int, merchant_label int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = features.merchant_ratio(df, labels)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        # One before the call, one by customer.
+        assert plan.count("Exchange hashpartitioning") == 2
+        found = [sorted(map(str, out.collect()))]
+        monkeypatch.setattr(features, "FEW_LABELS", 0)
+        for hot in (None, HotKeys(hot_rows=20), HotKeys(hot_rows=0)):
+            found.append(sorted(map(str, features.merchant_ratio(df, labels, hot=hot).collect())))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert all(f == found[0] for f in found) and len(found[0]) == 301
