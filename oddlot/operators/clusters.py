@@ -8,12 +8,16 @@ from dataclasses import dataclass
 from decimal import Decimal
 from functools import reduce
 from operator import add, and_
+from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row
+import pyarrow as pa
+from pyspark import RDD
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from oddlot.columns import CUSTOMER
 from oddlot.operators.rfm import RFM, customer_rfm, merchant_rfm
@@ -26,6 +30,7 @@ MAX_K = 9
 ERROR_WIDTH = 2.58
 FIXED_BITS = 30
 KMEANS_ROUNDS = 300
+ROWS_PER_TASK = 50_000
 
 MIXTURE_PARTS = 4
 MIXTURE_STEPS = 100
@@ -71,86 +76,112 @@ def fixed_points(points: DataFrame, columns: list[str]) -> tuple[DataFrame, floa
     """
     whole = reduce(and_, [F.col(c).isNotNull() & (F.abs(F.col(c)) < math.inf) for c in columns])
     points = points.select(*columns).where(whole)
-    top = points.agg(F.max(F.greatest(*[F.abs(c) for c in columns], F.lit(0.0)))).first()[0]
+    largest = F.max(F.greatest(*[F.abs(c) for c in columns], F.lit(0.0)))
+    top, n = points.agg(largest, F.count(F.lit(1))).first()
     scale = 2.0 ** (FIXED_BITS - math.ceil(math.log2(top))) if top else 1.0
     fixed = [F.floor(F.col(c) * scale + 0.5).cast("long").alias(c) for c in columns]
-    return settle(points.select(*fixed)), scale
+    # Every round starts all tasks anew, so they are as few as the rows bear.
+    return settle(points.select(*fixed).coalesce(max(1, -(-n // ROWS_PER_TASK)))), scale
 
 
-def _sums(columns: list[str]) -> list[Column]:
-    exact = [F.sum(F.col(c).cast("decimal(20,0)")).alias(c) for c in columns]
-    return [F.count(F.lit(1)).alias("__n"), *exact]
+def point_blocks(fixed: DataFrame, columns: list[str]) -> RDD:
+    """The points as arrays of whole numbers, a row per point and an array per Arrow batch.
 
+    k-means passes over them once a round. The work of a round is small, so it runs on what is kept here,
+    without a plan to be made and compiled anew each time.
+    """
+    width = len(columns)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([c.to_numpy() for c in batch.columns])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["x"])
+
+    rows = fixed.select(*columns).mapInArrow(packed, "x binary").rdd
+    return rows.map(lambda r: np.frombuffer(r["x"], dtype=np.int64).reshape(-1, width)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _squares(x: np.ndarray, centers: list[list[float]]) -> np.ndarray:
+    """Squared distances of points to centres, added up axis by axis."""
+    square = np.zeros((len(x), len(centers)))
+    for j in range(x.shape[1]):
+        away = x[:, j, None].astype(float) - np.array([c[j] for c in centers])[None, :]
+        square += away * away
+    return square
+
+
+def _added(a: dict, b: dict) -> dict:
+    """Sums by key; Python's whole numbers have no bounds, so they are exact in any order."""
+    both = dict(a)
+    for at, values in b.items():
+        both[at] = [p + q for p, q in zip(both[at], values)] if at in both else values
+    return both
+
+
+def _combined(blocks: RDD, of_block: Callable[[np.ndarray], Any], join: Callable[[Any, Any], Any]) -> Any:
+    """What ``of_block`` finds in each block, joined within tasks and then in a tree; None without points."""
+
+    def of_task(parts: Iterator[np.ndarray]) -> Iterator[Any]:
+        found = [of_block(x) for x in parts if len(x)]
+        yield reduce(join, found) if found else None
+
+    return blocks.mapPartitions(of_task).treeReduce(lambda a, b: b if a is None else a if b is None else join(a, b))
 
-def _mean(row: Row, columns: list[str]) -> list[float]:
-    return [float(row[c]) / float(row["__n"]) for c in columns]
 
+def _size_and_sums(x: np.ndarray) -> list[int]:
+    """Whole numbers of 30 bits: a block cannot overflow."""
+    return [len(x), *map(int, x.sum(axis=0))]
 
-def _fixed_distance(columns: list[str], center: list[float]) -> Column:
-    away = [F.col(c).cast("double") - F.lit(float(m)) for c, m in zip(columns, center)]
-    return reduce(add, [a * a for a in away])
 
+def _mean(values: list[int]) -> list[float]:
+    return [float(v) / float(values[0]) for v in values[1:]]
 
-def farthest_seeds(fixed: DataFrame, columns: list[str], many: int) -> list[list[float]]:
+
+def farthest_seeds(blocks: RDD, many: int) -> list[list[float]]:
     """The point farthest from the mean, then always the one farthest from all seeds before.
 
     Of equally far points the smallest by coordinates is taken. There are at most as many seeds as
-    distinct points. Each seed is one aggregate.
+    distinct points. Each seed is one pass, to which a task adds one point.
     """
-    mean = fixed.agg(*_sums(columns)).first()
-    if not mean["__n"]:
+    total = _combined(blocks, lambda x: {0: _size_and_sums(x)}, _added)
+    if total is None:
         return []
     seeds: list[list[float]] = []
-    away = _fixed_distance(columns, _mean(mean, columns))
+    origins = [_mean(total[0])]
+
+    def farthest(x: np.ndarray) -> tuple:
+        square = _squares(x, origins).min(axis=1)
+        top = square.max()
+        return (float(top), *max(tuple(-v for v in map(int, p)) for p in np.unique(x[square == top], axis=0)))
+
     while len(seeds) < many:
-        farthest = F.struct(away.alias("d"), *[(-F.col(c)).alias(c) for c in columns])
-        row = fixed.agg(F.max(farthest).alias("p")).first()["p"]
-        if seeds and row["d"] == 0:
+        d, *point = _combined(blocks, farthest, max)
+        if seeds and d == 0:
             break
-        seeds.append([-float(row[c]) for c in columns])
-        squares = [_fixed_distance(columns, s) for s in seeds]
-        away = F.least(*squares) if len(squares) > 1 else squares[0]
+        seeds.append([-float(v) for v in point])
+        origins = seeds
     return seeds
 
 
-def _nearest_sums(fixed: DataFrame, columns: list[str], centers: dict[int, list[list[float]]]) -> DataFrame:
-    """Per task, k and centre ``i``: number and sums of the points nearest to it.
+def _nearest_sums(blocks: RDD, centers: dict[int, list[list[float]]]) -> dict[tuple[int, int], list[int]]:
+    """Per k and centre ``i`` that has points: number and sums of the points nearest to it."""
 
-    Centres change every round, so they are data of the task here; as literals of a plan they would
-    have the plan compiled anew each time.
-    """
+    def sums(x: np.ndarray) -> dict[tuple[int, int], list[int]]:
+        found = {}
+        for k, of_k in centers.items():
+            own = _squares(x, of_k).argmin(axis=1)
+            for i in np.unique(own):
+                found[k, int(i)] = _size_and_sums(x[own == i])
+        return found
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[tuple[int, int], list[int]] = {}
-        for batch in batches:
-            x = batch.to_numpy(dtype=np.int64)
-            for k, of_k in centers.items():
-                square = np.zeros((len(x), k))
-                for j in range(len(columns)):
-                    away = x[:, j, None].astype(float) - np.array([c[j] for c in of_k])[None, :]
-                    square += away * away
-                own = square.argmin(axis=1)
-                for i in np.unique(own):
-                    part = x[own == i]
-                    # Whole numbers of 30 bits: a batch cannot overflow, and Python adds without bounds.
-                    values = [len(part), *map(int, part.sum(axis=0))]
-                    before = found.get((k, int(i)))
-                    found[k, int(i)] = values if before is None else [a + b for a, b in zip(before, values)]
-        if found:
-            rows = [(*at, *map(Decimal, values)) for at, values in found.items()]
-            yield pd.DataFrame(rows, columns=["k", "i", "__n", *columns])
-
-    whole = ", ".join(f"`{c}` decimal(28,0)" for c in ("__n", *columns))
-    return fixed.select(*columns).mapInPandas(sums, f"k int, i int, {whole}")
-
-
-def lloyd(
-    fixed: DataFrame, columns: list[str], seeds: list[list[float]], ks: Iterable[int]
-) -> dict[int, list[list[float]]]:
-    """Centres of every k in the units of ``fixed``, in the order of the seeds.
-
-    All k move in the same passes: a round is one aggregate by (k, nearest centre) over the k that
-    still move, and brings home one row of sums per centre. A centre without points stays; of equally
+    return _combined(blocks, sums, _added)
+
+
+def lloyd(blocks: RDD, seeds: list[list[float]], ks: Iterable[int]) -> dict[int, list[list[float]]]:
+    """Centres of every k in the units of ``blocks``, in the order of the seeds.
+
+    All k move in the same passes: a round adds up sums by (k, nearest centre) over the k that still
+    move, and brings home one list of sums per centre. A centre without points stays; of equally
     near centres the earlier seed takes a point.
     """
     centers = {k: seeds[:k] for k in ks if k <= len(seeds)}
@@ -158,11 +189,9 @@ def lloyd(
     for _ in range(KMEANS_ROUNDS):
         if not moving:
             break
-        sums = _nearest_sums(fixed, columns, {k: centers[k] for k in sorted(moving)})
-        totals = [F.sum(F.col(c)).alias(c) for c in ("__n", *columns)]
         moved = {k: list(centers[k]) for k in moving}
-        for row in sums.groupBy("k", "i").agg(*totals).collect():
-            moved[row["k"]][row["i"]] = _mean(row, columns)
+        for (k, i), values in _nearest_sums(blocks, {k: centers[k] for k in sorted(moving)}).items():
+            moved[k][i] = _mean(values)
         moving = {k for k in moving if moved[k] != centers[k]}
         centers.update({k: moved[k] for k in moving})
     return centers
@@ -175,7 +204,9 @@ def _unscaled(centers: list[list[float]], scale: float) -> list[list[float]]:
 def kmeans(points: DataFrame, columns: list[str], ks: Iterable[int]) -> dict[int, list[list[float]]]:
     """Centres in ascending order of every k that has enough distinct points, from the same seeds."""
     fixed, scale = fixed_points(points, columns)
-    found = lloyd(fixed, columns, farthest_seeds(fixed, columns, max(ks)), ks)
+    blocks = point_blocks(fixed, columns)
+    found = lloyd(blocks, farthest_seeds(blocks, max(ks)), ks)
+    blocks.unpersist()
     return {k: _unscaled(c, scale) for k, c in found.items()}
 
 
@@ -318,11 +349,14 @@ def fit_mixture(
     are fewer components; ``None`` without rows. The result does not depend on partitions.
     """
     fixed, scale = fixed_points(points, columns)
-    seeds = farthest_seeds(fixed, columns, parts)
+    blocks = point_blocks(fixed, columns)
+    seeds = farthest_seeds(blocks, parts)
+    k = len(seeds)
+    found = lloyd(blocks, seeds, [k] if k else [])
+    blocks.unpersist()
     if not seeds:
         return None
-    k = len(seeds)
-    centers = np.array(_unscaled(lloyd(fixed, columns, seeds, [k])[k], scale))
+    centers = np.array(_unscaled(found[k], scale))
 
     def hard(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         nearest_center = ((x[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from oddlot.columns import AMOUNT, CUSTOMER, ID, MERCHANT, TIME
 from oddlot.functions.scalars import SECONDS_PER_DAY, epoch_seconds, hours_between
 from oddlot.operators.quantiles import group_quantiles
-from oddlot.operators.skew import HotKeys, profile, with_previous_time
+from oddlot.operators.skew import HotKeys, hot_keys_of, profile, with_previous_time
+from oddlot.session import settle
 
 RFM = ("recency", "frequency", "monetary")
 
@@ -36,13 +37,22 @@ def customer_rfm(df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
 
 
 def merchant_rfm(df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
-    """Per merchant: hours since the last activity, median gap in hours, median amount."""
-    hot = profile(df, hot)
-    gaps = with_previous_time(
-        df.select(MERCHANT, TIME, ID, AMOUNT), [MERCHANT], TIME, ID, "__prev", hot
-    ).withColumn("__gap", hours_between(F.col(TIME), F.col("__prev")))
+    """Per merchant: hours since the last activity, median gap in hours, median amount.
+
+    The rows are worked out twice, once for what is needed of all of them and once for the gaps. Rows
+    of one time have the same gaps in any order, so a number that only tells rows apart stands in for the id.
+    """
+    ends = df
+    if hot is None:
+        # One row per merchant.
+        ends = settle(df.groupBy(MERCHANT).agg(F.count(F.lit(1)).alias("__n"), F.max(TIME).alias(TIME)))
+        hot = hot_keys_of(ends, [MERCHANT])
+    rows = df.select(MERCHANT, TIME, F.monotonically_increasing_id().alias(ID), AMOUNT)
+    gaps = with_previous_time(rows, [MERCHANT], TIME, ID, "__prev", hot).withColumn(
+        "__gap", hours_between(F.col(TIME), F.col("__prev"))
+    )
     targets = {"frequency": ("__gap", 0.5), "monetary": (AMOUNT, 0.5)}
     found = group_quantiles(gaps, [MERCHANT], targets, hot, {"__last": F.max(TIME)})
     return found.where(F.col("frequency").isNotNull() & F.col("monetary").isNotNull()).select(
-        MERCHANT, hours_until_reference(df, F.col("__last")).alias("recency"), "frequency", "monetary"
+        MERCHANT, hours_until_reference(ends, F.col("__last")).alias("recency"), "frequency", "monetary"
     )

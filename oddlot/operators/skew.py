@@ -81,6 +81,14 @@ def find_hot_keys(df: DataFrame, hot_rows: int | None = None) -> HotKeys:
     return HotKeys(limit, small=df.count() <= limit)
 
 
+def hot_keys_of(sizes: DataFrame, keys: Iterable[str], hot_rows: int | None = None) -> HotKeys:
+    """A profile of one key set from a written table of the sizes (``__n``) of all its groups."""
+    keys = tuple(keys)
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    table = sizes.where(F.col("__n") > limit).select(*keys)
+    return HotKeys(limit, {keys: None if table.isEmpty() else table})
+
+
 def profile(df: DataFrame, hot: HotKeys | None) -> HotKeys:
     return hot if hot is not None else find_hot_keys(df)
 

@@ -1,16 +1,17 @@
 """What training and scoring hold and move, beside the results."""
 
 import tracemalloc
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from oddlot.columns import CUSTOMER, ID, MERCHANT
+from oddlot.columns import AMOUNT, CUSTOMER, ID, MERCHANT, TIME
 from oddlot.detectors import dense_net as nets
 from oddlot.detectors import isolation
-from oddlot.operators import features
+from oddlot.operators import clusters, features, noise, rfm
 from oddlot.operators.skew import HotKeys
 
 
@@ -79,3 +80,25 @@ def test_merchant_ratio_shuffles_rows_once(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert all(f == found[0] for f in found) and len(found[0]) == 301
+
+
+def test_merchant_rfm_needs_no_ids(spark):
+    """Ids of lines are long texts; one that repeats must not tell where a gap begins either."""
+    start = datetime(2024, 1, 1)
+    rows = [(1 if i % 9 else None, start + timedelta(hours=h), i % 3, float(i % 7)) for i, h in enumerate([5, 1, 1, 9, 4, 4, 8, 30, 2] * 6)]
+    df = spark.createDataFrame(rows, f"{ID} int, {TIME} timestamp_ntz, {MERCHANT} int, {AMOUNT} double")
+    found = [
+        sorted(map(str, rfm.merchant_rfm(some, hot).collect()))
+        for some in (df, df.drop(ID)) for hot in (None, HotKeys(hot_rows=17), HotKeys(hot_rows=0))
+    ]
+    assert all(f == found[0] for f in found) and len(found[0]) == 3
+
+
+def test_kmeans_starts_few_tasks(spark, monkeypatch):
+    df = spark.range(200).selectExpr("cast(id % 23 as double) as p", "cast(id % 7 as double) as q").repartition(20)
+    fixed, _ = clusters.fixed_points(df, ["p", "q"])
+    assert fixed.rdd.getNumPartitions() == 1
+    expected = clusters.kmeans(df, ["p", "q"], range(1, 5))
+    monkeypatch.setattr(clusters, "ROWS_PER_TASK", 30)
+    assert clusters.fixed_points(df, ["p", "q"])[0].rdd.getNumPartitions() == 7
+    assert clusters.kmeans(df, ["p", "q"], range(1, 5)) == expected and len(expected[4]) == 4
