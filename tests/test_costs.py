@@ -102,3 +102,27 @@ def test_kmeans_starts_few_tasks(spark, monkeypatch):
     monkeypatch.setattr(clusters, "ROWS_PER_TASK", 30)
     assert clusters.fixed_points(df, ["p", "q"])[0].rdd.getNumPartitions() == 7
     assert clusters.kmeans(df, ["p", "q"], range(1, 5)) == expected and len(expected[4]) == 4
+
+
+def test_divisors_read_rows_once(spark):
+    """What is asked of each divisor is answered by the distinct points."""
+    rng = np.random.default_rng(5)
+    x = [*map(tuple, np.round(rng.normal(0.5, 0.2, (150, 2)), 1).tolist()), (None, 0.9), (0.9, None), (-0.0, 0.7)]
+    df = spark.createDataFrame([(*r, None) for r in x], "a double, b double, empty double")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for batch in rows:
+            seen.add(batch.num_rows)
+            yield batch
+
+    centroid = {"a": 0.5, "b": 0.5, "empty": None}
+    counted = df.mapInArrow(count, df.schema)
+    sweep = noise.sweep_divisors(counted, ["a", "b"], centroid, 0.15, 20, [2]).collect()
+    assert seen.value == len(x)
+    po = np.array([r for r in x if None not in r and min(r) >= 0.25])
+    near = np.sqrt(((po[:, None] - po[None]) ** 2).sum(axis=2)) <= 0.15
+    core = near.sum(axis=1) >= max(1, len(po) - 20)
+    outside = ~(near & core[None, :]).any(axis=1)
+    inside = po[~outside].max(axis=0).sum() if (~outside).any() else 0.0
+    assert [(r["div"], r["cal"]) for r in sweep] == [(2, pytest.approx(abs(inside - po[outside].min(axis=0).sum())))]
