@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from oddlot.llm import bitset
 from oddlot.llm.store import written
-from oddlot.llm.tokens import Words, find_words, flat, int64s, lists, mix, number_mix, slices
+from oddlot.llm.tokens import SLICE_BYTES, Words, find_words, flat, int64s, lists, mix, number_mix, slices
 
 ROUNDS = 3
 NEAR = 16
@@ -51,7 +51,7 @@ def _power(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     if base not in _tables or len(_tables[base][0]) < size:
         _tables[base] = []
         for b in (base, pow(base, -1, 1 << 64)):
-            table = np.full(max(size, 1 << 19), b, dtype=np.uint64)
+            table = np.full(max(size, SLICE_BYTES // 2 + 1), b, dtype=np.uint64)
             table[0] = 1
             _tables[base].append(np.cumprod(table, dtype=np.uint64))
     return _tables[base][0], _tables[base][1]

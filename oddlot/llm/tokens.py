@@ -1,7 +1,7 @@
 """Words, word hashes and shingles of whole Arrow text columns, computed with numpy on the UTF-8 bytes.
 
 A word is ``[^\\x20\\x09-\\x0D]+``. Hashes are 64 bits wide, depend on the bytes alone and are equal in
-every task. Texts are worked through in slices of a few megabytes, so memory does not follow the size
+every task. Texts are worked through in slices of a quarter of a megabyte, so memory does not follow the size
 of an Arrow batch; one text longer than a slice makes a slice of its own.
 """
 
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
