@@ -80,12 +80,13 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        # Hashes of the units in ascending order, and their places in ``begin`` and ``size``.
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.pool, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, codes: list[int], raw: list[bytes], plain: np.ndarray) -> None:
+    def _learn(self, codes: np.ndarray, raw: list[bytes], plain: np.ndarray) -> None:
         """Encode units. Plain ones are put one after another and encoded together: the pattern splits
-        before each, and the lengths of the tokens in bytes tell where one ends."""
+        before each, and the lengths of the tokens in bytes tell where one ends. ``codes`` ascend and are new."""
         order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
         n = int(plain.sum())
         joined = [raw[x] for x in order[:n]]
@@ -99,7 +100,10 @@ class Encoder:
         flat_ids = np.concatenate([*together, np.zeros(0, np.uint32)])
         ends = np.searchsorted(np.cumsum(self.bytes[flat_ids]), np.cumsum([len(x) for x in joined]), "left") + 1
         sizes = np.concatenate((np.diff(ends, prepend=0), [len(x) for x in alone])).astype(np.int64)
-        self.known.update(zip([codes[x] for x in order], range(len(self.known), len(self.known) + len(order))))
+        places = np.empty(len(order), dtype=np.int64)
+        places[order] = np.arange(len(self.known), len(self.known) + len(order))
+        at = np.searchsorted(self.known, codes)
+        self.known, self.place = np.insert(self.known, at, codes), np.insert(self.place, at, places)
         self.begin = np.append(self.begin, len(self.pool) + np.cumsum(sizes) - sizes)
         self.size = np.append(self.size, sizes)
         self.pool = np.concatenate([self.pool, flat_ids, *alone])
@@ -110,19 +114,22 @@ class Encoder:
         values, one, inverse = np.unique(codes, return_index=True, return_inverse=True)
         if len(self.known) > CACHE:
             self._clear()
-        asked = values.tolist()
         odd, whole = _odd(data), data.tobytes()
         marked = any(mark in whole for mark in self.special)
-        new = [x for x, code in enumerate(asked) if code not in self.known]
-        if new:
+        at = np.searchsorted(self.known, values)
+        seen = at < len(self.known)
+        seen[seen] = self.known[at[seen]] == values[seen]
+        new = np.flatnonzero(~seen)
+        if len(new):
             units_of = one[new]
             raw = [data[a:b].tobytes() for a, b in zip(spans.starts[units_of].tolist(), spans.ends[units_of].tolist())]
             plain = _SPACE[data[spans.starts[units_of]]] & ~_SPACE[data[spans.ends[units_of] - 1]]
             plain &= ~np.isin(units_of, np.searchsorted(spans.starts, odd, "right") - 1)
             if marked:
                 plain &= np.array([not any(mark in x for mark in self.special) for x in raw])
-            self._learn([asked[x] for x in new], raw, plain)
-        rows = np.fromiter((self.known[code] for code in asked), np.int64, len(asked))[inverse]
+            self._learn(values[new], raw, plain)
+            at = np.searchsorted(self.known, values)
+        rows = self.place[at][inverse]
         sizes = self.size[rows]
         before = np.concatenate(([0], np.cumsum(sizes)))
         ids = self.pool[np.arange(before[-1]) + np.repeat(self.begin[rows] - before[:-1], sizes)]
