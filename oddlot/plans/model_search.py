@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -12,15 +13,16 @@ import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from oddlot.columns import ID
-from oddlot.detectors.dense_net import Net, fit_net, regression_net, with_output
+from oddlot.detectors.dense_net import Lesson, Net, fit_net, fit_nets, regression_net, with_output
 from oddlot.functions.scalars import md5_unit
 from oddlot.operators.ranking import with_row_index
 
@@ -114,68 +116,223 @@ def kept_rounds(curve: list[float], patience: int = PATIENCE) -> tuple[int, bool
     return best + 1, False
 
 
+@dataclass
+class BinnedTrees:
+    """Boosted trees over the numbers of bins, and the borders of the bins of each feature."""
+
+    trees: Any
+    borders: list[list[float]]
+
+    @property
+    def getNumTrees(self) -> int:
+        return self.trees.getNumTrees
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        x, names = vector_to_array(F.col("x")), [f"__v{i}" for i in range(len(self.borders))]
+        ready = _binned(df.withColumns({n: x[i] for i, n in enumerate(names)}), names, self.borders)
+        bins = [f"b_{n}" for n in names]
+        return self.trees.transform(ready.withColumn("__bins", _vector(bins))).drop(*names, *bins, "__bins")
+
+
 @dataclass
 class Boosting:
     """Boosted trees, the error of the rows set aside after each round, and the rounds that count."""
 
-    model: Any
+    model: BinnedTrees
     curve: list[float]
     rounds: int
 
 
-def _boosted(train: DataFrame, params: dict[str, Any], patience: int = PATIENCE) -> Boosting:
+# Rows whose values decide where the bins of a feature begin; trees in Spark look at as many.
+BORDER_ROWS = 10_000
+
+
+def borders(counts: list[tuple[float, int]], most: int) -> list[float]:
+    """Cuts between the values of a feature, ascending with their rows, for at most ``most`` bins.
+
+    As in Spark's trees: between all neighbouring values or, if these are too many, wherever the rows
+    below come closest to the next equal share.
+    """
+    middles = [(a[0] + b[0]) / 2 for a, b in zip(counts, counts[1:])]
+    if len(counts) <= most:
+        return middles
+    share = sum(n for _, n in counts) / most
+    out, below, wanted = [], counts[0][1], share
+    for middle, (_, n) in zip(middles, counts[1:]):
+        if abs(below - wanted) < abs(below + n - wanted):
+            out.append(middle)
+            wanted += share
+        below += n
+    return out
+
+
+def _width(train: DataFrame) -> int:
+    width = train.schema["x"].metadata.get("ml_attr", {}).get("num_attrs")
+    if width is None:
+        first = train.select(F.size(vector_to_array("x")).alias("w")).first()
+        width = first["w"] if first else 0
+    return width
+
+
+def _plain(train: DataFrame, ident: str) -> DataFrame:
+    """The features as columns of their own, with what boosting needs besides."""
+    x = vector_to_array(F.col("x"))
+    kept = [c for c in (ident, "y", "stop", "fold") if c in train.columns]
+    return train.select(*kept, *[x[i].alias(f"v{i}") for i in range(_width(train))])
+
+
+def _features(plain: DataFrame) -> list[str]:
+    return [c for c in plain.columns if c[0] == "v" and c[1:].isdigit()]
+
+
+def _binned(df: DataFrame, names: list[str], cuts: list[list[float]]) -> DataFrame:
+    """For each feature, in ``b_`` and its name, how many of its cuts lie below the value."""
+    some = [n for n, c in zip(names, cuts) if c]
+    if some:
+        # Buckets begin at their edge, bins of trees just above it.
+        edges = [[-math.inf, *np.nextafter(c, math.inf).tolist(), math.inf] for c in cuts if c]
+        df = Bucketizer(splitsArray=edges, inputCols=some, outputCols=[f"b_{n}" for n in some]).transform(df)
+    return df.withColumns({f"b_{n}": F.lit(0.0) for n in names if n not in some})
+
+
+def _vector(names: list[str]) -> Column:
+    return array_to_vector(F.array(*names))
+
+
+def _all_borders(plain: DataFrame, n: int, most: int, ident: str) -> list[list[float]]:
+    """Borders of every feature from all ``n`` rows, or from some ``BORDER_ROWS`` of them by a hash."""
+    names = _features(plain)
+    if n > BORDER_ROWS:
+        keys = [F.col(c) for c in (ident, "y", *names) if c in plain.columns]
+        # 40 bits of the hash of a row against the share of rows wanted.
+        plain = plain.where(F.pmod(F.xxhash64(*keys, F.lit(SEED)), F.lit(1 << 40)) < int(BORDER_ROWS / n * (1 << 40)))
+    # At most the values of the rows chosen come home.
+    tall = plain.select(F.posexplode(F.array(*names)).alias("feature", "value"))
+    found: list[list[tuple[float, int]]] = [[] for _ in names]
+    for row in tall.groupBy("feature", "value").count().collect():
+        found[row["feature"]].append((row["value"], row["count"]))
+    return [borders(sorted(counts), min(most, n)) for counts in found]
+
+
+def _cells(plain: DataFrame, cuts: list[list[float]], *by: str) -> DataFrame:
+    """Rows with equal bins as one: their mean label, their number, and the squares around the mean.
+
+    Trees over bins split alike on these, since squares within a cell are the same on both sides of a gain.
+    """
+    binned = _binned(plain, _features(plain), cuts)
+    names = [f"b_{c}" for c in _features(plain)]
+    n = F.count(F.lit(1))
+    # A missing label stays one, which Spark refuses.
+    mean = F.when(F.count("y") == n, F.avg("y"))
+    cells = binned.groupBy(*by, *names).agg(
+        mean.alias("y"), n.cast("double").alias("n"), (F.var_pop("y") * n).alias("squares")
+    )
+    return cells.select(*by, "y", "n", "squares", _vector(names).alias("__bins"))
+
+
+def _curve(trees: Any, cells: DataFrame) -> list[float]:
+    """Mean squared error of the rows behind the cells after each round."""
+    within = cells.agg((F.sum("squares") / F.sum("n")).alias("e")).first()["e"] or 0.0
+    return [e + within for e in trees.evaluateEachIteration(cells, "squared")]
+
+
+@dataclass
+class Prepared:
+    """Training rows as cells: those to fit and, if there are both, those set aside."""
+
+    cuts: list[list[float]]
+    fitted: DataFrame
+    aside: DataFrame | None
+    bins: int
+
+
+# Cells that one task of a round works on.
+CELLS_A_TASK = 50_000
+
+
+def _prepared(plain: DataFrame, most_bins: int | None = None, ident: str = ID) -> Prepared:
+    """Cells of equal bins, whose number depends on bins and features and not on rows."""
+    sizes = {r["stop"]: r["count"] for r in plain.groupBy("stop").count().collect()}
+    watched = bool(sizes.get(True)) and bool(sizes.get(False))
+    # Rows of which it is unknown whether they stop take part only where nothing is set aside.
+    plain = plain.where(F.col("stop").isNotNull()) if watched else plain.withColumn("stop", F.lit(False))
+    n = sizes[False] if watched else sum(sizes.values())
+    cuts = _all_borders(plain.where(~F.col("stop")), n, most_bins or GBTRegressor().getMaxBins(), ident)
+    cells = _cells(plain, cuts, "stop").persist(StorageLevel.MEMORY_AND_DISK)
+    # A round runs several small jobs, whose time is that of their tasks.
+    count = cells.count()
+    few = cells.coalesce(max(1, -(-count // CELLS_A_TASK))).persist(StorageLevel.MEMORY_AND_DISK)
+    few.count()
+    cells.unpersist()
+    # Enough for Spark to look at every cell when it lists the bins.
+    bins = max(2, math.isqrt(count) + 1, *[len(c) + 1 for c in cuts])
+    return Prepared(cuts, few.where(~F.col("stop")), few.where("stop") if watched else None, bins)
+
+
+def _boosted(ready: Prepared, params: dict[str, Any], patience: int = PATIENCE, cut: bool = False) -> Boosting:
     """Trees are added until ``patience`` rounds bring no gain on the rows marked ``stop``.
 
     Spark's trees cannot be continued, so the number of rounds is doubled from ``2 * patience`` until the
     curve decides or ``maxIter`` is reached: fewer than four times the rounds needed are fitted.
-    Without rows set aside all rounds count.
+    Without rows set aside all rounds count. ``cut`` leaves the model with the rounds that count.
     """
-    fitted, aside = train.where(~F.col("stop")), train.where("stop")
+
+    def fit(rounds: int) -> Any:
+        some = {**params, "maxIter": rounds, "maxBins": ready.bins}
+        return GBTRegressor(featuresCol="__bins", labelCol="y", weightCol="n", seed=SEED, **some).fit(ready.fitted)
+
     most = params.get("maxIter", GBTRegressor().getMaxIter())
-    if aside.isEmpty() or fitted.isEmpty():
-        model = GBTRegressor(featuresCol="x", labelCol="y", seed=SEED, **params).fit(train)
-        return Boosting(model, [], most)
+    if ready.aside is None:
+        return Boosting(BinnedTrees(fit(most), ready.cuts), [], most)
     rounds = min(most, 2 * patience)
     while True:
-        some = {**params, "maxIter": rounds}
-        model = GBTRegressor(featuresCol="x", labelCol="y", seed=SEED, **some).fit(fitted)
-        curve = list(model.evaluateEachIteration(aside, "squared"))
+        trees = fit(rounds)
+        curve = _curve(trees, ready.aside)
         kept, decided = kept_rounds(curve, patience)
         if decided or rounds == most:
-            return Boosting(model, curve, kept)
+            break
         rounds = min(most, 2 * rounds)
+    if cut and kept < len(curve):
+        trees = fit(kept)
+    return Boosting(BinnedTrees(trees, ready.cuts), curve, kept)
 
 
-def fit_boosted(train: DataFrame, params: dict[str, Any], patience: int = PATIENCE) -> Boosting:
+def fit_boosted(train: DataFrame, params: dict[str, Any], patience: int = PATIENCE, ident: str = ID) -> Boosting:
     """The model cut to the rounds that count; the seed makes its trees the first ones of the longer fit."""
-    found = _boosted(train, params, patience)
-    if found.curve and found.rounds < len(found.curve):
-        cut = {**params, "maxIter": found.rounds}
-        fitted = train.where(~F.col("stop"))
-        found.model = GBTRegressor(featuresCol="x", labelCol="y", seed=SEED, **cut).fit(fitted)
-    return found
+    return _boosted(_prepared(_plain(train, ident), params.get("maxBins"), ident), params, patience, cut=True)
 
 
 def _grid_boosted(train: DataFrame, grid: dict[str, list], folds: int) -> tuple[DataFrame, Best]:
     combos = _combos(grid)
+    plain = _plain(train, ID).persist(StorageLevel.MEMORY_AND_DISK)
+
+    @inheritable_thread_target(train.sparkSession)
+    def cells(task: tuple[int | None, int]) -> tuple[Prepared, DataFrame]:
+        most, fold = task
+        ready = _prepared(plain.where(F.col("fold") != fold), most)
+        return ready, _cells(plain.where(F.col("fold") == fold), ready.cuts).coalesce(1).persist(StorageLevel.MEMORY_AND_DISK)
 
     @inheritable_thread_target(train.sparkSession)
     def error(task: tuple[dict[str, Any], int]) -> float:
         params, fold = task
-        found = _boosted(train.where(F.col("fold") != fold), params)
-        held = train.where(F.col("fold") == fold)
+        ready, held = folded[params.get("maxBins"), fold]
+        found = _boosted(ready, params)
         # The error after each round is read off one pass, so trees beyond the kept ones do no harm.
-        return found.model.evaluateEachIteration(held, "squared")[found.rounds - 1]
+        return _curve(found.model.trees, held)[found.rounds - 1]
 
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        tasks = list(product({p.get("maxBins"): None for p in combos}, range(folds)))
+        folded = dict(zip(tasks, pool.map(cells, tasks)))
         errors = list(pool.map(error, product(combos, range(folds))))
     means = [sum(errors[i * folds : (i + 1) * folds]) / folds for i in range(len(combos))]
-    return _ranked(train, "gbt", combos, means, lambda p: fit_boosted(train, p).model)
+    out = _ranked(train, "gbt", combos, means, lambda p: _boosted(_prepared(plain, p.get("maxBins")), p, cut=True).model)
+    plain.unpersist()
+    return out
 
 
 def boosting_curve(train: DataFrame, params: dict[str, Any], patience: int = PATIENCE) -> DataFrame:
     """Error of the rows set aside after each round that was fitted, and whether its tree is kept."""
-    found = _boosted(train, params, patience)
+    found = _boosted(_prepared(_plain(train, ID), params.get("maxBins")), params, patience)
     rows = [(i, float(e), i <= found.rounds) for i, e in enumerate(found.curve, 1)]
     return train.sparkSession.createDataFrame(rows, "round int, mse double, kept boolean")
 
@@ -213,10 +370,7 @@ def fold_moments(train: DataFrame) -> dict[int, Moments]:
     Rows whose label is null take no part. Covariances are merged from partial ones, which stays
     accurate where means are large.
     """
-    width = train.schema["x"].metadata.get("ml_attr", {}).get("num_attrs")
-    if width is None:
-        first = train.select(F.size(vector_to_array("x")).alias("w")).first()
-        width = first["w"] if first else 0
+    width = _width(train)
     names = [f"v{i}" for i in range(width + 1)]
     wide = train.where(F.col("y").isNotNull()).withColumn("__x", vector_to_array("x")).select(
         "fold", *[F.col("__x")[i].alias(names[i]) for i in range(width)], F.col("y").alias(names[-1])
@@ -337,16 +491,34 @@ def fit_scaled_net(train: DataFrame, features: list[str], widths: tuple[int, ...
     return ScaledNet(net, features, scale)
 
 
+def fit_fold_nets(
+    train: DataFrame, features: list[str], grid: list[tuple[int, ...]], epochs: int, folds: int = FOLDS, ident: str = ID
+) -> dict[tuple[tuple[int, ...], int], ScaledNet]:
+    """The net of every width and fold, as ``fit_scaled_net`` gives it for the rows outside the fold."""
+    columns = [*features, "y"]
+    others = {f: {c: F.when(F.col("fold") != f, F.col(c)) for c in columns} for f in range(folds)}
+    row = train.agg(
+        *[F.avg(v).alias(f"m_{f}_{c}") for f, own in others.items() for c, v in own.items()],
+        *[F.stddev_pop(v).alias(f"d_{f}_{c}") for f, own in others.items() for c, v in own.items()],
+    ).first()
+    scales = [
+        {c: (float(row[f"m_{f}_{c}"]), float(row[f"d_{f}_{c}"] or 1.0) or 1.0) for c in columns} for f in range(folds)
+    ]
+    tasks = list(product(grid, range(folds)))
+    lessons = [Lesson(regression_net(len(features), widths), f, tuple(scales[f].values())) for widths, f in tasks]
+    nets = fit_nets(train, lessons, columns, ident, epochs=epochs, seed=SEED)
+    return {task: ScaledNet(net, features, scales[task[1]]) for task, net in zip(tasks, nets)}
+
+
 def grid_dense(
     train: DataFrame, features: list[str], grid: list[tuple[int, ...]], epochs: int = 10, folds: int = FOLDS
 ) -> tuple[DataFrame, Best]:
     """The same search for dense nets, whose grid lists hidden widths."""
+    models = fit_fold_nets(train, features, grid, epochs, folds)
 
     @inheritable_thread_target(train.sparkSession)
     def error(task: tuple[tuple[int, ...], int]) -> float:
-        widths, fold = task
-        model = fit_scaled_net(train.where(F.col("fold") != fold), features, widths, epochs)
-        return mse(model.transform(train.where(F.col("fold") == fold)))
+        return mse(models[task].transform(train.where(F.col("fold") == task[1])))
 
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         errors = list(pool.map(error, product(grid, range(folds))))
@@ -373,9 +545,7 @@ def leaderboard(bests: list[Best], test: DataFrame) -> DataFrame:
     return table.orderBy("mse", "family")
 
 
-def _refit(best: Best, train: DataFrame, features: list[str]) -> Model | Linear | ScaledNet:
-    if best.family == "dnn":
-        return fit_scaled_net(train, features, best.params["widths"], best.params["epochs"])
+def _refit(best: Best, train: DataFrame) -> Model | Linear | BinnedTrees:
     if best.family == "gbt":
         return fit_boosted(train, best.params).model
     if best.family == "glm":
@@ -407,12 +577,20 @@ def stacked_ensemble(
     """Linear model over out-of-fold predictions of the base models."""
 
     @inheritable_thread_target(train.sparkSession)
-    def refit(task: tuple[int, Best]) -> Model | Linear | ScaledNet:
+    def refit(task: tuple[int, Best]) -> Model | Linear | BinnedTrees:
         fold, best = task
-        return _refit(best, train.where(F.col("fold") != fold), features)
+        return _refit(best, train.where(F.col("fold") != fold))
 
+    tasks = list(product(range(folds), bases))
+    nets = {
+        b.family: fit_fold_nets(train, features, [b.params["widths"]], b.params["epochs"], folds)
+        for b in bases if b.family == "dnn"
+    }
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        models = list(pool.map(refit, product(range(folds), bases)))
+        others = pool.map(refit, [t for t in tasks if t[1].family not in nets])
+        models = [
+            nets[best.family][best.params["widths"], fold] if best.family in nets else next(others) for fold, best in tasks
+        ]
     parts = None
     for fold in range(folds):
         held = train.where(F.col("fold") == fold)

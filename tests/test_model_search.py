@@ -2,10 +2,11 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import functions as F
 
 from oddlot.columns import ID
+from oddlot.detectors import dense_net as nets
 from oddlot.plans import model_search as ms
 
 
@@ -87,3 +88,62 @@ def test_boosting_without_rows_set_aside_uses_all_rounds(spark):
     train = ms.assembled(df, ["a"], "a").withColumn("stop", F.lit(False))
     found = ms.fit_boosted(train, {"maxIter": 3})
     assert found.rounds == found.model.getNumTrees == 3 and found.curve == []
+
+
+def test_trees_over_cells_equal_sparks_trees_over_rows(spark):
+    rng = np.random.default_rng(8)
+    many, few, noise = rng.normal(size=4000).round(2), rng.integers(0, 5, 4000), rng.normal(size=4000)
+    rows = [(i, float(a), int(b), float(np.sin(2 * a) * b + e)) for i, (a, b, e) in enumerate(zip(many, few, noise))]
+    df = spark.createDataFrame(rows, f"{ID} long, a double, b int, t double")
+    train = ms.with_folds(ms.assembled(df, ["a", "b"], "t")).persist()
+    params = {"maxDepth": 3, "maxIter": 12}
+    found = ms.fit_boosted(train, params, patience=12)
+    fitted, aside = train.where("not stop"), train.where("stop")
+    plain = GBTRegressor(featuresCol="x", labelCol="y", seed=ms.SEED, **params).fit(fitted)
+    assert found.curve == pytest.approx(plain.evaluateEachIteration(aside, "squared"), rel=1e-9)
+    ours = [r["prediction"] for r in found.model.transform(train).orderBy(ID).collect()]
+    plain = GBTRegressor(featuresCol="x", labelCol="y", seed=ms.SEED, **{**params, "maxIter": found.rounds}).fit(fitted)
+    assert ours == pytest.approx([r["prediction"] for r in plain.transform(train).orderBy(ID).collect()], rel=1e-9)
+    board, _ = ms.grid_search("gbt", train, {"maxDepth": [3], "maxIter": [12]})
+    errors = []
+    for fold in range(ms.FOLDS):
+        part, held = fitted.where(F.col("fold") != fold), train.where(F.col("fold") == fold)
+        one = GBTRegressor(featuresCol="x", labelCol="y", seed=ms.SEED, **params).fit(part)
+        rounds, _ = ms.kept_rounds(list(one.evaluateEachIteration(aside.where(F.col("fold") != fold), "squared")))
+        errors.append(one.evaluateEachIteration(held, "squared")[rounds - 1])
+    assert board.first()["mse"] == pytest.approx(np.mean(errors), rel=1e-9)
+
+
+def test_trees_see_cells_of_rows(spark):
+    """Before, every round went over all rows; now their number does not matter to it."""
+    df = spark.range(40_000).select(F.col("id").alias(ID), (F.col("id") % 7919).cast("double").alias("a"))
+    plain = ms._plain(ms.assembled(df, ["a"], "a"), ID)
+    cuts = ms._all_borders(plain, 40_000, 32, ID)
+    cells = ms._cells(plain, cuts).agg(F.sum("n").alias("n"), F.count("*").alias("cells")).first()
+    assert cells["n"] == 40_000 and cells["cells"] == len(cuts[0]) + 1 <= 32
+
+
+def test_borders_of_bins():
+    assert ms.borders([(1.0, 5), (2.0, 1), (4.0, 1)], 3) == [1.5, 3.0]
+    assert ms.borders([(float(i), 1) for i in range(8)], 4) == [1.5, 3.5, 5.5]
+    assert ms.borders([(0.0, 90), (1.0, 5), (2.0, 5)], 2) == [0.5]
+    assert ms.borders([(3.0, 4)], 32) == [] == ms.borders([], 32)
+
+
+@pytest.mark.parametrize("shard_rows", [100, 10_000])
+def test_nets_of_all_folds_are_trained_in_one_pass_as_if_alone(training, monkeypatch, shard_rows):
+    monkeypatch.setattr(nets, "ROWS_PER_SHARD", shard_rows)
+    passes, one = [], nets._one_epoch
+
+    def counted(*args):
+        passes.append(1)
+        return one(*args)
+
+    monkeypatch.setattr(nets, "_one_epoch", counted)
+    train, grid = training.where(F.col(ID) != 3), [(4,), (3, 2)]
+    found = ms.fit_fold_nets(train, ["u", "v", "w"], grid, 2)
+    assert len(passes) == 2 and len(found) == 10
+    for (widths, fold), model in list(found.items())[1::4]:
+        alone = ms.fit_scaled_net(train.where(F.col("fold") != fold), ["u", "v", "w"], widths, 2)
+        assert np.allclose(list(model.scale.values()), list(alone.scale.values()), rtol=1e-9)
+        assert np.allclose(model.net.weights, alone.net.weights, rtol=1e-5, atol=1e-6)
