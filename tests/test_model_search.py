@@ -147,3 +147,9 @@ def test_nets_of_all_folds_are_trained_in_one_pass_as_if_alone(training, monkeyp
         alone = ms.fit_scaled_net(train.where(F.col("fold") != fold), ["u", "v", "w"], widths, 2)
         assert np.allclose(list(model.scale.values()), list(alone.scale.values()), rtol=1e-9)
         assert np.allclose(model.net.weights, alone.net.weights, rtol=1e-5, atol=1e-6)
+
+
+def test_boosting_refuses_missing_labels(training):
+    gaps = training.withColumn("y", F.when(F.col(ID) % 3 > 0, F.col("y")))
+    with pytest.raises(Exception, match="Labels MUST NOT be Null or NaN"):
+        ms.fit_boosted(gaps, {"maxIter": 2})
