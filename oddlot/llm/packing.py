@@ -8,12 +8,13 @@ with room, which the tree of capacities finds in logarithmic time. Bins never sp
 is parallel at any size; a group's unfilled last bins cost a fixed share.
 
 Tokens come from the ``tokenizers`` library. A text is cut before every white-space run of ASCII that
-follows another byte: the tokenizer's own pattern always splits there, so each unit (white space and the
-run after it) can be encoded once per task and looked up by its 64-bit hash afterwards. Texts with other
-kinds of white space, or with a special token's string, are encoded whole.
+follows another byte, and between an ASCII letter and any other ASCII character: the tokenizer's own pattern
+always splits there and looks at nothing before, so each unit can be encoded once per Python worker, which keeps
+its units from task to task, and looked up by its 64-bit hash afterwards. Texts with other kinds of white space,
+or with a special token's string, are encoded whole.
 
 Null and empty texts give the end id alone. Repeated rows and null ids are packed like any others.
-Memory: one slice of texts (or one longer text), and the units cached by a task up to ``CACHE``.
+Memory: one slice of texts (or one longer text), and the units kept by a worker: about ``CACHE`` of them.
 """
 
 from __future__ import annotations
@@ -40,11 +41,18 @@ END = 0
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+#: ASCII that is neither a letter nor white space.
+_SIGN = ~_LETTER & ~_SPACE
+_SIGN[128:] = False
+
+
 def units(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """White space and the run after it, as spans; every byte of a text lies in one."""
+    """White space and the run after it, cut after letters, as spans; every byte of a text lies in one."""
     space = _SPACE[data]
     begin = np.zeros(len(data), dtype=bool)
-    begin[1:] = space[1:] & ~space[:-1]
+    begin[1:] = (space[1:] & ~space[:-1]) | (_SIGN[data[1:]] & _LETTER[data[:-1]])
     begin[offsets[:-1][offsets[:-1] < len(data)]] = True
     starts = np.flatnonzero(begin)
     return Words(data, starts, np.append(starts[1:], len(data)) if len(starts) else starts, np.searchsorted(starts, offsets))
@@ -103,10 +111,14 @@ class Encoder:
         places = np.empty(len(order), dtype=np.int64)
         places[order] = np.arange(len(self.known), len(self.known) + len(order))
         at = np.searchsorted(self.known, codes)
-        self.known, self.place = np.insert(self.known, at, codes), np.insert(self.place, at, places)
-        self.begin = np.append(self.begin, len(self.pool) + np.cumsum(sizes) - sizes)
-        self.size = np.append(self.size, sizes)
-        self.pool = np.concatenate([self.pool, flat_ids, *alone])
+        # All at once: a task that fails in between leaves the worker's units whole.
+        self.known, self.place, self.begin, self.size, self.pool = (
+            np.insert(self.known, at, codes),
+            np.insert(self.place, at, places),
+            np.append(self.begin, len(self.pool) + np.cumsum(sizes) - sizes),
+            np.append(self.size, sizes),
+            np.concatenate([self.pool, flat_ids, *alone]),
+        )
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         spans = units(data, offsets)
@@ -145,6 +157,17 @@ class Encoder:
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """The encoder of this Python worker, which keeps what it has learnt for later tasks."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def cuts(tokens: int, length: int = LENGTH, grain: int = GRAIN) -> list[int]:
     """Where the pieces of a document of so many tokens begin, and its end."""
     whole = tokens - tokens % length
@@ -159,7 +182,7 @@ def cuts(tokens: int, length: int = LENGTH, grain: int = GRAIN) -> list[int]:
 
 def _pieces(path: str, length: int, grain: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         for batch in batches:
             ids = flat(batch.column("doc_id"))
             for i, j, data, offsets in slices(batch.column("text")):
